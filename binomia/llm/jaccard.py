@@ -1,8 +1,9 @@
 """N-gram Jaccard join by count vectors in an R-tree.
 
-Every document is a set of word n-grams. A fixed hash deals n-grams into ``DIMS``
-groups; the counts per group are the document's point, and the sum of coordinate
-minima of two points bounds their overlap from above. Packed R-trees over these points
+Every document is a set of word n-grams. A fixed hash deals n-grams into groups, about
+as many as the set has members; the counts per group are the document's point, and the
+sum of coordinate minima of two points bounds their overlap from above. Group counts are
+powers of two, so a finer point folds into a coarser one. Packed R-trees over these points
 discard pairs (and whole boxes) whose bound is too low; survivors are verified on the
 full sets.
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, list_array, longs, mix, ngram_hashes, space_words, stored
 from .components import components
 
-#: Coordinates of a point.
-DIMS = 32
+#: Coordinates of a point: a power of two between these.
+DIMS = (32, 1 << 16)
 #: Size classes grow by at least this factor (and by 1/t).
 GROWTH = 1.5
 #: Seeds tried before empty groups count as groups.
@@ -106,8 +107,22 @@ def group_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def point(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32)
+def point(grams: np.ndarray) -> bytes:
+    """Group counts: a byte each, or four where a count could exceed a byte."""
+    d = min(max(1 << max(0, len(grams).bit_length() - 1), DIMS[0]), DIMS[1])
+    counts = np.bincount((grams & np.uint64(d - 1)).astype(np.int64), minlength=d)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def _coordinates(data: bytes, n: int) -> np.ndarray:
+    d = min(max(1 << max(0, n.bit_length() - 1), DIMS[0]), DIMS[1])
+    return np.frombuffer(data, "u1" if len(data) == d else "<u4")
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Rows of one length: the shortest of all."""
+    d = min(map(len, points))
+    return np.stack([p.reshape(-1, d).sum(0, dtype=np.int32) if len(p) > d else p.astype(np.int32) for p in points])
 
 
 def _sets(k: int) -> Callable[[str | None], np.ndarray]:
@@ -123,7 +138,7 @@ def _profiles(k: int):
             c1 = np.array([mix(x).sum(dtype=np.uint64) for x in xs], np.uint64)
             c2 = np.array([mix(x ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) for x in xs], np.uint64)
             n = pa.array([len(x) for x in xs], pa.int64())
-            cv = list_array([point(x) for x in xs], pa.int32())
+            cv = pa.array([point(x) if len(x) else None for x in xs], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), n, longs(c1), longs(c2), cv], ["doc_id", "n", "c1", "c2", "cv"])
 
     return run
@@ -159,6 +174,20 @@ def _gram_lists(k: int):
     return run
 
 
+def _bounded(num: int, den: int):
+    """The rows (a, b, na, nb, ca, cb) whose bound lets them reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = []
+            for na, nb, ca, cb in zip(*(t.column(c).to_pylist() for c in ("na", "nb", "ca", "cb")), strict=True):
+                x = folded([_coordinates(ca, na), _coordinates(cb, nb)])
+                keep.append((num + den) * int(np.minimum(x[0], x[1]).sum()) >= num * (na + nb))
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 class CountTree:
     """A packed R-tree over count vectors; boxes keep coordinate maxima and the least size."""
 
@@ -190,8 +219,7 @@ def _tree_pairs(num: int, den: int):
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, root, n, sub = (t.column(c).to_numpy() for c in ("id", "root", "n", "sub"))
-        cv = t.column("cv").combine_chunks()
-        cv = cv.flatten().to_numpy().reshape(-1, DIMS)
+        cv = folded([_coordinates(p, k) for p, k in zip(t.column("cv").to_pylist(), n.tolist(), strict=True)])
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left = np.flatnonzero(sub == i)
         right = left if i == j else np.flatnonzero(sub == j)
@@ -255,29 +283,28 @@ def jaccard_components(
     rows that share an id count as one document. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prof = docs.mapInArrow(_profiles(words), "doc_id long, n long, c1 long, c2 long, cv array<int>")
+    prof = docs.mapInArrow(_profiles(words), "doc_id long, n long, c1 long, c2 long, cv binary")
     prof = stored(prof, "profiles")
-    reps = prof.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
-    prof = stored(prof.join(reps, ["n", "c1", "c2"], "left").withColumn("rep", F.coalesce("rep", "doc_id")), "classes")
-    nodes = prof.filter("n > 0 and doc_id = rep").select(F.col("rep").alias("id"), "n", "cv").dropDuplicates(["id"])
+    slim = prof.select("doc_id", "n", "c1", "c2")
+    reps = slim.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
+    slim = slim.join(reps, ["n", "c1", "c2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    slim = stored(slim, "classes")
 
     # blocks with at least two classes; the first window runs over all keys, the second over few
     by_key = Window.partitionBy("key")
     low, high = F.min("id").over(by_key), F.max("id").over(by_key)
     keys = docs.mapInArrow(_keys(words, num, den), "key long, id long")
     met = keys.withColumns({"lo": low, "hi": high}).filter("lo <> hi").select("key", "id")
-    met = met.join(prof.filter("n > 0").select(F.col("doc_id").alias("id"), "rep").distinct(), "id")
+    met = met.join(slim.filter("n > 0").select(F.col("doc_id").alias("id"), "rep").distinct(), "id")
     met = met.select("key", F.col("rep").alias("id")).distinct()
     met = stored(met.withColumns({"lo": low, "hi": high}).filter("lo <> hi").select("key", "id", "lo"), "blocks")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("cv").alias("ca")), "a")
-        p = p.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cv").alias("cb")), "b")
-        bound = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        return p.filter((num + den) * bound.cast("long") >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    nodes = prof.filter("n > 0").join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+    nodes = stored(nodes.select(F.col("doc_id").alias("id"), "n", "cv").dropDuplicates(["id"]), "points")
 
     star = met.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
-    star = stored(bounded(star), "star")
+    star = star.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("cv").alias("ca")), "a")
+    star = star.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cv").alias("cb")), "b")
+    star = stored(star.mapInArrow(_bounded(num, den), "a long, b long"), "star")
     links = stored(_verified(star, docs, words, num, den), "links")
     roots = components(links)
 
@@ -294,5 +321,5 @@ def jaccard_components(
     if not more.isEmpty():
         found = _verified(more, docs, words, num, den)
         roots = components(roots.select("id", "root").union(found))
-    out = prof.join(roots, prof.rep == roots.id, "left")
+    out = slim.join(roots, slim.rep == roots.id, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"))
