@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontam, license_scan, media, packing, pii, quality, secret_scan, suffix, warc
 from .jaccard import jaccard_components
 
 
@@ -13,12 +15,162 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _count(column: str, field: str, value: object) -> Column:
+    return F.size(F.filter(column, lambda x: x[field] == F.lit(value))).cast("long")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_docs(spark, sf_dir), words=3, num=90, den=100)
+    found = jaccard_components(_docs(spark, sf_dir), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeated_passages(_docs(spark, sf_dir), length=50)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
+    return found.select("doc_id", "n_words", "n_repeated", spans.alias("spans"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+    return warc.read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, key = _docs(spark, sf_dir), "surrogates of this corpus"
+    if not pii.collisions(docs, key).isEmpty():
+        raise RuntimeError("surrogates collide: choose another key")
+    counts = {f"n_{k}": _count("entities", "kind", k) for k in pii.KINDS}
+    spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["stop"])), ",")
+    return pii.pseudonymised(docs, key).withColumns(counts).select("doc_id", "text", *counts, spans.alias("entities"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_matches(_docs(spark, sf_dir))
+    listed = F.array_join(F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start"], m["stop"])), ",")
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), F.size("licenses").alias("n_matches"), listed.alias("matches"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontam.benchmark_hits(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=13)
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), capacity=2048)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(_docs(spark, sf_dir))
+    count = {k: _count("spans", "ord", k) for k in range(secret_scan.BASE)}
+    base = F.filter("spans", lambda s: s["ord"] < secret_scan.BASE)
+    return found.select(
+        "doc_id",
+        *[count[k].alias(f"n_{secret_scan.RULES[k].kind}") for k in count],
+        F.sha2(secret_scan.rendered(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.rendered(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = media.media_features(media.media_column(_docs(spark, sf_dir)))
+    feature = F.format_string("%dx%d:%s:%s", "width", "height", "thumbnail_hash", "thumbnail_sha256")
+    kept = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return seen.select(*kept, feature.alias("feature"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_warc, op4_pii_surrogates, op5_license_scan,
+        op6_quality_classifier, op7_decontamination, op8_best_fit_packing, op9_secret_scan, op10_media_columns,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_ALNUM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ANY_CASE = {w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api", "key")}
+_ASSIGN = rf"({_ANY_CASE['password']}|{_ANY_CASE['passwd']}|{_ANY_CASE['secret']}|{_ANY_CASE['token']}|{_ANY_CASE['api']}_?{_ANY_CASE['key']})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
+
+
+def _secret_sql() -> str:
+    spans = []
+    for k, (pattern, group, least) in enumerate(((_ASSIGN, 2, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24))):
+        spans.append(
+            f"select doc_id, text, {k} ord, string_split_regex(t, '{pattern}') gaps, regexp_extract_all(t, '{pattern}', 0) found, regexp_extract_all(t, '{pattern}', {group}) tested, {least} least from d"
+        )
+    return f"""
+with d as (select row_number() over () rid, doc_id, text, coalesce(text, '') t from documents),
+m as ({' union all '.join(x.replace('select doc_id, text', 'select rid, doc_id') for x in spans)}),
+e as (select rid, ord, least, gaps, found, tested, unnest(range(1, len(found) + 1)) i from m),
+p as (select rid, ord, length(tested[i]) >= least ok, length(found[i]) size,
+  list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) s from e),
+q as (select rid, ord, cast(s as bigint) s, cast(s as bigint) + size t from p where ok),
+g as (select rid, count(*) filter (ord = 0) a, count(*) filter (ord = 1) k, count(*) filter (ord = 2) h,
+  string_agg((['assign', 'access', 'hex'])[ord + 1] || ':' || s || ':' || t, ',' order by s, ord) r from q group by rid)
+select doc_id, coalesce(a, 0) n_assign, coalesce(k, 0) n_access, coalesce(h, 0) n_hex, sha256(coalesce(r, '')) base_sha256, coalesce(r, '') spans
+from d left join g using (rid)"""
+
+
+_BASE32 = " || ".join(
+    "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + "
+    + " + ".join(f"{16 >> j} * cast(substr(bits, {5 * i + j + 1}, 1) as integer)" for j in range(5))
+    + ", 1)"
+    for i in range(32)
+)
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+with recursive d as (select doc_id, {_SPACE_WORDS} w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) end) g from d),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+r as (select doc_id, doc_id c from documents union select r.doc_id, l.y from r join l on l.x = r.c)
+select r.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(c) component_id from r left join n using (doc_id) group by r.doc_id""",
+    "op2_suffix_array_dedup": f"""
+with d as (select row_number() over () rid, doc_id, {_SPACE_WORDS} w from documents),
+s as (select rid, unnest(range(0, greatest(len(w) - 49, 0))) i, w from d),
+h as (select rid, i, array_to_string(w[i+1:i+50], ' ') g from s),
+k as (select g from h group by g having count(*) > 1),
+o as (select rid, i, case when i - lag(i) over (partition by rid order by i) <= 50 then 0 else 1 end fresh from h semi join k using (g)),
+c as (select rid, i, sum(fresh) over (partition by rid order by i) run from o),
+z as (select rid, run, min(i) a, max(i) + 50 b from c group by rid, run),
+t as (select rid, sum(b - a) n, string_agg(a || ':' || b, ',' order by a) spans from z group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_repeated, coalesce(spans, '') spans from d left join t using (rid)""",
+    "op3_warc": f"""
+with p as (select page_id, coalesce(html, '') h from pages),
+r as (select h, min(page_id) f from p group by h),
+b as (select page_id, h, f, cast(cast(unhex(sha1(h)) as bit) as varchar) bits from p join r using (h))
+select page_id, cast(strlen(h) as bigint) payload_bytes, {_BASE32} payload_digest,
+  case when page_id = f then 'response' else 'revisit' end record_type, case when page_id <> f then f end refers_to from b""",
+    "op7_decontamination": f"""
+with b as (select cast(item_id as varchar) item, {_ALNUM_WORDS} w from benchmark),
+bg as (select distinct item, unnest(list_transform(range(1, greatest(len(w) - 11, 2)), lambda i: array_to_string(w[i:i+12], ' '))) g, least(len(w), 13) k from b where len(w) > 0),
+ks as (select distinct k from bg),
+d as (select row_number() over () rid, doc_id, {_ALNUM_WORDS} w from documents),
+dw as (select rid, k, w, unnest(range(1, len(w) - k + 2)) i from d join ks on len(w) >= k),
+dg as (select rid, k, i, array_to_string(w[i:i+k-1], ' ') g from dw),
+o as (select rid, i, dg.k, item from dg join bg on dg.g = bg.g and dg.k = bg.k),
+x as (select rid, count(distinct p) n_hit from (select rid, unnest(range(i, i + k)) p from o) group by rid),
+y as (select rid, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from o group by rid)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join x using (rid) left join y using (rid)""",
+    "op9_secret_scan": _secret_sql(),
+}
