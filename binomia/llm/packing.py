@@ -12,11 +12,12 @@ Each piece finds its place from its rank among the pieces of its length: a count
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,63 +27,38 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Word pieces whose ids one Python worker remembers before it starts afresh.
-CACHE = 300_000
-#: A space is a safe cut unless white space or the end follows.
-_UNSAFE = re.compile(r" (?=\s|\Z)|\A ")
-
-
 def default_tokenizer() -> str:
-    """Where the public byte-level BPE vocabulary lies on this machine."""
+    """Where the ranks of the public byte-level BPE vocabulary lie on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes.
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Token ids of a text, as unsigned 32-bit; one encoder per Python worker.
 
-    The vocabulary's pre-tokeniser never joins a space that is followed by a
-    non-space to what precedes it, so texts are cut there and the ids of each cut
-    are remembered; texts with other spaces are encoded whole.
+    The ranks file holds the vocabulary of ``byte_bpe_50k.json``; ids are those that the
+    tokenizers library gives with that file and without special tokens.
     """
+    import public_tokenizers
+    import tiktoken
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        many = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in many]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cuts = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, new = self.known, set()
-        for c in cuts:
-            if c:
-                new.update(w for w in c[1:] if w not in known)
-        new = list(new)
-        known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-        heads = self._encode([t if c is None else c[0] for t, c in zip(texts, cuts, strict=True)])
-        return [h if not c else h + b"".join(map(known.__getitem__, c[1:])) for h, c in zip(heads, cuts, strict=True)]
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: enc.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = Encoder(path), TaskContext.get().partitionId()
+        ids_of, part = encoder(path), TaskContext.get().partitionId()
         end, ranks = np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                ids = b.column(0).slice(at, 256).to_pylist()
-                texts = [t or "" for t in b.column(1).slice(at, 256).to_pylist()]
                 rows = []
-                for i, raw in zip(ids, enc.ids(texts), strict=True):
-                    raw += end
+                for i, text in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
+                    raw = ids_of(text or "").tobytes() + end
                     n = len(raw) // 4
                     start, k = 0, 0
                     size = n % capacity or capacity
