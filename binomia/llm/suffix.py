@@ -3,13 +3,16 @@
 Only suffixes that start at content-selected positions are kept: of each run of
 ``length - GRAM + 1`` consecutive word ``GRAM``-grams the one with the least hash
 (leftmost of equals). Any two equal passages of ``length`` words keep suffixes at the same
-offset. Ordering the kept suffixes by their first ``GRAM`` words puts equals side by side:
-a suffix whose neighbours all differ is dropped, with a count per prefix instead of a
-sort of whole suffixes. Around each suffix that is left, every window of ``length`` words
-that selects it is fingerprinted (128 bits); windows that occur again extend the match
-left and right, and their union is the repeated passage. This finds a repetition even
-where a suffix's best partner to the right isn't its best partner to the left, and no
-group of equal suffixes meets in one task.
+offset. Ordering the kept suffixes by their first ``GRAM`` words puts equals side by side;
+counts per prefix compare neighbours, and a suffix without an equal one is dropped.
+
+Matches are then extended left and right. The stretch of a suffix holds all passages that
+select it. Equal stretches settle all their passages at once, with one fingerprint per
+suffix. Where suffixes with equal prefixes have different stretches, as at the ends of a
+repetition, one suffix of each stretch lists its passages (128-bit fingerprints), and those
+listed twice are repeated. This finds a repetition even where a suffix's best partner to
+the right isn't its best partner to the left, and no group of equal suffixes has to meet in
+one task.
 """
 
 from __future__ import annotations
@@ -47,18 +50,22 @@ def selected(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), grams
 
 
-def window_prints(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each window of ``length`` words."""
+def _prefixes(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two pairs of prefix sums of a polynomial hash and factors that shift it to position 0."""
     out = []
     for salt, base in enumerate(_BASE):
         w = mix(words + np.uint64(salt * 0x632BE59BD9B4E019 + 1))
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(w), np.uint64(base))]), dtype=np.uint64)
-            inverse = pow(base, -1, 1 << 64)
-            back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(w), np.uint64(inverse))]), dtype=np.uint64)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(w * power[:-1], dtype=np.uint64)])
-            out.append(mix((sums[length:] - sums[:-length]) * back[: len(w) - length + 1]))
-    return out[0], out[1]
+        one, n = np.array([1], np.uint64), len(w)
+        power = np.cumprod(np.concatenate([one, np.full(n, base, np.uint64)]), dtype=np.uint64)
+        back = np.cumprod(np.concatenate([one, np.full(n, pow(base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+        out.append((np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * power[:-1], dtype=np.uint64)]), back))
+    return out
+
+
+def prints(words: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: np.ndarray | None = None) -> list[np.ndarray]:
+    """Two 64-bit fingerprints of each stretch [start, stop) of words."""
+    extra = np.zeros(1, np.uint64) if salt is None else mix(salt.astype(np.uint64) + np.uint64(1))
+    return [mix(mix((sums[stop] - sums[start]) * back[start]) + extra) for sums, back in _prefixes(words)]
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,11 +77,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in ws], pa.int64()), longs(prints[0]), longs(prints[1])], ["doc_id", "n_words", "d1", "d2"])
 
 
-def _suffixes(length: int):
+def _suffixes(length: int, keys_only: bool):
+    """Kept suffixes: prefix ``key``, stretch fingerprint (u1, u2), id, first and last passage (s0, s1)."""
+    names = ["key"] if keys_only else ["key", "u1", "u2", "id", "s0", "s1"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = _words(), set()
         for b in batches:
-            keys, ids, at = [], [], []
+            rows: list[list[np.ndarray]] = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = words(t)
                 same = (len(w), hash(w.tobytes()))
@@ -82,10 +92,17 @@ def _suffixes(length: int):
                     continue
                 seen.add(same)
                 pos, grams = selected(w, length)
-                pos = np.unique(pos)
-                keys.append(grams[pos]), ids.append(np.full(len(pos), i, np.int64)), at.append(pos)
-            if ids:
-                yield pa.RecordBatch.from_arrays([longs(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at).astype(np.int32))], ["key", "id", "pos"])
+                s0 = np.flatnonzero(np.diff(pos, prepend=-1))
+                at = pos[s0]
+                if keys_only:
+                    rows.append([grams[at]])
+                    continue
+                s1 = np.append(s0[1:], len(pos)) - 1
+                u = prints(w, s0, s1 + length, (at - s0) * 4096 + (s1 - s0))
+                rows.append([grams[at], *u, np.full(len(at), i, np.int64), s0, s1])
+            if rows:
+                cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(longs, cols[:3]), *(pa.array(c.astype(t)) for c, t in zip(cols[3:], (np.int64, np.int32, np.int32), strict=False))], names)
 
     return run
 
@@ -94,16 +111,14 @@ def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
         for b in batches:
-            for i, t, kept in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, t, runs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 w = words(t)
-                pos, _ = selected(w, length)
-                start = np.flatnonzero(np.isin(pos, np.array(kept)))
-                if not len(start):
-                    continue
-                h1, h2 = window_prints(w, length)
+                start = np.unique(np.concatenate([np.arange(r["s0"], r["s1"] + 1) for r in runs]))
+                start = start[start + length <= len(w)]
                 for lo in range(0, len(start), 1 << 16):
                     s = start[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([longs(h1[s]), longs(h2[s]), pa.array(np.full(len(s), i, np.int64)), pa.array(s.astype(np.int32))], ["h1", "h2", "id", "start"])
+                    h1, h2 = prints(w, s, s + length)
+                    yield pa.RecordBatch.from_arrays([longs(h1), longs(h2), pa.array(np.full(len(s), i, np.int64)), pa.array(s.astype(np.int32))], ["h1", "h2", "id", "start"])
 
     return run
 
@@ -114,10 +129,14 @@ def _union(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = []
-            for starts in b.column(1).to_pylist():
-                s = np.unique(np.array(starts, np.int64))
-                cut = np.flatnonzero(np.diff(s) > length) + 1
-                spans.append([{"start": int(x[0]), "stop": int(x[-1]) + length} for x in np.split(s, cut)])
+            for runs in b.column(1).to_pylist():
+                merged: list[dict[str, int]] = []
+                for s0, s1 in sorted((r["s0"], r["s1"]) for r in runs):
+                    if merged and s0 <= merged[-1]["stop"]:
+                        merged[-1]["stop"] = max(merged[-1]["stop"], s1 + length)
+                    else:
+                        merged.append({"start": s0, "stop": s1 + length})
+                spans.append(merged)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "found"])
 
     return run
@@ -137,17 +156,24 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     none = F.array().cast("array<struct<start:long,stop:long>>")
     prof = stored(docs.mapInArrow(_profile, "doc_id long, n_words long, d1 long, d2 long"), "texts")
     copies = prof.filter(F.col("n_words") >= length).groupBy("n_words", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"))
-    suffixes = stored(docs.mapInArrow(_suffixes(length), "key long, id long, pos int"), "suffixes")
-    twice = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    kept = suffixes.join(twice, "key").groupBy("id").agg(F.collect_list("pos").alias("kept"))
-    near = docs.join(kept, docs.doc_id == kept.id).select("id", "text", "kept")
+    keys = docs.mapInArrow(_suffixes(length, True), "key long")
+    twice = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    suffixes = docs.mapInArrow(_suffixes(length, False), "key long, u1 long, u2 long, id long, s0 int, s1 int")
+    kept = stored(suffixes.join(twice, "key"), "suffixes")
+    stretch = kept.groupBy("key", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "s0", "s1")).alias("one"))
+    stretch = stored(stretch, "stretches")
+    whole = kept.join(stretch.filter("n > 1").select("key", "u1", "u2"), ["key", "u1", "u2"]).select("id", "s0", "s1")
+    mixed = stretch.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    lists = stretch.join(mixed, "key").select("one.*").groupBy("id").agg(F.collect_list(F.struct("s0", "s1")).alias("runs"))
+    near = docs.join(lists, docs.doc_id == lists.id).select("id", "text", "runs")
     windows = stored(near.mapInArrow(_windows(length), "h1 long, h2 long, id long, start int"), "windows")
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    starts = windows.join(again, ["h1", "h2"]).groupBy("id").agg(F.collect_list("start").alias("starts"))
-    found = starts.mapInArrow(_union(length), "id long, found array<struct<start:long,stop:long>>")
+    part = windows.join(again, ["h1", "h2"]).select("id", F.col("start").alias("s0"), F.col("start").alias("s1"))
+    runs = whole.union(part).groupBy("id").agg(F.collect_set(F.struct("s0", "s1")).alias("runs"))
+    found = runs.mapInArrow(_union(length), "id long, found array<struct<start:long,stop:long>>")
     out = prof.join(copies.filter("copies > 1"), ["n_words", "d1", "d2"], "left").join(found, prof.doc_id == found.id, "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
-    spans = F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("found", none))
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
+    spans = F.when(F.col("copies") > 1, all_of).otherwise(F.coalesce("found", none))
     out = out.select("doc_id", "n_words", spans.alias("spans"))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     return out.select("doc_id", "n_words", total.alias("n_repeated"), "spans")
