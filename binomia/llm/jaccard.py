@@ -286,7 +286,8 @@ def jaccard_components(
     prof = docs.mapInArrow(_profiles(words), "doc_id long, n long, c1 long, c2 long, cv binary")
     prof = stored(prof, "profiles")
     slim = prof.select("doc_id", "n", "c1", "c2")
-    reps = slim.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
+    reps = slim.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = stored(reps.filter("copies > 1").drop("copies"), "copies")  # a join of its own: a hot class can be split
     slim = slim.join(reps, ["n", "c1", "c2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     slim = stored(slim, "classes")
 

@@ -156,8 +156,10 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     none = F.array().cast("array<struct<start:long,stop:long>>")
     prof = stored(docs.mapInArrow(_profile, "doc_id long, n_words long, d1 long, d2 long"), "texts")
     copies = prof.filter(F.col("n_words") >= length).groupBy("n_words", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"))
+    copies = stored(copies.filter("copies > 1"), "copies")
     keys = docs.mapInArrow(_suffixes(length, True), "key long")
     twice = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    twice = stored(twice, "twice")  # joins of their own with stored tables: hot keys can be split
     suffixes = docs.mapInArrow(_suffixes(length, False), "key long, u1 long, u2 long, id long, s0 int, s1 int")
     kept = stored(suffixes.join(twice, "key"), "suffixes")
     stretch = kept.groupBy("key", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "s0", "s1")).alias("one"))
@@ -168,10 +170,11 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     near = docs.join(lists, docs.doc_id == lists.id).select("id", "text", "runs")
     windows = stored(near.mapInArrow(_windows(length), "h1 long, h2 long, id long, start int"), "windows")
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    again = stored(again, "again")
     part = windows.join(again, ["h1", "h2"]).select("id", F.col("start").alias("s0"), F.col("start").alias("s1"))
     runs = whole.union(part).groupBy("id").agg(F.collect_set(F.struct("s0", "s1")).alias("runs"))
     found = runs.mapInArrow(_union(length), "id long, found array<struct<start:long,stop:long>>")
-    out = prof.join(copies.filter("copies > 1"), ["n_words", "d1", "d2"], "left").join(found, prof.doc_id == found.id, "left")
+    out = prof.join(copies, ["n_words", "d1", "d2"], "left").join(found, prof.doc_id == found.id, "left")
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
     spans = F.when(F.col("copies") > 1, all_of).otherwise(F.coalesce("found", none))
     out = out.select("doc_id", "n_words", spans.alias("spans"))

@@ -115,8 +115,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "2000-01-01
     fs.create_dir(path, recursive=True)
     html = F.coalesce("html", F.lit(""))
     p = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("size"))
-    first = p.filter(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    first = p.filter(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.filter("n > 1").drop("n"), "warc_copies")  # a join of its own: a hot payload can be split
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))  # null where a payload is unique
     dealt = p.join(first, ["sha1", "size"], "left").select("page_id", "url", "html", refers.alias("refers_to"))
     return stored(dealt.mapInArrow(_write(folder, date), INDEX), "warc_index")
 
