@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words kept with their hashes by one Python worker before it starts afresh.
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
+#: Rows that Python functions hold as objects at a time.
+SLICE = 500
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Keeps ASCII letters (lower-cased), digits and every non-ASCII byte; the rest separates words.
@@ -42,6 +45,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def space_words(text: str) -> list[bytes]:
     """Lower-cases A-Z and splits on the bytes 09-0D and 20."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()

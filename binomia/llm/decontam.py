@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, odd_powers, stored
+from .common import alnum_words, odd_powers, sliced, stored
 
 #: N-grams (of n words each) that one broadcast holds.
 MAX_GRAMS = 200_000
@@ -30,7 +30,7 @@ _MARKS, _ITEMS = "__marked_words", "__found_items"
 
 def _grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             items, grams = [], []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = alnum_words(text or "")
@@ -92,7 +92,7 @@ class GramSet:
 def _scan(rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = GramSet(rows.value)
-        for b in batches:
+        for b in sliced(batches):
             marks_out, items_out = [], []
             for text, packed, items in zip(*(b.column(c).to_pylist() for c in ("text", _MARKS, _ITEMS)), strict=True):
                 words = alnum_words(text or "")
@@ -124,7 +124,7 @@ def _marked(docs: DataFrame, bench: DataFrame, n: int, max_grams: int) -> DataFr
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    for b in batches:
+    for b in sliced(batches):
         n_words, n_hit, spans = [], [], []
         for text, packed in zip(b.column("text").to_pylist(), b.column(_MARKS).to_pylist(), strict=True):
             n = len(alnum_words(text or ""))
@@ -144,7 +144,7 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         keep = []
         for text, packed in zip(b.column("text").to_pylist(), b.column(_MARKS).to_pylist(), strict=True):
             n = 0 if packed is None else len(alnum_words(text))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, list_array, longs, mix, ngram_hashes, space_words, stored
+from .common import WordHashes, list_array, longs, mix, ngram_hashes, sliced, space_words, stored
 from .components import components
 
 #: Coordinates of a point: a power of two between these.
@@ -133,7 +133,7 @@ def _sets(k: int) -> Callable[[str | None], np.ndarray]:
 def _profiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _sets(k)
-        for b in batches:
+        for b in sliced(batches):
             xs = [grams(t) for t in b.column(1).to_pylist()]
             c1 = np.array([mix(x).sum(dtype=np.uint64) for x in xs], np.uint64)
             c2 = np.array([mix(x ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) for x in xs], np.uint64)
@@ -147,7 +147,7 @@ def _profiles(k: int):
 def _keys(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, seen = _sets(k), set()
-        for b in batches:
+        for b in sliced(batches):
             ids, keys = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = grams(t)
@@ -167,7 +167,7 @@ def _keys(k: int, num: int, den: int):
 def _gram_lists(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _sets(k)
-        for b in batches:
+        for b in sliced(batches):
             xs = [grams(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), list_array(xs, pa.int64())], ["id", "grams"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, sliced
 
 #: Wordings by which licences are usually granted or named.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -112,7 +112,7 @@ def _scan(templates: dict[str, tuple[str, ...]], threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
-        for b in batches:
+        for b in sliced(batches):
             rows = [[{"license": n, "dice": d, "start": s, "stop": e} for d, n, s, e in matcher.find(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "licenses"])
 

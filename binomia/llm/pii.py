@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 KINDS = ("email", "phone", "ip", "card", "ssn", "name")
 #: Entities whose surrogates one Python worker remembers before it starts afresh.
 CACHE = 100_000
@@ -179,7 +181,7 @@ def _replace(key: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
-        for b in batches:
+        for b in sliced(batches):
             texts, entities = [], []
             for t in b.column(1).to_pylist():
                 found, parts, at = made.find(t), [], 0
@@ -196,7 +198,7 @@ def _replace(key: str):
 def _mentions(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
-        for b in batches:
+        for b in sliced(batches):
             rows = {(k, t[s:e], new) for t in b.column(0).to_pylist() for k, s, e, new in made.find(t)}
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*sorted(rows), strict=True) if rows else [[], [], []])], ["kind", "entity", "surrogate"])
 

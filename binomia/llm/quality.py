@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Labelled rows to which trees are fitted, at most.
 MAX_SAMPLE = 20_000
 FEATURES = (
@@ -109,7 +111,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         x = [[float(v) for v in statistics(t)] for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
@@ -139,12 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, **pa
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                x = np.array([statistics(t) for t in part.column(1).to_pylist()], float).reshape(-1, len(FEATURES))
-                cols = [part.column(k) for k in range(part.num_columns)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(x))], [*part.schema.names, "score"])
+        for b in sliced(batches):
+            x = np.array([statistics(t) for t in b.column(1).to_pylist()], float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], [*b.schema.names, "score"])
 
     return run
 

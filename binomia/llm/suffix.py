@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, longs, mix, ngram_hashes, space_words, stored
+from .common import WordHashes, longs, mix, ngram_hashes, sliced, space_words, stored
 
 #: Words by which kept suffixes are ordered.
 GRAM = 16
@@ -70,7 +70,7 @@ def prints(words: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: np.ndar
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _words()
-    for b in batches:
+    for b in sliced(batches):
         ws = [words(t) for t in b.column(1).to_pylist()]
         place = [np.arange(len(w), dtype=np.uint64) for w in ws]
         prints = [np.array([mix(mix(w + np.uint64(s)) + p).sum(dtype=np.uint64) for w, p in zip(ws, place, strict=True)], np.uint64) for s in (3, 5)]
@@ -83,7 +83,7 @@ def _suffixes(length: int, keys_only: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = _words(), set()
-        for b in batches:
+        for b in sliced(batches):
             rows: list[list[np.ndarray]] = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = words(t)
@@ -110,7 +110,7 @@ def _suffixes(length: int, keys_only: bool):
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
-        for b in batches:
+        for b in sliced(batches):
             for i, t, runs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 w = words(t)
                 start = np.unique(np.concatenate([np.arange(r["s0"], r["s1"] + 1) for r in runs]))

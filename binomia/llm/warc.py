@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import shared_dir, sliced, stored
 
 #: Ranges at most so far apart are read at once, up to MAX_READ bytes.
 MAX_GAP, MAX_READ = 64 << 10, 8 << 20
@@ -81,7 +81,7 @@ def _write(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, name = None, 0, ""
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for i, url, html, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
