@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from binomia.functions.text import normalize_epithets
 from binomia.operators.pick import SCORES, scores
+from binomia.sources.staging import staged
 
 #: Rounds of following synonyms; each round doubles the reach.
 CHASE_ROUNDS = 10
@@ -33,10 +34,9 @@ def embed_accepted(bb: DataFrame) -> DataFrame:
         moved = at.join(hop, "acc", "left")
         moves = F.col("syn") & F.col("next").isNotNull() & (F.col("acc") != F.col("taxon_id"))
         step = moved.select("taxon_id", "syn", F.when(moves, F.col("next")).otherwise(F.col("acc")).alias("acc"), (moves & (F.col("next") != F.col("acc"))).alias("moved"))
-        step = step.checkpoint() if bb.sparkSession.sparkContext.getCheckpointDir() else step.persist()
-        more = step.filter("moved").limit(1).count()
+        step = staged(step, "chase")
         at = step.drop("moved")
-        if not more:
+        if step.filter("moved").isEmpty():
             break
     target = bb.select(
         F.col("taxon_id").alias("accepted_taxon_id"),
