@@ -88,10 +88,6 @@ def fold_key(c: Column) -> Column:
     return squeeze(strip_accents(F.lower(c)))
 
 
-def join_nonempty(parts: list[Column], sep: str) -> Column:
-    return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), sep)
-
-
 def fenced(df: DataFrame) -> DataFrame:
     """The same rows and columns behind a generator of one row each.
 

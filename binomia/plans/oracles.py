@@ -249,5 +249,20 @@ g as (select *, sum(s) over (partition by user_id order by ts rows unbounded pre
 select user_id, min(ts) session_start, max(ts) + interval 30 minute session_end, count(*) n from g group by user_id, g""",
     "stream_resolve": f"{_RESOLVED} select row_idx, coalesce(mt, 'none') match_type, taxon_id from cleaned_rows c left join exact_hits e on e.nk = {_NK} where row_idx % 10 = 1 and input_name is not null",
     "stream_window_tally": "select time_bucket(interval 1 hour, ts) window_start, event_type, count(*) n from events group by all",
+    "qualifiers": rf"""
+with m as ({_M}) select row_idx, case when regexp_matches(input_name, '^[Cc][Ff]\.?\s') then 'cf.' else nullif(regexp_extract(input_name, '\b((?:{_Q})\.?)(?:\s|$)', 1), '') end qualifier,
+  case when regexp_matches(input_name, '^[Cc][Ff]\.?\s') then 1 when regexp_matches(input_name, '\b(?:{_Q})\.?(?:\s|$)') then length(regexp_extract(input_name, '^(.*?)\b(?:{_Q})\.?(?:\s|$)', 1)) + 1 end place,
+  regexp_replace(input_name, '\b(?:{_Q})\.?(\s|$)', ' \1', 'g') stripped from m""",
+    "extract_genera": f"select genus, min(family) family from ({duck(i.BACKBONE)}) where taxon_rank = 'SPECIES' and taxonomic_status = 'ACCEPTED' group by genus",
+    "genus_coverage": f"with b as ({duck(i.BACKBONE)}) select distinct genus, be backend from b join (values ('wfo', 2, 0), ('col', 7, 1)) v(be, m, r) on k % m = r where genus in (select genus from b where k % 3 = 1)",
+    "family_kingdom": """
+with g as (select c_name genus, cast(c_nationkey as varchar) family, case when c_custkey % 3 <> 0 then c_mktsegment end kingdom from customer),
+v as (select family, kingdom, count(*) c from g where kingdom is not null group by all), w as (select family, kingdom k from v qualify row_number() over (partition by family order by c desc, kingdom) = 1)
+select genus, family, coalesce(kingdom, k) kingdom from g left join w using (family)""",
+    "profile_flags": f"select taxon_id, case when k % 3 = 1 then k % 2 = 0 end is_extinct from ({duck(i.BACKBONE)})",
+    "scope_tally": "select coalesce(case when c_custkey % 5 <> 0 then c_mktsegment end, 'unknown') taxon_group, 'wfo' backend, count(*) n from customer where c_custkey % 4 = 2 group by 1",
+    "taxon_tally": "select coalesce(case when c_custkey % 5 <> 0 then c_mktsegment end, 'unknown') taxon_group, count(*) n, count(*) filter (c_custkey % 4 in (1, 2)) n_unmatched from customer group by 1",
+    "provenance": "select count(*) filter (c_custkey % 5 <> 0) n_matched, count(*) filter (c_custkey % 4 <> 1) n_total from customer",
+    "coordinates": "select c_custkey point_id, cast(c_custkey % 400 - 200 as double) lon, cast(c_custkey % 190 - 95 as double) lat from customer where c_custkey % 400 - 200 between -180 and 180 and c_custkey % 190 - 95 between -90 and 90",
     "data_conflicts": "select p_name as key, count(*) n_rows, count(distinct p_size) n_distinct from part group by 1 having count(distinct p_size) > 1",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from binomia.functions.text import is_aggregate_name, normalize_aggregate_name, normalize_epithets
 from binomia.operators import add_data, backbone, enrich, fuzzy, inspect, pick, region, register, report, reshape, scope, traits
-from binomia.operators.clean import CLEAN_COLUMNS, attach_agg_key, clean_names, hybrid_parents
+from binomia.operators.clean import CLEAN_COLUMNS, attach_agg_key, clean_names, hybrid_parents, qualifier_match, strip_qualifiers
 from binomia.operators.exact import match_exact, name_key
 from binomia.plans import inputs
 from binomia.plans.inputs import table
@@ -321,6 +321,67 @@ def q_match_tally(s, d):
     return report.match_tally(r.withColumn("match_type", F.coalesce("match_type", F.when(F.col("input_name").isNotNull(), "none"))))
 
 
+@query
+def q_qualifiers(s, d):
+    n = F.col("input_name")
+    found, place = qualifier_match(n)
+    return table(s, d, inputs.MARKED).select("row_idx", found.alias("qualifier"), place.cast("long").alias("place"), strip_qualifiers(n).alias("stripped"))
+
+
+@query
+def q_extract_genera(s, d):
+    return register.extract_genera(table(s, d, inputs.BACKBONE), "reptiledb").select("genus", "family")
+
+
+@query
+def q_genus_coverage(s, d):
+    bb = table(s, d, inputs.BACKBONE)
+    cover = register.build_coverage({"wfo": bb.filter("k % 2 = 0"), "col": bb.filter("k % 7 = 1")})
+    return scope.genus_coverage(cover, bb.filter("k % 3 = 1")).select("genus", "backend")
+
+
+@query
+def q_family_kingdom(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet")
+    reg = c.select(F.col("c_name").alias("genus"), F.col("c_nationkey").cast("string").alias("family"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("kingdom"))
+    return register.infer_kingdom_from_family(reg)
+
+
+@query
+def q_profile_flags(s, d):
+    bb = table(s, d, inputs.BACKBONE)
+    profile = bb.filter("k % 3 = 1").select(F.col("taxon_id").alias("taxonID"), F.when(F.col("k") % 2 == 0, "TRUE").otherwise("false").alias("isExtinct"))
+    return enrich.flags(bb.select("taxon_id"), profile, {"is_extinct": "isExtinct"})
+
+
+def _listed(s, d) -> DataFrame:
+    """A result-like list: customers as names, match types and groups by key."""
+    kind = F.element_at(F.array(*map(F.lit, ("exact", "none", "out_of_scope", "fuzzy"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    group = F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))
+    return s.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("input_name"), kind.alias("match_type"), group.alias("taxon_group"), F.when(F.col("c_custkey") % 4 != 1, F.col("c_name")).alias("matched_name"))
+
+
+@query
+def q_scope_tally(s, d):
+    return report.scope_tally(_listed(s, d), "wfo")
+
+
+@query
+def q_taxon_tally(s, d):
+    return report.taxon_tally(_listed(s, d))
+
+
+@query
+def q_provenance(s, d):
+    return enrich.provenance(_listed(s, d), ["taxon_group"])
+
+
+@query
+def q_coordinates(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 400 - 200).cast("double").alias("lon"), (F.col("c_custkey") % 190 - 95).cast("double").alias("lat"))
+    return region.valid_coordinates(c)
+
+
 @query
 def q_data_conflicts(s, d):
     return add_data.conflicts(s.read.parquet(f"{d}/part.parquet").withColumnRenamed("p_name", "key"), "key", ["p_size"])
