@@ -13,6 +13,7 @@ Each piece finds its place from its rank among the pieces of its length: a count
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -34,25 +35,34 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_added() -> dict[str, int]:
+    """Added tokens of that vocabulary, which the tokenizers library matches in plain text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
+def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> Callable[[str], np.ndarray]:
     """Token ids of a text, as unsigned 32-bit; one encoder per Python worker.
 
-    The ranks file holds the vocabulary of ``byte_bpe_50k.json``; ids are those that the
-    tokenizers library gives with that file and without special tokens.
+    The ranks file holds the vocabulary of ``byte_bpe_50k.json``. With its ``added`` tokens,
+    ids are those that the tokenizers library gives with that file and
+    ``add_special_tokens=False``; without, those under ``encode_special_tokens``.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: enc.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
+    return lambda text: enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, added: tuple[tuple[str, int], ...], capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part = encoder(path), TaskContext.get().partitionId()
+        ids_of, part = encoder(path, added), TaskContext.get().partitionId()
         end, ranks = np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -171,18 +181,21 @@ def _places(held):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """Rows ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one per piece.
 
     Every row of ``docs`` (doc_id, text) is tokenised (null: empty) and ends with
     ``end_id``; rows of more than ``capacity`` tokens are cut, the first piece takes the
     rest. Sequences are gapless from offset 0. An empty table gives no rows; repeated rows
     are packed as often as they come; other columns are ignored. ``tokenizer`` is a path
-    that every executor can read.
+    that every executor can read; ``added`` maps literal texts to ids of their own, and is
+    by default what the default vocabulary adds, or nothing with another ``tokenizer``.
     """
     spark = docs.sparkSession
+    if added is None:
+        added = {} if tokenizer else default_added()
     cut = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        _pieces(tokenizer or default_tokenizer(), capacity, end_id),
+        _pieces(tokenizer or default_tokenizer(), tuple(added.items()), capacity, end_id),
         "doc_id long, piece int, start long, length long, ids_crc32 long, local long, part int",
     )
     cut = stored(cut, "pieces")  # fixed from here on: ranks depend on partitions

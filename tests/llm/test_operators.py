@@ -269,6 +269,19 @@ def test_tokens_equal_the_tokenizers_library():
     assert all(ids(t).tolist() == e.ids for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
+def test_packing_matches_added_tokens_as_the_library_does(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(2)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "a  <|endoftext|>  \n b", "<|endoftext| >", "<|<|endoftext|>|>", "<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choice(["a", " ", "\n", "'s", "1", "é", "<|", "|>", "endoftext", "<|endoftext|>"]) for _ in range(20)) for _ in range(300)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got) == [(k, len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for k, w in enumerate(want)]
+
+
 @pytest.mark.parametrize("capacity", [7, 64, 2048])
 def test_packing(docs, rows, empty, capacity):
     got = packing.pack(docs, capacity).toPandas()
