@@ -248,6 +248,7 @@ with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id
 g as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) g from o)
 select user_id, min(ts) session_start, max(ts) + interval 30 minute session_end, count(*) n from g group by user_id, g""",
     "stream_resolve": f"{_RESOLVED} select row_idx, coalesce(mt, 'none') match_type, taxon_id from cleaned_rows c left join exact_hits e on e.nk = {_NK} where row_idx % 10 = 1 and input_name is not null",
+    "stream_resolve_all": f"{_RESOLVED} select row_idx, case when input_name is not null then coalesce(mt, 'none') end match_type, taxon_id from cleaned_rows c left join exact_hits e on e.nk = {_NK}",
     "stream_window_tally": "select time_bucket(interval 1 hour, ts) window_start, event_type, count(*) n from events group by all",
     "qualifiers": rf"""
 with m as ({_M}) select row_idx, case when regexp_matches(input_name, '^[Cc][Ff]\.?\s') then 'cf.' else nullif(regexp_extract(input_name, '\b((?:{_Q})\.?)(?:\s|$)', 1), '') end qualifier,

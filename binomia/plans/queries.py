@@ -14,7 +14,7 @@ from binomia.operators.exact import match_exact, name_key
 from binomia.plans import inputs
 from binomia.plans.inputs import table
 from binomia.plans.resolve import Backend, Options, resolve
-from binomia.sources.staging import staged
+from binomia.sources.staging import staged, staging_path
 from binomia.streaming.stream import resolve_stream, session_tally, window_tally
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,7 +172,8 @@ def q_enrich_species(s, d):
 @query
 def q_enrich_genus(s, d):
     bb = table(s, d, inputs.BACKBONE)
-    lead = bb.filter("k % 5 = 1").select("genus", F.col("family").alias("lead_family"), F.col("k").alias("src_ord"))
+    given = F.col("k") % 5 == 1  # rows without a family come last in the file
+    lead = bb.select("genus", F.when(given, F.col("family")).alias("lead_family"), F.struct((~given).alias("late"), "k").alias("src_ord"))
     return enrich.enrich(bb.select("taxon_id", "genus"), lead, {"lead_family": "lead_family"}, by="genus", order="src_ord")
 
 
@@ -196,8 +197,8 @@ def q_info_door(s, d):
 
 def _trait_tables(s, d) -> dict[str, DataFrame]:
     p = s.read.parquet(f"{d}/part.parquet").withColumn("canonical_name", F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1 << 30)))
-    bien = p.filter("p_partkey % 3 = 1").groupBy("canonical_name").agg(F.min(F.col("p_size") * 2.0).alias("plant_height_m"))
-    brot = p.filter("p_partkey % 11 = 1").groupBy("canonical_name").agg(F.max(F.col("p_size") + 0.0).alias("height_m"))
+    bien = p.groupBy("canonical_name").agg(F.min(F.when(F.col("p_partkey") % 3 == 1, F.col("p_size") * 2.0)).alias("plant_height_m"))
+    brot = p.groupBy("canonical_name").agg(F.max(F.when(F.col("p_partkey") % 11 == 1, F.col("p_size") + 0.0)).alias("height_m"))
     diaz = table(s, d, inputs.TRAIT_TABLE).groupBy("canonical_name").agg(F.min_by("plant_height_m", "src_ord").alias("plant_height_m"))
     return {"diaz_traits": diaz, "bien": bien, "brot": brot}
 
@@ -336,8 +337,9 @@ def q_extract_genera(s, d):
 @query
 def q_genus_coverage(s, d):
     bb = table(s, d, inputs.BACKBONE)
-    cover = register.build_coverage({"wfo": bb.filter("k % 2 = 0"), "col": bb.filter("k % 7 = 1")})
-    return scope.genus_coverage(cover, bb.filter("k % 3 = 1")).select("genus", "backend")
+    known = lambda where: bb.withColumn("genus", F.when(F.expr(where), F.col("genus")))
+    cover = register.build_coverage({"wfo": known("k % 2 = 0"), "col": known("k % 7 = 1")})
+    return scope.genus_coverage(cover, known("k % 3 = 1")).select("genus", "backend")
 
 
 @query
@@ -350,7 +352,8 @@ def q_family_kingdom(s, d):
 @query
 def q_profile_flags(s, d):
     bb = table(s, d, inputs.BACKBONE)
-    profile = bb.filter("k % 3 = 1").select(F.col("taxon_id").alias("taxonID"), F.when(F.col("k") % 2 == 0, "TRUE").otherwise("false").alias("isExtinct"))
+    known = F.when(F.col("k") % 2 == 0, "TRUE").otherwise("false")
+    profile = bb.select(F.col("taxon_id").alias("taxonID"), F.when(F.col("k") % 3 == 1, known).alias("isExtinct"))
     return enrich.flags(bb.select("taxon_id"), profile, {"is_extinct": "isExtinct"})
 
 
@@ -414,6 +417,17 @@ def q_stream_resolve(s, d):
     return _drained(out.select("row_idx", "match_type", "taxon_id"), "resolved_names")
 
 
+@query
+def q_stream_resolve_all(s, d):
+    """Every name, nulls included, as a stream against the static key index, into files."""
+    feed = staged(names(s, d), "feed")
+    stream = s.readStream.schema(feed.schema).parquet(feed.inputFiles()[0].rpartition("/")[0])
+    out = resolve_stream(stream, index(s, d)).select("row_idx", "match_type", "taxon_id")
+    path = staging_path(s, "resolved")
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(out.schema).parquet(path)
+
+
 @query
 def q_stream_window_tally(s, d):
     events = s.read.parquet(f"{d}/events.parquet")

@@ -5,23 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
-
-    The plan above starts from files that all executors share, so it stays small, is
-    computed once however often it is used, and survives lost executors. Without that
-    setting a temporary folder serves, in local mode only.
-    """
-    spark = df.sparkSession
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; without that setting a temporary one, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-binomia-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
+
+    The plan above starts from files that all executors share, so it stays small, is
+    computed once however often it is used, and survives lost executors.
+    """
+    spark, path = df.sparkSession, staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
