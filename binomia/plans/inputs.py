@@ -31,6 +31,9 @@ from (select l_orderkey, l_linenumber, upper(substr(p_name, 1, 1))||substr(p_nam
 #: Free text with accents: the first two words of documents.
 TEXT_NAMES = """select doc_id as row_idx, regexp_extract(text, '^([^ ]+ [^ ]+)', 1) as input_name from {documents}"""
 
+#: The same documents as a whole.
+WHOLE_TEXTS = """select doc_id as row_idx, text as input_name from {documents}"""
+
 #: Markers, signs and authors around part names, by part.
 MARKED = """
 select p_partkey as row_idx, case cast(p_partkey % 10 as int)

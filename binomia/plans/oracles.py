@@ -158,6 +158,7 @@ ORACLES: dict[str, str] = {
     "clean_names": f"with {clean(_N)} select * from cleaned_rows",
     "clean_marked": f"with {clean(f'select row_idx, input_name from ({_M})')} select * from cleaned_rows",
     "normalize_epithets": f"select row_idx, {norm('input_name')} as key from ({duck(i.TEXT_NAMES)})",
+    "normalize_epithets_all": f"select source, row_idx, {norm('input_name')} as key from (select 'name' source, * from ({duck(i.NAMES)}) union all select 'text', * from ({duck(i.WHOLE_TEXTS)}))",
     "normalize_aggregate": rf"""
 with m as (select *, '(?i)[ -](aggr?\.?|s\.\s*l\.?|sensu\s+lato|coll\.?(\s*sp(ecies)?\.?)?)$' p from ({_M})),
 o as (select *, case when regexp_matches(input_name, p) then regexp_replace(input_name, '(?i)[ -](aggr?\.?|s\.\s*l\.?|sensu\s+lato|coll\.?(\s*sp(ecies)?\.?)?)$', '')||' aggr.' else input_name end x from m)

@@ -63,6 +63,13 @@ def q_normalize_epithets(s, d):
     return table(s, d, inputs.TEXT_NAMES).select("row_idx", normalize_epithets(F.col("input_name")).alias("key"))
 
 
+@query
+def q_normalize_epithets_all(s, d):
+    """Keys of every name of the lines, and of every whole text."""
+    rows = [table(s, d, q).select(F.lit(k).alias("source"), "row_idx", "input_name") for k, q in (("name", inputs.NAMES), ("text", inputs.WHOLE_TEXTS))]
+    return rows[0].unionByName(rows[1]).select("source", "row_idx", normalize_epithets(F.col("input_name")).alias("key"))
+
+
 @query
 def q_normalize_aggregate(s, d):
     n = F.col("input_name")

@@ -49,6 +49,16 @@ def test_whole_tables_equal_sql(spark, con, name):
         assert not re.search(r"Filter .*%", df._jdf.queryExecution().analyzed().toString())
 
 
+def test_keys_of_whole_texts(spark, con):
+    df = entry.queries()["normalize_epithets_all"](spark, DIR).select("source", "row_idx", "key")
+    got = [tuple(r) for r in df.collect()]
+    assert plain(got) == plain(con.execute(f"select source, row_idx, key from ({ORACLES['normalize_epithets_all']})").fetchall())
+    size = {r[0]: r[1] for r in con.execute("select doc_id, length(text) from documents").fetchall()}
+    assert sum(s == "name" for s, _, _ in got) == con.execute("select count(*) from lineitem").fetchone()[0]
+    keys = {i: k for s, i, k in got if s == "text"}
+    assert keys.keys() == size.keys() and sum(map(len, keys.values())) > 0.9 * sum(size.values())
+
+
 def test_trait_sources_are_whole(spark):
     part = spark.read.parquet(f"{DIR}/part.parquet").select("p_name").distinct().count()
     tables = queries._trait_tables(spark, DIR)
