@@ -5,16 +5,19 @@ no table of replacements is needed and the same entity gets the same surrogate i
 document. Digits stay digits, letters keep case, script and vowel or consonant, separators
 stay; card numbers keep their check digit's validity, addresses their network class, given
 names their gender, phones their country code, mail addresses their top-level domain. A
-permutation maps different entities to different surrogates; :func:`collisions` checks it
-on the entities found.
+permutation maps different entities to different surrogates, and as it is a single cycle,
+none to itself; :func:`collisions` checks it on the entities found.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from ipaddress import IPv4Address, ip_network
+from math import gcd
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,31 +29,88 @@ KINDS = ("email", "phone", "ip", "card", "ssn", "name")
 #: Entities whose surrogates one Python worker remembers before it starts afresh.
 CACHE = 100_000
 
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Given names by gender; a name keeps its list.
+_FEMALE = "Alice Amelia Ana Anna Camille Carmen Charlotte Clara Elena Emily Emma Eva Hannah Helen Ines Julia Karin Laura Lea Louise Lucia Maria Marie Mary Nina Olga Paula Rosa Ruth Sofia Susan Ursula".split()
+_MALE = "Adam Albert Andrew Anton Bernard Carlos Charles Daniel David Diego Felix Frank George Hans Henry Hugo James Jan John Jorge Karl Louis Lucas Martin Michael Oscar Otto Paul Peter Pierre Simon Thomas".split()
+
+#: Signs that belong to the letter before them, and joiners.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c) in ("Mn", "Mc")) + "\u200c\u200d"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_TITLE, _GIVEN = r"(?:Mrs|Mr|Ms|Miss|Mme|Herr|Frau|Señora|Señor)\b\.?", "|".join(_FEMALE + _MALE)
+_IN, _CAPITAL = rf"[\w'’{_MARKS}-]", r"[^\W\d_a-zß-öø-ÿ]"
 _FIND = re.compile(
     r"(?P<email>[\w.+%-]+@[^\W_][\w-]*(?:\.[\w-]+)+)"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)"
+    r"|(?<![\w.+-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.+-])(?:1\.)?\d{3}\.\d{3}\.\d{4}(?!\.?\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w))"
-    r"|(?P<name>\b(?:Mrs|Mr|Ms|Miss|Mme|Herr|Frau|Señora|Señor)\b\.? [^\W\d_][\w'’-]*(?: [^\W\d_a-zß-öø-ÿ][\w'’-]*)?)"
+    rf"|(?P<name>\b(?:{_TITLE} [^\W\d_]{_IN}*(?: {_CAPITAL}{_IN}*)?|(?:{_GIVEN}) {_CAPITAL}{_IN}+))"
 )
+_DIGITS, _LONG = re.compile(r"\d+"), re.compile(r"\d(?:[ -]?\d){12,18}(?!\w)")
 #: A text without any of these has no entity.
-_HINT = re.compile(r"@|\d\d|\.\d|\b(?:M(?:rs|r|s|iss|me)|Herr|Frau|Señora?)\b")
+_HINT = re.compile(rf"@|\d\d|\.\d|\b(?:M(?:rs|r|s|iss|me)|Herr|Frau|Señora?)\b|(?:{_GIVEN}) ")
 
-#: Letters that stand in for each other. Other letters and signs stay.
+#: Letters that stand in for each other. Other letters and digits have those of their block, signs stay.
 _CLASSES = (
     "0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñćčďđģķłńňŕřśšťźżž",
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ",
 )
 _CLASS = {c: k for k in _CLASSES for c in k}
-#: Given names by gender; a name keeps its list.
-_FEMALE = "Alice Amelia Ana Anna Camille Carmen Charlotte Clara Elena Emily Emma Eva Hannah Helen Ines Julia Karin Laura Lea Louise Lucia Maria Marie Mary Nina Olga Paula Rosa Ruth Sofia Susan Ursula".split()
-_MALE = "Adam Albert Andrew Anton Bernard Carlos Charles Daniel David Diego Felix Frank George Hans Henry Hugo James Jan John Jorge Karl Louis Lucas Martin Michael Oscar Otto Paul Peter Pierre Simon Thomas".split()
+#: Scripts of more than one block of 128 code points.
+_WIDE = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xA000, 0xA490), (0xAC00, 0xD7B0), (0x20000, 0x2A6E0), (0x2A700, 0x323B0))
+
+
+def _block(x: int) -> tuple[int, int]:
+    return next((w for w in _WIDE if w[0] <= x < w[1]), (x & ~127, (x | 127) + 1))
+
+
+def _kind(c: str) -> tuple | None:
+    """What the class of a letter or digit outside :data:`_CLASSES` has in common; None for others."""
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN" or c in _CLASS or _small(c) != c:
+        return None
+    return _block(ord(c)), kind, _small(c.upper()) == c != c.upper() if len(c.upper()) == 1 else False
+
+
+def _small(c: str) -> str:
+    """The lower case of a capital that comes back from it; other characters stay."""
+    low = c.lower()
+    return low if c.isupper() and len(low) == 1 and low.upper() == c else c
+
+
+@lru_cache(maxsize=4096)
+def _class(c: str) -> str:
+    """The characters that may stand in for ``c``, which is one of them."""
+    if c in _CLASS or (kind := _kind(c)) is None:
+        return _CLASS.get(c, c)
+    same = _members(kind)
+    return same if len(same) > 1 else _lone()[kind[2]]
+
+
+@lru_cache(maxsize=256)
+def _members(kind: tuple) -> str:
+    return "".join(d for d in map(chr, range(*kind[0])) if _kind(d) == kind)
+
+
+@lru_cache(maxsize=1)
+def _lone() -> dict[bool, str]:
+    """Characters that are alone of their kind, by whether they have a capital."""
+    seen: dict[tuple, str] = {}
+    for c in map(chr, range(0x110000)):
+        if (kind := _kind(c)) is not None:
+            seen[kind] = c if kind not in seen else ""
+    return {k: "".join(c for kind, c in seen.items() if c and kind[2] == k) for k in (False, True)}
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(size): Feistel rounds on two digits, repeated until inside."""
+    """A keyed permutation of range(size) that is one cycle: nothing but a lone value stays.
+
+    Feistel rounds on two digits, repeated until inside, deal new places to the values; a
+    fixed step that has no divisor in common with ``size`` leads from place to place.
+    """
+    if size < 2:
+        return value
     a = 1
     while a * a < size:
         a <<= 1
@@ -65,14 +125,26 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
             x = (x + part(y, r)) % a
             y = (y + part(x, r + 1)) % b
         value = x * b + y
+        if value < size:
+            break
+    step = 1 + part(0, 8) % (size - 1)
+    while gcd(step, size) > 1:
+        step -= 1
+    value = (value + step) % size
+    while True:
+        x, y = divmod(value, b)
+        for r in range(6, -2, -2):
+            y = (y - part(x, r + 1)) % b
+            x = (x - part(y, r)) % a
+        value = x * b + y
         if value < size:
             return value
 
 
 def letters(text: str, key: bytes, tweak: str) -> str:
     """Each letter and digit by another of its class, case kept; one number for all of them."""
-    low = [c.lower() if len(c.lower()) == 1 else c for c in text]
-    sets = [_CLASS.get(c, c) for c in low]
+    low = [_small(c) for c in text]
+    sets = [_class(c) for c in low]
     value, size = 0, 1
     for c, s in zip(low, sets, strict=True):
         value, size = value * len(s) + s.index(c), size * len(s)
@@ -80,10 +152,9 @@ def letters(text: str, key: bytes, tweak: str) -> str:
         return text
     form = "".join(s[0] for s in sets)
     value, out = permute(value, size, key, f"{tweak}|{form}"), []
-    for c, s in zip(reversed(text), reversed(sets), strict=True):
+    for c, l, s in zip(reversed(text), reversed(low), reversed(sets), strict=True):
         value, k = divmod(value, len(s))
-        new = s[k] if len(s) > 1 else c
-        out.append(new.upper() if c.isupper() and len(new.upper()) == 1 else new)
+        out.append(s[k] if c == l else s[k].upper())
     return "".join(reversed(out))
 
 
@@ -102,7 +173,8 @@ def _card(text: str, key: bytes) -> str:
     digits = "".join(c for c in text if c.isdecimal())
     body = letters(digits[1:-1], key, "card")
     head = digits[0] + body
-    return _refill(text, head + str(next(d for d in range(10) if luhn(head + str(d)) == luhn(digits))))
+    check = next(d for d in range(10) if luhn(head + str(d)) == luhn(digits))
+    return _refill(text, head + chr(ord(digits[-1]) - int(digits[-1]) + check))
 
 
 #: Networks that keep their addresses to themselves.
@@ -126,7 +198,7 @@ def _ip(text: str, key: bytes) -> str:
 
 
 def _phone(text: str, key: bytes) -> str:
-    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)
+    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|1(?=[-.])", text)
     at = code.end() if code else 0
     return text[:at] + letters(text[at:], key, f"phone{text[:at]}")
 
@@ -137,13 +209,16 @@ def _email(text: str, key: bytes) -> str:
 
 
 def _name(text: str, key: bytes) -> str:
-    title, first, *more = re.match(r"(\w+\.?) (\S+)(?: (\S+))?", text).groups()
-    more = [m for m in more if m]
-    for names in (_FEMALE, _MALE):
-        if more and first in names:
-            given = names[permute(names.index(first), len(names), key, names[0])]
-            return " ".join([title, given, *(letters(m, key, "surname") for m in more)])
-    return " ".join([title, *(letters(m, key, "surname") for m in [first, *more])])
+    title, rest = re.match(rf"({_TITLE} )?(.*)", text, re.DOTALL).groups()
+    first, *more = rest.split(" ")
+    given = next((names for names in (_FEMALE, _MALE) if more and first in names), None)
+    if given:
+        new = given[permute(given.index(first), len(given), key, given[0])]
+    else:
+        new = letters(first, key, "surname")
+        while more and (new in _FEMALE or new in _MALE):  # those stand for each other
+            new = letters(new, key, "surname")
+    return (title or "") + " ".join([new, *(letters(m, key, "surname") for m in more)])
 
 
 _MAKE = {"email": _email, "phone": _phone, "ip": _ip, "card": _card, "ssn": lambda t, k: letters(t, k, "ssn"), "name": _name}
@@ -167,15 +242,32 @@ class Surrogates:
         """(kind, start, stop, surrogate) of each entity, left to right."""
         if not text or not _HINT.search(text):
             return []
-        out = []
-        for m in _FIND.finditer(text):
-            kind, found = m.lastgroup, m.group()
-            if kind == "card" and luhn("".join(c for c in found if c.isdecimal())):
-                continue
-            out.append((kind, m.start(), m.end(), self.of(kind, found)))
+        out, at = [], 0
+        while m := _FIND.search(text, at):
+            kind, start, at = m.lastgroup, m.start(), m.end()
+            if kind == "card" and luhn("".join(c for c in m.group() if c.isdecimal())):
+                inside = _card_inside(text, start, at)
+                if inside is None:  # what else may begin at a later group
+                    at = next((g.start() for g in _DIGITS.finditer(text, start + 1, at) if not text[g.start() - 1].isdecimal()), at)
+                    continue
+                start, at = inside
+            out.append((kind, start, at, self.of(kind, text[start:at])))
         return out
 
 
+def _card_inside(text: str, start: int, stop: int) -> tuple[int, int] | None:
+    """The first, then longest run of whole digit groups from within a span that is a card's number."""
+    for g in _DIGITS.finditer(text, start, stop):
+        run = _LONG.match(text, g.start())
+        if not run:
+            continue
+        for e in reversed(list(_DIGITS.finditer(text, g.start(), run.end()))):
+            digits = "".join(c for c in text[g.start() : e.end()] if c.isdecimal())
+            if len(digits) >= 13 and not luhn(digits):
+                return g.start(), e.end()
+    return None
+
+
 def _replace(key: str):
     entity = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 

@@ -181,6 +181,32 @@ def test_pii_surrogates(spark, empty):
     assert pii.pseudonymised(empty, "k").count() == 0
 
 
+def test_pii_of_all_scripts_without_fixed_points(spark):
+    names = ["李明", "Bo", "Ли", "हिन्दी", "محمد", "김철수", "İ", "ß", "Øß", "ΣΑΣ"]
+    phones = ["743-555-3824", "743.555.3824", "1-743-555-3824"]
+    cards = ["Order 41 4111 1111 1111 1111", "4111-1111-1111-1111 12", "no 4111 1111 1111 1112 end"]
+    texts = [f"Mr. {n}" for n in names] + phones + cards + ["met John Smith today", "1٣.1.1.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r.doc_id]: r for r in pii.pseudonymised(df, "k").collect()}
+    for n in names:
+        assert [e.kind for e in got[f"Mr. {n}"].entities] == ["name"] and n not in got[f"Mr. {n}"].text
+    assert all([(e.kind, e.start, e.stop) for e in got[p].entities] == [("phone", 0, len(p))] and got[p].text != p for p in phones)
+    assert got[phones[2]].text.startswith("1-")
+    assert [[(e.kind, e.start, e.stop) for e in got[c].entities] for c in cards] == [[("card", 9, 28)], [("card", 0, 19)], []]
+    assert pii.luhn("".join(c for c in got[cards[0]].text[9:] if c.isdigit())) == 0
+    assert not re.search("John|Smith", got["met John Smith today"].text) and got["1٣.1.1.1"].entities == []
+    assert pii.collisions(df, "k").count() == 0
+
+
+def test_short_names_have_surrogates_of_their_own():
+    every = [a.upper() + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouy"]
+    for key in ("a", "b", "c"):
+        made = pii.Surrogates(key)
+        new = [made.of("name", f"Mr. {n}") for n in every]
+        assert sorted(new) == sorted(f"Mr. {n}" for n in every) and not any(x == f"Mr. {n}" for x, n in zip(new, every, strict=True))
+    assert all(pii.permute(v, n, b"k" * 16, "t") != v for n in (2, 3, 12, 100) for v in range(n))
+
+
 def test_permutation_is_one():
     for size in (1, 2, 7, 100, 257):
         assert sorted(pii.permute(v, size, b"k" * 16, "t") for v in range(size)) == list(range(size))
