@@ -1,7 +1,8 @@
 """Media columns: baseline JPEG made from bytes, parsed, Huffman-decoded, and fingerprinted.
 
-The decoder handles grey baseline scans (8-bit samples, any Huffman tables, one component,
-optional restart intervals). It runs over many images at once: every restart interval of
+The decoder handles baseline scans (8-bit samples, any Huffman tables, grey or YCbCr with
+any sampling factors, one scan or several, optional restart intervals) and keeps the
+luminance. What it can't read (progressive, RGB, CMYK, damaged) gives nulls. It runs over many images at once: every restart interval of
 every image is a lane, and all lanes decode their k-th coefficient in the same numpy step.
 Only DC values are turned into samples: a thumbnail has one sample per 8x8 block.
 
@@ -77,22 +78,39 @@ class Image:
     height: int
     blocks: tuple[int, int]
     interval: int
-    tables: dict[int, tuple[bytes, bytes]]
+    #: Minimum coded units per row and rows; per block of one: its component and Huffman tables.
+    units: tuple[int, int]
+    mcu: tuple[tuple[int, tuple[bytes, bytes], tuple[bytes, bytes]], ...]
+    #: Luminance blocks per row and rows of a unit.
+    own: tuple[int, int]
     quant: int
     comment: bytes
     scan: np.ndarray
 
 
+def _entropy(data: bytes, at: int) -> np.ndarray:
+    """Entropy-coded bytes from ``at`` up to the next marker that isn't a restart."""
+    s = np.frombuffer(data, np.uint8, len(data) - at, at)
+    ff = np.flatnonzero(s[:-1] == 255)
+    code = s[ff + 1]
+    stop = ff[(code != 0) & (code != 255) & ((code < 0xD0) | (code > 0xD7))]
+    return s[: stop[0]] if len(stop) else s
+
+
 def parse(data: bytes) -> Image:
-    """Headers of a grey baseline JPEG and its entropy-coded bytes."""
+    """Headers of a baseline JPEG and the entropy-coded bytes of the scan with its luminance."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, tables, quants, comment, interval, frame, ids = 2, {}, {}, b"", 0, None, (0, 0)
+    at, tables, quants, comment, interval, frame, adobe = 2, {}, {}, b"", 0, None, None
     while True:
+        while data[at : at + 2] == b"\xff\xff":
+            at += 1
         if data[at] != 0xFF:
             raise ValueError("marker expected")
         marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
+        if size < 2 or len(body) != size - 2:
+            raise ValueError("segment cut short")
         at += 2 + size
         if marker == 0xC4:
             while body:
@@ -104,24 +122,47 @@ def parse(data: bytes) -> Image:
                 step = 65 if body[0] < 16 else 129
                 quants[body[0] & 15] = body[1] if step == 65 else int.from_bytes(body[1:3], "big")
                 body = body[step:]
-        elif marker == 0xC0:
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("only grey images of 8 bits")
-            frame = int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), body[8]
+        elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("only samples of 8 bits")
+            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
+            frame = int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), parts
         elif marker == 0xDD:
             interval = int.from_bytes(body, "big")
         elif marker == 0xFE:
             comment = body
+        elif marker == 0xEE and body[:5] == b"Adobe":
+            adobe = body[11]
         elif marker == 0xDA:
-            ids = body[2] >> 4, 16 | body[2] & 15
-            break
-        elif 0xC1 <= marker <= 0xCF:
+            if frame is None:
+                raise ValueError("scan without a frame")
+            asked = {body[k]: (tables.get(body[k + 1] >> 4), tables.get(16 | body[k + 1] & 15)) for k in range(1, 1 + 2 * body[0], 2)}
+            if frame[2][0][0] in asked:
+                break
+            at += len(_entropy(data, at))
+        elif 0xC2 <= marker <= 0xCF:
             raise ValueError("only baseline frames")
-    w, h, q = frame
-    blocks = -(-w // 8), -(-h // 8)
-    stop = data.rfind(b"\xff\xd9")
-    scan = np.frombuffer(data, np.uint8, (stop if stop >= at else len(data)) - at, at)
-    return Image(w, h, blocks, interval, {0: tables[ids[0]], 1: tables[ids[1]]}, quants[q], comment, scan)
+        elif marker == 0xD9:
+            raise ValueError("no scan of the luminance")
+    w, h, parts = frame
+    if len(parts) not in (1, 3) or len(parts) == 3 and (adobe == 0 or bytes(p[0] for p in parts) == b"RGB"):
+        raise ValueError("only grey and YCbCr")
+    if not w or not h or any(not 1 <= f <= 4 for p in parts for f in p[1:3]):
+        raise ValueError("no such size")
+    most = max(p[1] for p in parts), max(p[2] for p in parts)
+    wide, high = (-(-(-(-n * f // m)) // 8) for n, f, m in zip((w, h), parts[0][1:3], most, strict=True))
+    here = [(k, p) for k, p in enumerate(parts) if p[0] in asked]
+    if len(here) == 1:
+        units, own, mcu = (wide, high), (1, 1), [(0, *asked[parts[0][0]])]
+    else:
+        units, own = (-(-w // (8 * most[0])), -(-h // (8 * most[1]))), parts[0][1:3]
+        mcu = [(k, *asked[p[0]]) for k, p in here for _ in range(p[1] * p[2])]
+    if any(t is None for m in mcu for t in m[1:]):
+        raise ValueError("no such Huffman table")
+    scan = _entropy(data, at)
+    if 2 * units[0] * units[1] * len(mcu) > 8 * len(scan):  # a block takes two bits at least
+        raise ValueError("scan cut short")
+    return Image(w, h, (wide, high), interval, units, tuple(mcu), own, quants[parts[0][3]], comment, scan)
 
 
 def _lookup(table: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +201,8 @@ def _lanes(images: list[Image]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = np.ones(len(s), bool)
         keep[stuffed] = keep[marks] = keep[marks - 1] = False
         shift = np.cumsum(keep)
-        n = m.blocks[0] * m.blocks[1]
-        each = m.interval or n
+        n = m.units[0] * m.units[1] * len(m.mcu)
+        each = m.interval * len(m.mcu) or n
         if len(marks) != -(-n // each) - 1:
             raise ValueError("restart markers don't fit the image")
         starts.append(base + np.concatenate([[0], shift[marks]]))
@@ -172,17 +213,17 @@ def _lanes(images: list[Image]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def coefficients(images: list[Image]) -> list[np.ndarray]:
-    """Quantised coefficients (blocks x 64, zigzag order, DC undone) of images with equal tables."""
+    """Quantised luminance (blocks x 64, zigzag order, DC undone) of images with equal units and tables."""
     raw, starts, sizes = _lanes(images)
     word = raw.astype(np.uint64)
     win = np.zeros(len(raw) - 4, np.uint64)
     for k in range(5):
         win |= word[k : k + len(win)] << np.uint64(8 * (4 - k))  # 40 bits from each byte
-    dc, ac = _lut(images[0].tables[0]), _lut(images[0].tables[1])
+    mcu = [(k, _lut(dc), _lut(ac)) for k, dc, ac in images[0].mcu]
     top = len(win) - 1
     first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     out = np.zeros((int(sizes.sum()), 64), np.int32)
-    pos, past = starts * 8, np.zeros(len(starts), np.int64)
+    pos, past = starts * 8, np.zeros((1 + max(k for k, _, _ in mcu), len(starts)), np.int64)
 
     def take(lanes: np.ndarray, lut: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Run, category and value of the next code of ``lanes``; moves them on."""
@@ -202,9 +243,10 @@ def coefficients(images: list[Image]) -> list[np.ndarray]:
     for block in range(int(sizes.max(initial=0))):
         lanes = np.flatnonzero(sizes > block)
         row = first[lanes] + block
+        part, dc, ac = mcu[block % len(mcu)]
         _, _, v = take(lanes, dc)
-        past[lanes] += v
-        out[row, 0] = past[lanes]
+        past[part, lanes] += v
+        out[row, 0] = past[part, lanes]
         k = np.ones(len(lanes), np.int64)
         while len(lanes):
             run, cat, v = take(lanes, ac)
@@ -218,21 +260,48 @@ def coefficients(images: list[Image]) -> list[np.ndarray]:
             on = ((cat > 0) | (run == 15)) & (k < 64)
             if not on.all():
                 lanes, row, k = lanes[on], row[on], k[on]
-    cuts = np.cumsum([m.blocks[0] * m.blocks[1] for m in images])[:-1]
-    return np.split(out, cuts)
-
-
-def decode(data: list[bytes]) -> list[tuple[Image, np.ndarray]]:
-    """Images and their coefficients; images with the same tables share their steps."""
-    images = [parse(d) for d in data]
-    groups: dict[tuple, list[int]] = {}
-    for k, m in enumerate(images):
-        groups.setdefault((m.tables[0], m.tables[1]), []).append(k)
-    out: list[np.ndarray | None] = [None] * len(images)
-    for at in groups.values():
-        for k, c in zip(at, coefficients([images[k] for k in at]), strict=True):
-            out[k] = c
-    return list(zip(images, out, strict=True))
+    if (pos > np.append(starts[1:], len(raw) - 16) * 8).any():
+        raise ValueError("scan cut short")
+    cuts = np.cumsum([m.units[0] * m.units[1] * len(m.mcu) for m in images])[:-1]
+    return [_raster(m, c) for m, c in zip(images, np.split(out, cuts), strict=True)]
+
+
+def _raster(m: Image, coef: np.ndarray) -> np.ndarray:
+    """The luminance blocks row by row, from all blocks in coded order."""
+    if len(m.mcu) == 1:
+        return coef
+    (ux, uy), (h, v) = m.units, m.own
+    grid = coef.reshape(uy, ux, len(m.mcu), 64)[:, :, : h * v].reshape(uy, ux, v, h, 64)
+    return grid.transpose(0, 2, 1, 3, 4).reshape(uy * v, ux * h, 64)[: m.blocks[1], : m.blocks[0]].reshape(-1, 64)
+
+
+#: What damaged or foreign bytes may raise.
+_BROKEN = (ValueError, IndexError, KeyError, TypeError, OverflowError)
+
+
+def decode(data: list[bytes | None]) -> list[tuple[Image, np.ndarray] | None]:
+    """Images and their coefficients, None for unreadable ones; images with the same tables share their steps."""
+    groups: dict[tuple, list[tuple[int, Image]]] = {}
+    for k, d in enumerate(data):
+        try:
+            m = parse(d)
+        except _BROKEN:
+            continue
+        groups.setdefault(m.mcu, []).append((k, m))
+    out: list[tuple[Image, np.ndarray] | None] = [None] * len(data)
+    for group in groups.values():
+        try:
+            found = coefficients([m for _, m in group])
+        except _BROKEN:  # each for itself, so that only the damaged ones are lost
+            found = []
+            for _, m in group:
+                try:
+                    found += coefficients([m])
+                except _BROKEN:
+                    found.append(None)
+        for (k, m), c in zip(group, found, strict=True):
+            out[k] = None if c is None else (m, c)
+    return out
 
 
 def thumbnail(m: Image, coef: np.ndarray) -> np.ndarray:
@@ -253,10 +322,12 @@ def thumbnail_hash(t: np.ndarray) -> str:
     return np.packbits(bright.ravel()).tobytes().hex()
 
 
-def payload(m: Image, coef: np.ndarray) -> bytes:
-    """The bytes that :func:`encode` stored."""
-    v = coef.ravel()
-    return (np.where(v < 0, v + 255, v).astype(np.uint8))[: int(m.comment.removeprefix(b"bytes="))].tobytes()
+def payload(m: Image, coef: np.ndarray) -> bytes | None:
+    """The bytes that :func:`encode` stored; None for images of other writers."""
+    size, v = m.comment.removeprefix(b"bytes="), coef.ravel()
+    if size == m.comment or not size.isdigit() or int(size) > len(v):
+        return None
+    return (np.where(v < 0, v + 255, v).astype(np.uint8))[: int(size)].tobytes()
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -276,10 +347,10 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunks(media: list[bytes]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for k, m in enumerate(media):
-        if k > start and size + len(m) > CHUNK:
+        if k > start and size + len(m or b"") > CHUNK:
             yield start, k
             start, size = k, 0
-        size += len(m)
+        size += len(m or b"")
     if start < len(media):
         yield start, len(media)
 
@@ -289,9 +360,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         media = b.column(2).to_pylist()
         for lo, hi in _chunks(media):
             rows = []
-            for data, (m, coef) in zip(media[lo:hi], decode(media[lo:hi]), strict=True):
+            for data, seen in zip(media[lo:hi], decode(media[lo:hi]), strict=True):
+                own = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                if seen is None:
+                    rows.append((None, None, None, *own, None, None, None, None))
+                    continue
+                m, coef = seen
                 back, t = payload(m, coef), thumbnail(m, coef)
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), m.width, m.height, hashlib.sha256(t.tobytes()).hexdigest(), thumbnail_hash(t)))
+                kept = (None, None, None) if back is None else (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]))
+                rows.append((*kept, *own, m.width, m.height, hashlib.sha256(t.tobytes()).hexdigest(), thumbnail_hash(t)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             part = b.slice(lo, hi - lo)
@@ -310,7 +387,8 @@ def media_features(media: DataFrame) -> DataFrame:
     """What stored images (doc_id, n_bytes, media) show when read back.
 
     ``width, height`` in samples, SHA-256 and 64-bit hash of the DC thumbnail, and the
-    payload that :func:`media_column` stored, recovered from the coefficients.
+    payload that :func:`media_column` stored, recovered from the coefficients: null for
+    images of other writers. Unreadable images have nulls but for their bytes and SHA-256.
     """
     return media.mapInArrow(
         _features,

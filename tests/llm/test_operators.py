@@ -445,3 +445,66 @@ def test_jpeg_of_another_encoder():
     assert (coef == blocks).all() and (m.width, m.height, m.quant) == (16, 16, 3)
     assert media.payload(m2, c2) == b"\x80" * 576
     assert media.thumbnail(m, coef).tolist() == [[130, 127], [203, 128]]
+
+
+def colour_jpeg(blocks, wide, high, sampling, apart=False):
+    """A YCbCr image of blocks per component (rows x columns x 64), interleaved or a scan each."""
+    seg, symbols = media._segment, sorted({(r << 4) | c for r in range(16) for c in range(1, 8)} | {0, 0xF0})
+    mag = lambda v, c: "" if c == 0 else format(v if v > 0 else v + (1 << c) - 1, f"0{c}b")
+
+    def coded(b, past):
+        c = int(abs(b[0] - past)).bit_length()
+        out, run = format(c, "04b") + mag(int(b[0] - past), c), 0
+        for v in b[1 : 1 + max([k for k in range(1, 64) if b[k]], default=0)]:
+            if not v:
+                run += 1
+                continue
+            out, run = out + format(symbols.index(0xF0), "08b") * (run // 16), run % 16
+            c = int(abs(v)).bit_length()
+            out, run = out + format(symbols.index((run << 4) | c), "08b") + mag(int(v), c), 0
+        return out if b[63] else out + format(symbols.index(0), "08b")
+
+    def scan(parts):
+        out, past = "", [0, 0, 0]
+        step = [(1, 1)] if len(parts) == 1 else [sampling[k] for k in parts]
+        rows, cols = blocks[parts[0]].shape[0] // step[0][1], blocks[parts[0]].shape[1] // step[0][0]
+        for y in range(rows):
+            for x in range(cols):
+                for k, (h, v) in zip(parts, step, strict=True):
+                    for b in (blocks[k][y * v + j, x * h + i] for j in range(v) for i in range(h)):
+                        out, past[k] = out + coded(b, past[k]), b[0]
+        out += "1" * (-len(out) % 8)
+        raw = bytes(int(out[k : k + 8], 2) for k in range(0, len(out), 8)).replace(b"\xff", b"\xff\x00")
+        return seg(0xDA, bytes([len(parts), *[x for k in parts for x in (k + 1, 0)], 0, 63, 0])) + raw
+
+    frame = bytes([8, 0, high, 0, wide, 3, *[x for k, (h, v) in enumerate(sampling) for x in (k + 1, h << 4 | v, 0)]])
+    head = b"\xff\xd8" + seg(0xDB, bytes([0, *[3] * 64])) + seg(0xC0, frame)
+    head += seg(0xC4, bytes([0x00, 0, 0, 0, 12, *[0] * 12, *range(12)])) + seg(0xC4, bytes([0x10, *[0] * 7, len(symbols), *[0] * 8, *symbols]))
+    return head + b"".join(map(scan, [[1], [0], [2]] if apart else [[0, 1, 2]])) + b"\xff\xd9"
+
+
+def test_colour_and_unreadable_images(spark):
+    rng = np.random.default_rng(4)
+
+    def some(rows, cols):
+        b = np.zeros((rows, cols, 64), int)
+        b[..., 0] = rng.integers(-200, 200, (rows, cols))
+        b[..., rng.integers(1, 64, 5)] = rng.integers(-100, 100, (rows, cols, 5))
+        return b
+
+    y = some(4, 4)
+    half = colour_jpeg([y, some(2, 2), some(2, 2)], 24, 20, [(2, 2), (1, 1), (1, 1)])
+    full = colour_jpeg([y, some(4, 4), some(4, 4)], 32, 32, [(1, 1)] * 3)
+    apart = colour_jpeg([y[:3, :3], some(2, 2), some(2, 2)], 24, 20, [(2, 2), (1, 1), (1, 1)], True)
+    (m, c), (_, c2), (_, c3) = media.decode([half, full, apart])
+    assert m.blocks == (3, 3) and (c == y[:3, :3].reshape(-1, 64)).all() and (c2 == y.reshape(-1, 64)).all() and (c3 == c).all()
+    own = media.encode(b"\x80" * 576)
+    grey = own.replace(b"bytes=576", b"by anyone")
+    data = [own, half, grey, b"", b"not an image", None, own[:-300], half[: len(half) // 2], half.replace(b"\xff\xc0", b"\xff\xc2")]
+    got = media.media_features(spark.createDataFrame([(k, 1, d) for k, d in enumerate(data)], "doc_id long, n_bytes long, media binary").coalesce(1)).collect()
+    got = {r.doc_id: r for r in got}
+    assert len(got) == len(data)
+    assert [r for r in got if got[r].thumbnail_hash is not None] == [0, 1, 2] and [r for r in got if got[r].payload_sha256] == [0]
+    assert (got[1].width, got[1].height) == (24, 20) and got[5].media_bytes is None and got[3].media_bytes == 0
+    want = np.clip((y[:3, :3, 0] * 3 + 4 >> 3) + 128, 0, 255).astype(np.uint8)
+    assert got[1].thumbnail_sha256 == hashlib.sha256(want.tobytes()).hexdigest()
