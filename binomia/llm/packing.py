@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Blank runs (Unicode white space) from this length on are encoded apart.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
 def default_tokenizer() -> str:
     """Where the ranks of the public byte-level BPE vocabulary lie on this machine."""
     import public_tokenizers
@@ -56,8 +61,32 @@ def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> Callable[[str
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
-    return lambda text: enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
+    ids = dict(added)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ids)
+    literal = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")") if ids else None
+
+    def apart(text: str) -> np.ndarray:
+        """Long blank runs encoded by themselves: their pattern would overflow the encoder's stack."""
+        out: list[int] = []
+        for part in literal.split(text) if literal else [text]:
+            if part in ids:
+                out.append(ids[part])
+                continue
+            at = 0
+            for run in _BLANKS.finditer(part):
+                stop = run.end() - (run.end() < len(part))  # the last blank goes with what follows
+                out += enc.encode_ordinary(part[at : run.start()])
+                out += enc._encode_single_piece(part[run.start() : stop])
+                at = stop
+            out += enc.encode_ordinary(part[at:])
+        return np.array(out, "<u4")
+
+    def encode(text: str) -> np.ndarray:
+        if _BLANKS.search(text):
+            return apart(text)
+        return enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
+
+    return encode
 
 
 def _pieces(path: str, added: tuple[tuple[str, int], ...], capacity: int, end_id: int):
@@ -187,7 +216,8 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str
     Every row of ``docs`` (doc_id, text) is tokenised (null: empty) and ends with
     ``end_id``; rows of more than ``capacity`` tokens are cut, the first piece takes the
     rest. Sequences are gapless from offset 0. An empty table gives no rows; repeated rows
-    are packed as often as they come; other columns are ignored. ``tokenizer`` is a path
+    are packed as often as they come, ties of length in no fixed order; other columns are
+    ignored. Texts of any length and runs of any sign are encoded whole. ``tokenizer`` is a path
     that every executor can read; ``added`` maps literal texts to ids of their own, and is
     by default what the default vocabulary adds, or nothing with another ``tokenizer``.
     """
