@@ -3,14 +3,15 @@
 Each version of a text is a blob, addressed by its SHA-256. The ledger remembers which
 (blob, rule version) pairs have been scanned and what was found, so a later run scans only
 unseen pairs, and findings join back to every path that ever held the blob. All work is
-DataFrame functions: pieces between matches give the positions that regexes don't.
+DataFrame functions: pieces between matches give the positions that regexes don't, as
+running sums over the matches of a (blob, rule), so the work is linear in the matches.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -20,7 +21,8 @@ from .common import shared_dir
 class Rule:
     """Leftmost non-overlapping matches of ``pattern``; those with a short ``group`` are dropped.
 
-    ``hint`` is a cheap regex without which a text can't match.
+    ``hint`` is a cheap regex without which a text can't match. Where a match is the group and
+    can't begin inside a shorter one, the least length is in the pattern: fewer matches to drop.
     """
 
     kind: str
@@ -33,8 +35,8 @@ class Rule:
 #: Kinds in the order in which equal starts are listed; the first three are the base.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, r"(?i:password|passwd|secret|token|api_?key)"),
-    Rule("access", "AKIA[A-Z0-9]+", 20, 0, "AKIA"),
-    Rule("hex", "[0-9a-f]+", 24, 0, "[0-9a-f]{24}"),
+    Rule("access", "AKIA[A-Z0-9]{16,}", 20, 0, "AKIA"),
+    Rule("hex", "[0-9a-f]{24,}", 24, 0, "[0-9a-f]{24}"),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, "PRIVATE KEY-----"),
     Rule("forge", "gh[opsur]_[A-Za-z0-9]+", 40, 0, "gh[opsur]_"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0, "eyJ"),
@@ -43,40 +45,42 @@ BASE = 3
 RULE_VERSION = "1"
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, ord, stop>> of one rule, by code points."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    between = F.split(text, rule.pattern, -1)
-    sizes = F.arrays_zip(
-        F.transform(between, lambda x: F.length(x)).alias("gap"),
-        F.transform(whole, lambda x: F.length(x)).alias("size"),
-        F.transform(tested, lambda x: F.length(x)).alias("tested"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,stop:int>>").alias("out"))
+_SPANS, _MASKS = "array<struct<start:int,ord:int,stop:int>>", "array<struct<start:int,stop:int>>"
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        stop = start + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), stop.alias("stop"))
-        keep = F.coalesce(x["tested"], F.lit(-1)) >= max(rule.least, 1)
-        return F.struct(stop.alias("at"), F.when(keep, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
-    found = F.aggregate(sizes, zero, step)["out"]
-    return F.when(text.rlike(rule.hint), found) if rule.hint else found
+def _pieces(text: Column, rule: Rule, order: int) -> Column:
+    """array<struct<ord, gap, size, tested>> of one rule's matches: length before, of, and to be tested."""
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
+    parts = F.arrays_zip(lengths(F.split(text, rule.pattern, -1)).alias("gap"), lengths(whole).alias("size"), lengths(tested).alias("tested"))
+    found = F.transform(parts, lambda x: F.struct(F.lit(order).alias("ord"), x["gap"].alias("gap"), x["size"].alias("size"), x["tested"].alias("tested")))
+    return F.when(text.rlike(rule.hint), F.filter(found, lambda x: x["size"].isNotNull())) if rule.hint else found
 
 
 def scan(texts: DataFrame) -> DataFrame:
-    """``blob, spans`` of the blobs (blob, text) in which a rule finds something."""
-    none = F.array().cast("array<struct<start:int,ord:int,stop:int>>")
-    hinted = texts.filter(F.col("text").rlike("|".join(r.hint for r in RULES)))
-    each = [F.coalesce(_spans(F.col("text"), r, k), none) for k, r in enumerate(RULES)]
-    found = hinted.select("blob", F.array_sort(F.concat(*each)).alias("spans"))
-    return found.filter(F.size("spans") > 0)
+    """``blob, spans, masks`` of the blobs (blob, text) in which a rule finds something; a repeated blob counts once.
+
+    ``masks`` are the spans with overlaps joined, in order.
+    """
+    hinted = texts.filter(F.col("text").rlike("|".join(r.hint for r in RULES))).dropDuplicates(["blob"])
+    each = F.array(*[_pieces(F.col("text"), r, k) for k, r in enumerate(RULES)])
+    found = hinted.select("blob", F.explode(each).alias("found")).select("blob", F.posexplode("found").alias("i", "x")).select("blob", "i", "x.*")
+    ends = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    least = F.element_at(F.array(*[F.lit(max(r.least, 1)) for r in RULES]), F.col("ord") + 1)
+    found = found.withColumn("stop", ends.cast("int")).filter(F.col("tested") >= least)
+    found = found.select("blob", (F.col("stop") - F.col("size")).alias("start"), "ord", "stop")
+    by_blob = Window.partitionBy("blob").orderBy("start", "ord", "stop")
+    before = F.max("stop").over(by_blob.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("fresh", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    found = found.withColumn("mask", F.sum("fresh").over(by_blob.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = found.groupBy("blob", "mask").agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.collect_list(F.struct("start", "ord", "stop")).alias("spans"))
+    spans, masks = F.array_sort(F.flatten(F.collect_list("spans"))), F.array_sort(F.collect_list(F.struct(F.col("a").alias("start"), F.col("b").alias("stop"))))
+    return joined.groupBy("blob").agg(spans.cast(_SPANS).alias("spans"), masks.cast(_MASKS).alias("masks"))
 
 
 def blobs(docs: DataFrame) -> DataFrame:
-    """``path, blob, size`` of every row (doc_id, text); null texts are the empty blob."""
+    """``path, blob`` of every row (doc_id, text); null texts are the empty blob."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("path"), F.sha2(text.cast("binary"), 256).alias("blob"))
 
@@ -105,20 +109,27 @@ def read_ledger(spark, ledger: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{ledger}/{name}") if there else spark.createDataFrame([], schema)
 
 
+_FOUND = f"blob string, spans {_SPANS}, masks {_MASKS}, version string"
+
+
+def findings(spark, ledger: str, version: str = RULE_VERSION) -> DataFrame:
+    """``blob, spans, masks`` that ``ledger`` holds under ``version``, each blob once."""
+    found = read_ledger(spark, ledger, "findings", _FOUND).filter(F.col("version") == version)
+    return found.dropDuplicates(["blob"]).drop("version")
+
+
 def secret_spans(docs: DataFrame, ledger: str | None = None, version: str = RULE_VERSION) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, blob, spans array<struct<start,ord,stop>>``.
 
     Spans are sorted by start, then kind; stop is exclusive; both count code points. Null
     texts are empty. Without ``ledger`` a fresh one in the shared folder is used. Repeated
-    rows, and different texts under one id, each get the findings of their own text.
+    rows, and different texts under one id, each get the findings of their own text. Texts
+    of any length are scanned whole; other columns are ignored.
     """
     ledger = ledger or shared_dir(docs.sparkSession, "ledger")
     update_ledger(docs, ledger, version)
-    found = read_ledger(docs.sparkSession, ledger, "findings", "blob string, spans array<struct<start:int,ord:int,stop:int>>, version string")
-    found = found.filter(F.col("version") == version).dropDuplicates(["blob"]).select("blob", "spans")
-    return blobs(docs).join(found, "blob", "left").select(
-        F.col("path").alias("doc_id"), "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,ord:int,stop:int>>")).alias("spans")
-    )
+    found = findings(docs.sparkSession, ledger, version).select("blob", "spans")
+    return blobs(docs).join(found, "blob", "left").select(F.col("path").alias("doc_id"), "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def rendered(spans: Column) -> Column:
@@ -126,33 +137,31 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["ord"]), s["start"], s["stop"])), ",")
 
 
-def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """``text`` with every span (overlaps joined) replaced by ``mask``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(fresh).alias("out"))
-
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+def redacted(text: Column, masks: Column, mask: str = "[secret]") -> Column:
+    """``text`` with every stretch of ``masks`` (in order, apart) replaced by ``mask``."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(masks, lambda m: m["stop"]))
+    stops = F.concat(F.transform(masks, lambda m: m["start"]), F.array(F.length(text)))
+    parts = F.arrays_zip(starts.alias("a"), stops.alias("b"))
+    cut = lambda signs: F.transform(parts, lambda x: F.array_join(F.slice(signs, x["a"] + 1, x["b"] - x["a"]), ""))
+    kept = F.transform(F.array(F.split(text, "")), cut)  # a text is split into its signs once
+    return F.when(F.size(masks) > 0, F.array_join(F.get(kept, 0), mask)).otherwise(text)
 
 
 def redacted_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """``docs`` with secrets in ``text`` masked; ``n_chars``, where it exists, follows the text.
 
-    Only rows that a rule's hint matches meet the ledger's findings; all others, null texts
-    included, pass through as they are. Columns and rows stay.
+    Only rows that a rule's hint matches meet the ledger's findings; all others, null and
+    empty texts included, pass through as they are. Columns and rows stay, repeated ones and
+    those without id, too; overlapping secrets get one mask.
     """
     hint = F.coalesce(F.col("text").rlike("|".join(r.hint for r in RULES)), F.lit(False))
     ledger = ledger or shared_dir(docs.sparkSession, "ledger")
     update_ledger(docs.filter(hint).select("doc_id", "text"), ledger)
-    found = read_ledger(docs.sparkSession, ledger, "findings", "blob string, spans array<struct<start:int,ord:int,stop:int>>, version string")
-    found = found.filter(F.col("version") == RULE_VERSION).dropDuplicates(["blob"]).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    found = findings(docs.sparkSession, ledger).select(F.col("blob").alias("__blob"), F.col("masks").alias("__masks"))
     rows = docs.filter(hint).withColumn("__blob", F.sha2(F.col("text").cast("binary"), 256)).join(found, "__blob", "left")
-    spans = F.coalesce("__spans", F.array().cast("array<struct<start:int,ord:int,stop:int>>"))
-    rows = rows.withColumn("text", redacted(F.col("text"), spans))
+    masks = F.coalesce("__masks", F.array().cast(_MASKS))
+    rows = rows.withColumn("text", redacted(F.col("text"), masks))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(masks) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return docs.filter(~hint).unionByName(rows.select(docs.columns))
