@@ -6,7 +6,12 @@ document. Digits stay digits, letters keep case, script and vowel or consonant,
 stay; card numbers keep their check digit's validity, addresses their network class, given
 names their gender, phones their country code, mail addresses their top-level domain. A
 permutation maps different entities to different surrogates, and as it is a single cycle,
-none to itself; :func:`collisions` checks it on the entities found.
+none to itself; :func:`collisions` checks it on the entities found, and
+:func:`distinct_key` changes the key by a fixed rule until there are none.
+
+A name found behind a title or by a listed given name is replaced wherever the same text
+mentions it again, whole or by its last word, so one person stays one. Other names without
+a title, addresses, bank accounts and phones parted by blanks are out of reach.
 """
 
 from __future__ import annotations
@@ -252,6 +257,24 @@ class Surrogates:
                     continue
                 start, at = inside
             out.append((kind, start, at, self.of(kind, text[start:at])))
+        return self._again(text, out)
+
+    def _again(self, text: str, found: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+        """``found`` and the bare mentions of its names: whole names, and last words of them."""
+        bare = set()
+        for kind, start, stop, _ in found:
+            if kind == "name":
+                words = re.sub(rf"^{_TITLE} ", "", text[start:stop]).split(" ")
+                bare |= {w for w in (" ".join(words), words[-1] if len(words) > 1 else "") if len(w) > 2 and w[0].isupper()}
+        if not bare:
+            return found
+        more = re.compile(rf"(?<!{_IN})(?:{'|'.join(map(re.escape, sorted(bare, key=lambda w: (-len(w), w))))})(?!{_IN})")
+        free, out = 0, []
+        for entity in [*found, (None, len(text), len(text), "")]:
+            out += [("name", m.start(), m.end(), self.of("name", m.group())) for m in more.finditer(text, free, entity[1])]
+            free = entity[2]
+            if entity[0]:
+                out.append(entity)
         return out
 
 
@@ -306,11 +329,25 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: Keys that :func:`distinct_key` tries.
+TRIES = 8
+
+
+def distinct_key(docs: DataFrame, key: str) -> str:
+    """``key``, or the first of ``key#1``, ``key#2``, .. under which no surrogates of ``docs`` collide."""
+    for k in range(TRIES):
+        tried = key if k == 0 else f"{key}#{k}"
+        if collisions(docs, tried).isEmpty():
+            return tried
+    raise RuntimeError(f"surrogates collide under {TRIES} keys: see collisions()")
+
+
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): ``doc_id, text, entities``; entities are replaced in the text.
 
     ``entities`` lists kind, start and stop (code points of the given text). Null texts
-    stay null and, like empty ones, have no entities. Equal rows give equal rows; other
-    columns are left out. Nothing is shuffled.
+    stay null and, like empty ones, have no entities; texts of any length are searched
+    whole. Where entities could overlap the leftmost wins, then the kind named first in
+    ``_FIND``. Equal rows give equal rows; other columns are left out. Nothing is shuffled.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_replace(key), "doc_id long, text string, entities array<struct<kind:string,start:long,stop:long>>")
