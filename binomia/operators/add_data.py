@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,21 +45,49 @@ def conflicts(resolved: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return n.filter("n_distinct > 1")
 
 
+#: A text column with at most this share of distinct values, of this median length, looks like a group.
+GROUP_SHARE, GROUP_LENGTH = 0.3, 5
+
+
+def group_hint(data: DataFrame, skip: list[str]) -> str | None:
+    """The first text column besides ``skip`` that looks like codes of groups."""
+    texts = [c for c, t in data.dtypes if t == "string" and c not in skip]
+    if not texts:
+        return None
+    row = data.agg(*[F.struct(F.approx_count_distinct(c).alias("d"), F.count(c).alias("n"), F.percentile_approx(F.length(c), 0.5).alias("m")).alias(c) for c in texts]).first()
+    return next((c for c in texts if row[c]["n"] and row[c]["d"] / row[c]["n"] < GROUP_SHARE and row[c]["m"] <= GROUP_LENGTH), None)
+
+
 def add_data(
     result: DataFrame, data: DataFrame, backends: list[Backend], species_col: str | None = None, cols: list[str] | None = None,
     group_col: str | None = None, groups: list[str] | str = "all", options: Options = Options(),
 ) -> DataFrame:
     """Join a user's columns by accepted taxon (with ``group_col``: pivoted, by accepted name).
 
-    Rows of one taxon that agree count once; rows that differ are an error that names some of
-    them.
+    Rows of one taxon that agree count once, with a warning; rows that differ are an error
+    that names some of them, and a column that looks like a group. A column that ``result``
+    has already comes as ``data_<column>``, here and in the pivot: nothing is overwritten.
     """
     species = species_col or detect_species_column(data, backends)
     cols = cols or [c for c in data.columns if c not in (species, group_col)]
     found = staged(resolved_data(data, species, backends, options), "data")
     if group_col:
-        return enrich_grouped(result, found.drop("canonical_name"), group_col, cols, groups)
-    if bad := conflicts(found, "accepted_id", cols).limit(3).collect():
-        raise ValueError(f"rows of one taxon differ: {', '.join(str(r[0]) for r in bad)}")
+        wide = enrich_grouped(result.select("accepted_name").distinct(), found.drop("canonical_name"), group_col, cols, groups)
+        return _joined(result, wide, "accepted_name")
+    n = found.groupBy("accepted_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.struct(*cols)).alias("n_distinct"), F.min("accepted_name").alias("name"))
+    n = staged(n.filter("n_rows > 1"), "repeated")
+    if bad := n.filter("n_distinct > 1").orderBy("accepted_id").limit(3).collect():
+        hint = group_hint(found, [species, *cols, "accepted_id", "accepted_name"])
+        raise ValueError(
+            f"rows of one taxon differ: {', '.join(f'{r.name!r} ({r.accepted_id})' for r in bad)}" + (f"; grouped data? try group_col={hint!r}" if hint else "")
+        )
+    if again := n.agg(F.sum(F.col("n_rows") - 1)).first()[0]:
+        warnings.warn(f"{again} rows repeat a taxon with equal values and count once", stacklevel=2)
     rows = found.groupBy("accepted_id").agg(F.first(F.struct(*cols)).alias("__r")).select("accepted_id", "__r.*")
-    return result.drop(*cols).join(rows, "accepted_id", "left")
+    return _joined(result, rows, "accepted_id")
+
+
+def _joined(result: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows``; columns that both have get a prefix."""
+    rows = rows.select(key, *[F.col(c).alias(f"data_{c}" if c in result.columns else c) for c in rows.columns if c != key])
+    return result.join(rows, key, "left").select(*result.columns, *[c for c in rows.columns if c != key])

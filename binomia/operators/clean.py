@@ -15,6 +15,7 @@ QUALIFIERS = {
     "species": "sp.", "sect": "sect.", "subsp": "subsp.", "var": "var.", "f": "f.", "auct": "auct.", "sensu": "sensu",
     "non": "non", "nec": "nec", "vel": "vel",
 }
+# Qualifiers and authors as they are written in names.
 _TOKENS = ("cf", "aff", r"s\.l", r"s\.str", "sp", "spp", "species", "subsp", "var", "f", "auct", "sensu", "non", "nec", "vel", "agg", "aggr", "sect")
 QUALIFIER = rf"\b({'|'.join(_TOKENS)})\.?(?=\s|$)"
 LEADING = r"(?i)^(cf|aff)\b\.?\s+"
@@ -26,6 +27,7 @@ AGGREGATES = ("agg.", "s.l.")
 TIMES = "×"
 
 CLEAN_COLUMNS = ("cleaned", "is_hybrid", "qualifier", "qualifier_position", "is_aggregate", "genus_only", "hybrid_name", "genus_abbrev")
+FLAGS = ("is_hybrid", "is_aggregate", "genus_only", "genus_abbrev")
 
 
 def canonical_qualifier(raw: Column) -> Column:
@@ -140,6 +142,17 @@ def clean_names(df: DataFrame, column: str = "input_name") -> DataFrame:
     return fenced(out.drop("__s", "__no", "__h", "__k", "__hit", "__raw"))
 
 
+def clean_rows(df: DataFrame, column: str = "input_name") -> DataFrame:
+    """:func:`clean_names` for rows whose names repeat: each distinct name is cleaned once.
+
+    The distinct names combine map-side and join back by name, so a frequent name costs a
+    lookup per row. Null names have null columns and false flags, as there.
+    """
+    once = clean_names(df.select(column).filter(F.col(column).isNotNull()).distinct(), column)
+    flags = {c: F.coalesce(c, F.lit(False)) for c in FLAGS}
+    return df.join(once, column, "left").withColumns(flags)
+
+
 def attach_agg_key(df: DataFrame, aggregates: str = "preserve") -> DataFrame:
     """``agg_key``: the aggregate taxon's name for aggregate concepts, null when these collapse to species."""
     key = F.when(F.col("is_aggregate"), F.concat("cleaned", F.lit(" aggr."))) if aggregates == "preserve" else F.lit(None).cast("string")

@@ -71,18 +71,49 @@ DOORS: dict[str, Door] = {
 }
 
 
+# Columns that a door attaches unless others are asked for.
+DEFAULTS: dict[str, tuple[str, ...]] = {
+    "gift": (
+        "gift_woodiness_1", "gift_growth_form_1", "gift_lifecycle_1", "gift_life_form_1", "gift_climber_1", "gift_epiphyte_1",
+        "gift_parasite_1", "gift_aquatic_1", "gift_plant_height_max", "gift_photosynthetic_pathway", "gift_seed_mass_mean",
+        "gift_dispersal_syndrome_1", "gift_flowering_start", "gift_flowering_end", "gift_deciduousness_1", "gift_sla_mean",
+    ),
+}
+
+
+def door_columns(name: str, tables: Mapping[str, DataFrame]) -> list[tuple[str, str]]:
+    """(column, ``numeric`` or ``character``) that door ``name`` can attach."""
+    door = _door(name, tables)
+    table = tables[door.table]
+    kinds = dict(table.dtypes)
+    return [(o, "character" if kinds[s] in ("string", "boolean") else "numeric") for o, s in door.columns(table).items()]
+
+
+def _door(name: str, tables: Mapping[str, DataFrame]) -> Door:
+    if name not in DOORS:
+        raise ValueError(f"no door {name!r}")
+    if DOORS[name].table not in tables:
+        raise ValueError(f"table {DOORS[name].table!r} is not at hand")
+    return DOORS[name]
+
+
+def logged_door(result, name: str, tables: Mapping[str, DataFrame], cols: list[str] | str | None = None, groups: list[str] | str = "all", **about: str):
+    """:func:`open_door` on a logged result (``about``: source, version, license)."""
+    door = _door(name, tables)
+    bases = tuple(select_columns(door.columns(tables[door.table]), cols, None, door.prefix)) if door.group else ()
+    return result.step(name, lambda df: open_door(df, name, tables, cols, groups), group=door.group, bases=bases, **about)
+
+
 def open_door(
     result: DataFrame, name: str, tables: Mapping[str, DataFrame], cols: list[str] | str | None = None, groups: list[str] | str = "all",
     types: dict[str, str] | None = None, default: list[str] | None = None,
 ) -> DataFrame:
     """Attach the columns of door ``name``; ``tables`` maps table names to attribute tables."""
-    if name not in DOORS:
-        raise ValueError(f"no door {name!r}")
-    door = DOORS[name]
-    if door.table not in tables:
-        raise ValueError(f"table {door.table!r} is not at hand")
+    door = _door(name, tables)
     table = tables[door.table]
-    columns = select_columns(door.columns(table), cols, default, door.prefix)
+    there = door.columns(table)
+    default = default or [c for c in DEFAULTS.get(name, ()) if c in there] or None
+    columns = select_columns(there, cols, default, door.prefix)
     order = "src_ord" if "src_ord" in table.columns else None
     if door.group:
         renamed = table.select("*", *[table[s].alias(o) for o, s in columns.items() if o != s])

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from binomia.functions.text import canon_agg_marker, strip_agg_marker
 
 
+#: Groups that a pivot may have: each is a set of columns.
+MAX_GROUPS = 2000
+
+
 def _first_per_key(table: DataFrame, key: list[str], cols: list[str], order: str | None) -> DataFrame:
     """The first row per key: lowest ``order`` column, or the least row where there is none."""
     body = F.struct(*([order] if order else []), *cols)
@@ -101,7 +105,10 @@ def enrich_grouped(
     table lacks are null columns. ``"all"`` takes ``listed`` groups, else those of the table.
     """
     if groups == "all":
-        groups = listed or [r[0] for r in table.select(group).filter(F.col(group).isNotNull()).distinct().orderBy(group).collect()]
+        groups = listed or [r[0] for r in table.select(group).filter(F.col(group).isNotNull()).distinct().limit(MAX_GROUPS + 1).collect()]
+        if len(groups) > MAX_GROUPS:
+            raise ValueError(f"{group} has more than {MAX_GROUPS} groups: name those that become columns")
+        groups = groups if listed else sorted(groups)
     groups = [groups] if isinstance(groups, str) else list(groups)
     key = _key_column(table, by)
     rows = table.filter(F.col(group).isin(groups)).select(F.col(key).alias("__k"), F.col(group).alias("__g"), *([order] if order else []), *values)

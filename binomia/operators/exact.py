@@ -16,47 +16,53 @@ def name_key() -> Column:
     return F.concat_ws("\u0001", "cleaned", F.coalesce("agg_key", F.lit("")), F.col("genus_only").cast("string"), F.coalesce("hybrid_name", F.lit("")))
 
 
-def pass_keys() -> Column:
-    """Pass number, kind and key of every lookup of a cleaned name, in cascade order."""
+#: Kind, pass number and match type of the nine lookups of a cleaned name, in cascade order.
+PASSES = (
+    ("name", 0, "exact"), ("name", 1, "exact"), ("name", 2, "exact"), ("name", 3, "exact"), ("ci", 4, "exact_ci"),
+    ("norm", 5, "exact_ci"), ("norm", 5, "exact_ci"), ("norm", 5, "exact_ci"), ("name", 6, "exact"),
+)
+
+
+def slots() -> Column:
+    """The keys of :data:`PASSES` of a cleaned name; null where a lookup doesn't apply."""
     cleaned, hybrid, one = F.col("cleaned"), F.col("hybrid_name"), F.col("genus_only")
     long = word_count(cleaned) >= 3
-
-    def step(n: int, kind: str, key: Column, match_type: str) -> Column:
-        return F.struct(F.lit(n).alias("pass"), F.lit(kind).alias("kind"), key.alias("key"), F.lit(match_type).alias("match_type"))
-
-    return F.filter(
-        F.array(
-            step(0, "name", F.col("agg_key"), "exact"),
-            step(1, "name", F.when(one, cleaned), "exact"),
-            step(2, "name", F.when(~one, hybrid), "exact"),
-            step(3, "name", F.when(~one, cleaned), "exact"),
-            step(4, "ci", F.when(~one, F.lower(cleaned)), "exact_ci"),
-            step(5, "norm", normalize_epithets(cleaned), "exact_ci"),
-            step(5, "norm", normalize_epithets(hybrid), "exact_ci"),
-            step(5, "norm", F.when(long, normalize_epithets(first_two(cleaned))), "exact_ci"),
-            step(6, "name", F.when(long, first_two(cleaned)), "exact"),
-        ),
-        lambda x: x["key"].isNotNull(),
+    return F.array(
+        F.col("agg_key"),
+        F.when(one, cleaned),
+        F.when(~one, hybrid),
+        F.when(~one, cleaned),
+        F.when(~one, F.lower(cleaned)),
+        normalize_epithets(cleaned),
+        normalize_epithets(hybrid),
+        F.when(long, normalize_epithets(first_two(cleaned))),
+        F.when(long, first_two(cleaned)),
     )
 
 
+def pass_keys() -> Column:
+    """Pass number, kind, key and match type of every lookup of a cleaned name, in cascade order."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("pass"), F.lit(kind).alias("kind"), F.lit(t).alias("match_type")) for kind, n, t in PASSES])
+    keyed = F.zip_with(kinds, slots(), lambda p, k: F.struct(p["pass"].alias("pass"), p["kind"].alias("kind"), k.alias("key"), p["match_type"].alias("match_type")))
+    return F.filter(keyed, lambda x: x["key"].isNotNull())
+
+
 def decided(found: DataFrame, group: list[str], order: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Per group the hit (tier, best, ids) least in ``order`` and tier; hits equal in both pool their ids.
 
-    A group is one name's hits: nine keys at most, or the similar names of one block.
+    Hits combine map-side per tier, then tiers per group: no group's candidates are gathered.
     """
-    hits = found.groupBy(*group).agg(F.collect_set(F.struct(*order, "tier", "best", "ids", *carry)).alias("hits"))
-    out = hits.withColumn("__first", F.array_min("hits"))
-    names = (*order, "tier")
-    lead = F.struct(*[F.col("__first")[c].alias(c) for c in names])
-    pooled = F.filter("hits", lambda h: F.struct(*[h[c].alias(c) for c in names]) == lead)
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(pooled, lambda h: h["ids"]))))
-    out = out.select(*group, "__first", ids.alias("__ids"))
+    keys = [*group, *order, "tier"]
+    tiers = found.groupBy(*keys).agg(F.min(F.struct("best", "ids", *carry)).alias("__b"), F.collect_set("ids").alias("__all"))
+    lead = tiers.groupBy(*group).agg(F.min(F.struct(*order, "tier", "__b", "__all")).alias("__first"))
+    ids = F.array_sort(F.array_distinct(F.flatten("__first.__all")))
+    out = lead.select(*group, "__first", ids.alias("__ids"))
     many = F.size("__ids") >= 2
     return out.select(
         *group,
-        *[F.col("__first")[c].alias(c) for c in (*order, *carry)],
-        *[F.col("__first")["best"][c].alias(c) for c in PAYLOAD],
+        *[F.col("__first")[c].alias(c) for c in order],
+        *[F.col("__first")["__b"][c].alias(c) for c in carry],
+        *[F.col("__first")["__b"]["best"][c].alias(c) for c in PAYLOAD],
         many.alias("is_ambiguous"),
         F.when(many, F.array_join("__ids", "|")).alias("ambiguous_targets"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binomia.functions.text import normalize_epithets, second_token
@@ -49,7 +49,13 @@ def pick_best(df: DataFrame, group: list[str], taxon_id: str, accepted_id: str,
 
 
 def dedup_fuzzy_targets(df: DataFrame, taxon_id: str = "taxon_id", distance: str = "fuzzy_dist", order: str = "row_idx") -> DataFrame:
-    """Of the fuzzy matches of one target the closest stays (ties: lowest ``order``); distance 0 and null ids stay."""
-    w = Window.partitionBy(taxon_id).orderBy(F.col(distance).asc_nulls_last(), F.col(order))
+    """Of the fuzzy matches of one target the closest stays (ties: lowest ``order``, which is unique).
+
+    Distance 0 and null ids stay. The closest per target combines map-side and joins back,
+    so a popular target is no task of its own.
+    """
+    place = F.struct(F.col(distance).isNull().alias("none"), F.col(distance).alias("d"), F.col(order).alias("o"))
+    lead = df.filter(F.col(taxon_id).isNotNull()).groupBy(F.col(taxon_id).alias("__t")).agg(F.min(place).alias("__lead"))
     free = F.col(taxon_id).isNull() | F.col(distance).isNull() | (F.col(distance) == 0)
-    return df.withColumn("__n", F.row_number().over(w)).filter(free | (F.col("__n") == 1)).drop("__n")
+    out = df.join(lead, F.col(taxon_id) == F.col("__t"), "left")
+    return out.filter(free | (place == F.col("__lead"))).select(df.columns)

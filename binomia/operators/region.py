@@ -93,26 +93,74 @@ def edges(features: DataFrame) -> DataFrame:
     return f.select("feature_idx", "code", "poly", "ring", "box", *[at(F.col("p"), k).alias(f"{n}i") for n, k in (("x", 0), ("y", 1))], *[at(before, k).alias(f"{n}j") for n, k in (("x", 0), ("y", 1))])
 
 
-#: Degrees of a cell that points and edges meet in.
-CELL = 5.0
+#: Degrees of a cell in which points meet features' boxes, and of a band in which they meet edges.
+CELL, BAND = 5.0, 1.0
 
 
 def locate_points(points: DataFrame, features: DataFrame) -> DataFrame:
     """``point_id, code`` of points (point_id, lon, lat) by even-odd ray casting, holes taken out.
 
-    Edges go to the latitude bands they cross and meet the points of the band; a ray counts
-    the crossings to its right. The first feature in order wins; points in none have a null
-    code.
+    Points meet the boxes of features in cells of longitude and latitude; only inside a box
+    they meet that feature's edges, by latitude band, and a ray counts the crossings to its
+    right. The first feature in order wins; points in none have a null code.
     """
+    cell = lambda x, size: F.floor(x / size).cast("long")
     e = edges(features)
-    band = lambda y: F.floor(y / CELL).cast("long")
-    e = e.withColumn("band", F.explode(F.sequence(band(F.least("yi", "yj")), band(F.greatest("yi", "yj")))))
-    p = points.withColumn("band", band(F.col("lat")))
+    low, high = F.least("yi", "yj"), F.greatest("yi", "yj")
+    boxes = features.select("feature_idx", F.flatten(F.flatten("polys")).alias("pts")).filter(F.size("pts") >= 3)
+    corner = lambda fn, k: fn(F.transform("pts", lambda p: F.get(p, k)))
+    boxes = boxes.select("feature_idx", *[corner(fn, k).alias(n) for n, fn, k in (("x0", F.array_min, 0), ("x1", F.array_max, 0), ("y0", F.array_min, 1), ("y1", F.array_max, 1))])
+    boxes = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), CELL), cell(F.col("x1"), CELL))))
+    boxes = boxes.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), CELL), cell(F.col("y1"), CELL))))
+    p = points.select("point_id", "lon", "lat", cell(F.col("lon"), CELL).alias("cx"), cell(F.col("lat"), CELL).alias("cy"))
+    near = p.join(boxes, ["cx", "cy"]).filter(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
+    near = near.select("point_id", "lon", "lat", "feature_idx", cell(F.col("lat"), BAND).alias("band"))
+    e = e.withColumn("band", F.explode(F.sequence(cell(low, BAND), cell(high, BAND)))).drop("box")
     crosses = ((F.col("yi") > F.col("lat")) != (F.col("yj") > F.col("lat"))) & (
         F.col("lon") < (F.col("xj") - F.col("xi")) * (F.col("lat") - F.col("yi")) / F.when(F.col("yj") != F.col("yi"), F.col("yj") - F.col("yi")) + F.col("xi")
     )
-    hit = p.join(e, "band").filter(crosses & F.col("lon").between(F.least("box.x0", "lon"), F.col("box.x1")))
+    hit = near.join(e, ["feature_idx", "band"]).filter(crosses)
     rings = hit.groupBy("point_id", "feature_idx", "code", "poly", "ring").agg((F.count(F.lit(1)) % 2 == 1).alias("inside"))
     polys = rings.filter("inside").groupBy("point_id", "feature_idx", "code", "poly").agg(F.max(F.col("ring") == 0).alias("outer"), F.max(F.col("ring") > 0).alias("hole"))
     found = polys.filter("outer and not hole").groupBy("point_id").agg(F.min(F.struct("feature_idx", "code")).alias("f"))
     return points.join(found.select("point_id", F.col("f.code").alias("code")), "point_id", "left").select("point_id", "code")
+
+
+@dataclass(frozen=True)
+class Geography:
+    """What region names and coordinates are looked up in: ranges of taxa, regions, and their polygons."""
+
+    ranges: DataFrame
+    regions: DataFrame
+    features: DataFrame | None = None
+
+
+def region_codes(geography: Geography, names: list[str] | str | None = None, coords: DataFrame | list[tuple[float, float]] | None = None) -> list[str]:
+    """Level-3 codes that ``names`` (codes or names of any level) or points of ``coords`` (lon, lat) stand for.
+
+    Unknown names and coordinates off the globe are errors; points at sea add nothing. The
+    codes are at most as many as there are regions.
+    """
+    names = [names] if isinstance(names, str) else list(names or [])
+    codes, unknown = resolve_regions(geography.regions, names)
+    if unknown:
+        raise ValueError(f"no region {', '.join(map(repr, unknown))}; see search_regions")
+    if coords is not None:
+        if geography.features is None:
+            raise ValueError("coordinates need the regions' polygons")
+        spark = geography.regions.sparkSession
+        if not isinstance(coords, DataFrame):
+            pairs = [coords] if len(coords) == 2 and not hasattr(coords[0], "__len__") else coords
+            coords = spark.createDataFrame([(float(x), float(y)) for x, y in pairs], "lon double, lat double")
+        points = coords.select("lon", "lat").filter("lon is not null and lat is not null").distinct()
+        if not points.join(valid_coordinates(points), ["lon", "lat"], "left_anti").isEmpty():
+            raise ValueError("longitudes go from -180 to 180, latitudes from -90 to 90, in this order")
+        points = points.withColumn("point_id", F.struct("lon", "lat"))
+        codes += [r[0] for r in locate_points(points, geography.features).select("code").filter("code is not null").distinct().collect()]
+    return sorted(set(codes))
+
+
+def ranges_of(geography: Geography, names: list[str] | str | None = None, coords=None, mode: str = "present") -> Ranges | None:
+    """The wanted ranges, or None where neither names nor coordinates ask for any."""
+    codes = region_codes(geography, names, coords)
+    return Ranges(geography.ranges, tuple(codes), mode) if codes else None

@@ -24,12 +24,19 @@ def taxon_tally(result: DataFrame) -> DataFrame:
 
 
 def summary(result: DataFrame, meta: dict) -> str:
-    """A few lines for people; reads one small aggregate."""
+    """A few lines for people; reads two small aggregates: matches, and hits of all logged enrichments at once."""
+    log = [dict(e) for e in meta.get("enrichments", [])]
+    todo = [(k, [c for c in e.get("columns", []) if c in result.columns]) for k, e in enumerate(log) if "n_matched" not in e]
+    if todo:
+        hits = [F.count_if(F.coalesce(*[F.col(c).cast("string") for c in cols]).isNotNull()).alias(f"e{k}") if cols else F.lit(0).alias(f"e{k}") for k, cols in todo]
+        counts = result.agg(F.count("matched_name" if "matched_name" in result.columns else F.lit(1)).alias("n"), *hits).first()
+        for k, _ in todo:
+            log[k] |= {"n_matched": counts[f"e{k}"], "n_total": counts["n"]}
     tally = {r[0]: r[1] for r in match_tally(result).collect()}
     total = sum(tally.values())
     lines = [f"{total} names against {', '.join(meta.get('backends', []))}"]
     lines += [f"  {k}: {tally[k]}" for k in sorted(tally, key=lambda k: (-tally[k], k))]
-    lines += [f"  + {e['name']} {e.get('version') or ''}: {e['n_matched']} of {e['n_total']}" for e in meta.get("enrichments", [])]
+    lines += [f"  + {e['name']} {e.get('version') or ''}: {e['n_matched']} of {e['n_total']}" for e in log]
     return "\n".join(lines)
 
 

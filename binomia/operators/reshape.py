@@ -36,3 +36,15 @@ def to_long(df: DataFrame, bases: list[str], group_name: str = "group", drop_na:
         rows = [F.struct(F.lit(0).alias("__i"), F.lit(None).cast("string").alias(group_name), *[F.col(b) if b in plain else F.lit(None).cast("string").alias(b) for b in bases])]
     out = df.select(*ids, F.explode(F.array(*rows)).alias("__r")).select(*ids, "__r.*").drop("__i")
     return out.filter(F.coalesce(*[F.col(b).cast("string") for b in bases]).isNotNull()) if drop_na else out
+
+
+def long_of(result, bases: list[str] | None = None, group_name: str | None = None, drop_na: bool = False) -> DataFrame:
+    """:func:`to_long` of a logged result: bases and the group's name come from its grouped enrichments."""
+    log = result.meta.get("reshape", [])
+    if (bases is None or group_name is None) and not log:
+        raise ValueError("no grouped enrichment in the log: name bases and group")
+    bases = bases or list(dict.fromkeys(b for e in log for b in e["bases"]))
+    groups = list(dict.fromkeys(e["group"] for e in log))
+    if group_name is None and len(groups) > 1:
+        raise ValueError(f"several groups ({', '.join(groups)}): name one")
+    return to_long(result.df, bases, group_name or groups[0], drop_na)

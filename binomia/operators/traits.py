@@ -92,6 +92,16 @@ def list_traits() -> list[dict]:
     return [{"trait": k, "kind": t.kind, "unit": t.unit, "sources": list(t.sources)} for k, t in TRAITS.items()]
 
 
+def trait_info(name: str) -> list[dict]:
+    """One row per source of a trait, in order of priority: table, column, and how values are harmonised."""
+    spec = trait(name)
+    rows = []
+    for source, s in spec.sources.items():
+        note = f"to {spec.unit}" if spec.kind == "numeric" else "to the shared vocabulary"
+        rows.append({"trait": name, "kind": spec.kind, "unit": spec.unit, "source": source, "enrichment": s.table, "column": s.column, "note": note if s.map is not x.num else "as given"})
+    return rows
+
+
 def combiner(kind: str, combine: str | None) -> str:
     """The reducer: median for numbers and the first source for categories unless said otherwise."""
     combine = combine or ("median" if kind == "numeric" else "first")

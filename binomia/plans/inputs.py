@@ -28,10 +28,7 @@ select l_orderkey * 10 + l_linenumber as row_idx, case cast(l_orderkey % 12 as i
 from (select l_orderkey, l_linenumber, upper(substr(p_name, 1, 1))||substr(p_name, 2) as n, split_part(p_name, ' ', 2) as e
   from {lineitem} join {part} on l_partkey = p_partkey) as t"""
 
-#: Free text with accents: the first two words of documents.
-TEXT_NAMES = """select doc_id as row_idx, regexp_extract(text, '^([^ ]+ [^ ]+)', 1) as input_name from {documents}"""
-
-#: The same documents as a whole.
+#: Free text with accents: documents as a whole.
 WHOLE_TEXTS = """select doc_id as row_idx, text as input_name from {documents}"""
 
 #: Markers, signs and authors around part names, by part.
@@ -43,11 +40,11 @@ select p_partkey as row_idx, case cast(p_partkey % 10 as int)
   case when p_partkey % 7 = 3 then 'Species aggregate' else 'SPECIES' end as taxon_rank
 from (select *, upper(substr(p_name, 1, 1))||substr(p_name, 2) as n from {part}) as t"""
 
-#: Attributes keyed by name, with repeated keys in file order and rows of aggregates.
+#: Attributes keyed by name, with repeated keys in file order, rows of aggregates and rows without a name.
 TRAIT_TABLE = """
-select case when p_partkey % 5 = 0 then upper(substr(p_name, 1, 1))||substr(p_name, 2)||' agg.' else upper(substr(p_name, 1, 1))||substr(p_name, 2) end as canonical_name,
+select case when p_partkey % 4 = 0 then null when p_partkey % 5 = 0 then upper(substr(p_name, 1, 1))||substr(p_name, 2)||' agg.' else upper(substr(p_name, 1, 1))||substr(p_name, 2) end as canonical_name,
   p_partkey as src_ord, cast(p_size as double) as plant_height_m, cast(p_retailprice as double) as seed_mass_mg, p_type as growth_form
-from {part} where p_partkey % 4 <> 0"""
+from {part}"""
 
 #: Attributes by name and group.
 GROUP_TABLE = """
@@ -71,6 +68,20 @@ select distinct upper(substr(p_name, 1, 1))||substr(split_part(p_name, ' ', 1),
   case when p_size % 2 = 0 then 'C'||cast(p_size % 4 as string) end as class, cast(null as string) as `order`, p_brand as family
 from {part} where p_partkey % {m} = {r}"""
 
+#: Families with their groups, by brand: some have no row, some no group.
+FAMILIES = """
+select distinct p_brand as family, case when length(p_brand) % 2 = 0 then 'plantae' else 'animalia' end as kingdom_group,
+  case when substr(p_brand, 7, 1) in ('1', '2') then 'land_plant' when substr(p_brand, 7, 1) = '3' then null else 'bird' end as taxon_group,
+  case when substr(p_brand, 8, 1) in ('1', '2') then 'tree' end as life_form from {part} where p_brand is not null and substr(p_brand, 8, 1) <> '5'"""
+
+#: A user's own tables: dirty names, values that agree per accepted taxon, columns that clash with a result's.
+OWN_DATA = """
+select distinct case cast(p_size % 3 as int) when 0 then upper(n) when 1 then n||' L.' else n end as species,
+  7 as size, 'own' as family from (select *, upper(substr(p_name, 1, 1))||substr(p_name, 2) as n from {part}) as t"""
+OWN_GROUPS = """
+select n||' (L.) Mill.' as species, case cast(p_partkey % 3 as int) when 0 then 'AT' when 1 then 'DE' else null end as country,
+  max(p_size) as top_size from (select *, upper(substr(p_name, 1, 1))||substr(p_name, 2) as n from {part}) as t group by 1, 2"""
+
 #: A hierarchy: customers (genera) under nations (families) under regions (kingdoms).
 TAXA = """
 select 'k'||cast(r_regionkey as string) as taxon_id, cast(null as string) as parent_key, 'KINGDOM' as taxon_rank,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from binomia.plans import inputs as i
 from binomia.plans.inputs import duck
 
@@ -154,10 +156,113 @@ reg as (select g genus, kg kingdom_group, 'tg-'||kg taxon_group, 'lf-'||kg life_
   (select g h, case ascii(g) % 3 when 0 then 'plantae' when 1 then 'animalia' else 'fungi' end kg from (select distinct upper(substr(p_name, 1, 1))||substr(split_part(p_name, ' ', 1), 2) g from part)) on h = g
   union all select 'Zyzzyx', 'fungi', 'tg-fungi', 'lf-fungi')"""
 
+
+def _chain() -> str:
+    """Two checklists in order: exact, scope, abbreviations, fuzzy by genus, fuzzy by first letters."""
+    edits = "damerau_levenshtein(cleaned, c.canonical_name)"
+    dist = f"{edits} / cast(greatest(length(cleaned), length(c.canonical_name)) as double)"
+    close = f"{edits} <= floor(0.2 * greatest(length(cleaned), length(c.canonical_name)) + 1e-9)"
+    ctes = [clean(_N), _REG]
+    ctes.append(f"""
+names0 as (select nk, cleaned, min(row_idx) row_idx, any_value(genus_abbrev) ab from (select *, {_NK} nk from cleaned_rows where input_name is not null) group by nk, cleaned),
+sp as (select distinct lower(split_part(cleaned, ' ', 1)) g from names0 where length(split_part(cleaned, ' ', 1)) > 1 and not contains(split_part(cleaned, ' ', 1), '.')),
+known as (select distinct upper(substr(p_name, 1, 1))||substr(split_part(p_name, ' ', 1), 2) g from part),
+outside as (select nk from names0 where split_part(cleaned, ' ', 1) in (select genus from reg) and split_part(cleaned, ' ', 1) not in (select g from known)),
+open1 as (select * from names0)""")
+    for b, where in (("1", "k % 2 = 0"), ("2", "k % 2 = 1")):
+        own = lambda sql, b=b: re.sub(r"\b(bb|chase|ends|full_bb|cand)\b", rf"\g<1>{b}", sql)
+        ctes += [own(backbone(where)), own(exact(suffix=b))]
+        cand, left = f"cand{b}", f"left{b}"
+
+        def fuzz(n: str, block: str, source: str, b: str = b, cand: str = cand) -> str:
+            return f"""
+pairs{n}{b} as (select cleaned, row_idx, c.*, {dist} d from (select cleaned, min(row_idx) row_idx from {source} group by cleaned) q join {cand} c on {block} where {close}),
+near{n}{b} as ({pick(f'pairs{n}{b}', 'cleaned', 'd, row_idx')}),
+fuzzy{n}{b} as (select * from near{n}{b} qualify d = 0 or row_number() over (partition by taxon_id order by d, row_idx) = 1)"""
+
+        ctes.append(rf"""
+hit{b} as (select o.nk, mt match_type, e.taxon_id, null d, is_ambiguous, ambiguous_targets from open{b} o join exact_hits{b} e on e.nk = o.nk),
+{left} as (select * from open{b} where cleaned is not null and nk not in (select nk from hit{b}) and nk not in (select nk from outside)),
+short0{b} as (select a.cleaned, c.*, lower(genus) in (select g from sp) listed from (select distinct cleaned from {left} where ab) a join {cand} c
+  on lower(substr(genus, 1, 1)) = lower(substr(cleaned, 1, 1)) and lower(specific_epithet) = lower(regexp_extract(cleaned, '^\S+\s+(\S+)', 1))),
+short{b} as (select * from short0{b} qualify listed or not bool_or(listed) over (partition by cleaned)),
+abbr{b} as ({pick(f'short{b}', 'cleaned')}),
+sure{b} as (select nk, a.* from {left} l join abbr{b} a on a.cleaned = l.cleaned and l.ab),
+rest{b} as (select * from {left} where nk not in (select nk from sure{b} where not is_ambiguous)),
+{fuzz('g', "c.genus = split_part(cleaned, ' ', 1)", f'rest{b}')},
+more{b} as (select * from rest{b} where cleaned not in (select cleaned from fuzzyg{b})),
+{fuzz('p', 'lower(substr(c.canonical_name, 1, 2)) = lower(substr(cleaned, 1, 2))', f'more{b}')},
+done{b} as (select nk, match_type, taxon_id, d, is_ambiguous, ambiguous_targets from hit{b}
+  union all select nk, 'abbrev', taxon_id, null, is_ambiguous, ambiguous_targets from sure{b} where not is_ambiguous
+  union all select nk, 'fuzzy', f.taxon_id, d, is_ambiguous, ambiguous_targets from rest{b} r join fuzzyg{b} f on f.cleaned = r.cleaned
+  union all select nk, 'fuzzy', f.taxon_id, d, is_ambiguous, ambiguous_targets from more{b} r join fuzzyp{b} f on f.cleaned = r.cleaned),
+flag{b} as (select nk, ambiguous_targets from sure{b} where is_ambiguous and nk not in (select nk from done{b}))""")
+        if b == "1":
+            ctes.append("\nopen2 as (select * from names0 where nk not in (select nk from done1))")
+    cols = "canonical_name, accepted_name, accepted_taxon_id, taxon_rank, accepted_family, accepted_genus, specific_epithet, authorship, accepted_authorship, is_synonym"
+    ctes.append(f"""
+done as (select d.*, 'wfo' backend, {cols} from done1 d join full_bb1 f using (taxon_id) union all select d.*, 'col', {cols} from done2 d join full_bb2 f using (taxon_id)),
+out0 as (select c.row_idx, c.input_name, c.cleaned, c.is_hybrid, c.qualifier, c.qualifier_position, d.* exclude (nk, is_ambiguous, ambiguous_targets), {_NK} nk,
+  case when d.nk is not null then d.is_ambiguous when f.nk is not null then true end is_ambiguous, coalesce(d.ambiguous_targets, case when d.nk is null then f.ambiguous_targets end) ambiguous_targets
+  from cleaned_rows c left join done d on d.nk = {_NK} left join flag1 f on f.nk = {_NK}),
+out1 as (select *, case when match_type is not null then match_type when input_name is null then null when nk in (select nk from outside) then 'out_of_scope' else 'none' end mt,
+  case when match_type is not null then coalesce(nullif(accepted_genus, ''), split_part(canonical_name, ' ', 1)) else split_part(coalesce(nullif(cleaned, ''), trim(input_name)), ' ', 1) end g from out0)""")
+    return f"""with recursive {', '.join(ctes)}
+select row_idx, input_name, canonical_name matched_name, accepted_name, taxon_id, accepted_taxon_id accepted_id, lower(taxon_rank) "rank", accepted_family family, accepted_genus genus,
+  specific_epithet epithet, authorship, accepted_authorship, is_synonym, is_hybrid, mt match_type, d fuzzy_dist, is_ambiguous, ambiguous_targets, backend, backend backbone_version,
+  reg.kingdom_group, reg.taxon_group, reg.life_form, qualifier, qualifier_position from out1 left join reg on reg.genus = out1.g"""
+
+
+def _inspect() -> str:
+    """Labels of every name: register, spelling, ambiguity, range, group, case, synonymy."""
+    flag = lambda when, name, tier, why: f"case when {when} then {{'n': '{name}', 't': {tier}, 'w': {why}}} end"
+    q = "chr(39)"
+    flags = ", ".join(
+        (
+            flag("unknown", "unknown", 3, f"'genus '||{q}||tok||{q}||' is not in the register'"),
+            flag("spelling is not null", "near_duplicate", 2, f"'near-duplicate of more frequent '||{q}||spelling||{q}"),
+            flag("is_ambiguous", "ambiguous", 2, "coalesce('ambiguous (targets: '||ambiguous_targets||')', 'ambiguous match')"),
+            flag("away", "out_of_range", 2, f"'range outside the list'||{q}||'s main area ('||array_to_string(a, ', ')||')'"),
+            flag("top is not null and not unknown", "outlier_group", 2, "kg||' outlier (list is mostly '||top||')'"),
+            flag("mt = 'exact_ci'", "case", 1, "'case mismatch'"),
+            flag("m and is_synonym", "synonym", 1, "'outdated synonym'"),
+        )
+    )
+    return rf"""
+with recursive {clean(_N)}, {backbone()}, {exact()}, {_REG},
+r0 as (select row_idx, input_name, coalesce(mt, 'none') mt, accepted_name, is_synonym, is_ambiguous, ambiguous_targets, nullif(split_part(regexp_replace(input_name, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), ' ', 1), '') tok,
+  lower(trim(regexp_replace(input_name, '\s+', ' ', 'g'))) key from cleaned_rows c left join exact_hits e on e.nk = {_NK} where input_name is not null),
+r1 as (select r0.*, reg.kingdom_group kg, mt = 'none' and tok is not null and reg.genus is null unknown, mt <> 'none' m from r0 left join reg on reg.genus = tok),
+x as (select key k, input_name x, count(*) c from r1 where key <> '' group by all),
+u as (select k, sum(c) n, arg_min(x, (-c, x)) spelling from x group by k having length(k) >= 5),
+p as (select a.k, b.n, b.spelling, b.k k2, levenshtein(a.k, b.k) d from u a join u b on a.k <> b.k and b.n > a.n and abs(length(a.k) - length(b.k)) <= 2),
+dup as (select k, spelling from p where d between 1 and 2 and d / least(length(k), length(k2)) <= 0.25 qualify row_number() over (partition by k order by n desc, k2) = 1),
+kn as (select kg, count(*) n from r1 where not unknown and kg is not null and kg not in ('', 'unknown') group by kg),
+kt as (select sum(n) al, arg_min(kg, (-n, kg)) top, max(n) most, count(*) k from kn),
+odd as (select kg, top from kn, kt where al >= 4 and k > 1 and most / al >= 0.7 and n <= greatest(1, floor(al * 0.1)) and kg <> top),
+cont as (select canonical_name an, list_sort(list_distinct(list(level1_code))) cs from ({duck(i.RANGES)}) join ({duck(i.REGIONS)}) on code = tdwg_code where native_status is not null group by 1),
+pl as (select row_idx, cs from r1 join cont on an = accepted_name where m),
+t as (select count(*) al, ceil(count(*) * 0.8) target from pl),
+g1 as (select c, count(*) n from (select unnest(cs) c from pl) group by c order by n desc, c limit 1),
+g2 as (select c, count(*) n from (select unnest(cs) c from pl where not list_contains(cs, (select c from g1))) group by c order by n desc, c limit 1),
+area as (select case when al < 4 then [] when (select n from g1) >= target then [(select c from g1)] when (select n from g1) + coalesce((select n from g2), 0) >= target then [(select c from g1), (select c from g2)] else [] end a from t),
+f as (select r1.*, dup.spelling, odd.top, cs, a, case when len(a) > 0 then m and len(cs) > 0 and not list_has_any(cs, a) else false end away from r1 left join dup on dup.k = r1.key left join odd on odd.kg = r1.kg left join cont on an = accepted_name, area),
+l as (select *, list_filter([{flags}], lambda z: z is not null) fs from f)
+select input_name, case when m then accepted_name else spelling end suggestion, array_to_string(list_transform(fs, lambda z: z.n), '|') anomalies,
+  ['note', 'review', 'unresolved'][list_max(list_transform(fs, lambda z: z.t))] tier, list_max(list_transform(fs, lambda z: z.t)) tier_rank,
+  array_to_string(list_transform(fs, lambda z: z.w), '; ') reason, cast(null as double) fuzzy_dist, 'wfo' backend from l where len(fs) > 0"""
+
+
+_GEN_ALL = f"""a as (select 1 p, * from ({_genera(3, 0)}) union all select 2, * from ({_genera(3, 1)}) union all select 3, * from ({_genera(3, 2)})),
+f0 as (select genus, (select min((p, kingdom)) from a b where b.genus = a.genus and kingdom <> '') k, (select min((p, family)) from a b where b.genus = a.genus and family <> '') fa from (select distinct genus from a) a),
+f1 as (select genus, case when k[2] = 'Metazoa' then 'Animalia' when k[2] like '%virae' then 'Viruses' else k[2] end kingdom, fa[2] family from f0),
+f2 as (select f1.*, case kingdom when 'Animalia' then 'animalia' when 'Viruses' then 'viruses' end kk, b.* exclude (family), case kingdom when 'Animalia' then 'animal' end tt from f1 left join ({duck(i.FAMILIES)}) b on b.family = f1.family),
+lf as (select genus, kingdom, family, coalesce(kingdom_group, kk, 'unknown') kingdom_group, coalesce(taxon_group, tt, 'unknown') taxon_group, coalesce(life_form, replace(coalesce(taxon_group, tt, 'unknown'), '_', ' ')) life_form from f2)"""
+
 ORACLES: dict[str, str] = {
     "clean_names": f"with {clean(_N)} select * from cleaned_rows",
     "clean_marked": f"with {clean(f'select row_idx, input_name from ({_M})')} select * from cleaned_rows",
-    "normalize_epithets": f"select row_idx, {norm('input_name')} as key from ({duck(i.TEXT_NAMES)})",
+    "normalize_epithets": f"select row_idx, {norm('input_name')} as key from ({duck(i.WHOLE_TEXTS)})",
     "normalize_epithets_all": f"select source, row_idx, {norm('input_name')} as key from (select 'name' source, * from ({duck(i.NAMES)}) union all select 'text', * from ({duck(i.WHOLE_TEXTS)}))",
     "normalize_aggregate": rf"""
 with m as (select *, '(?i)[ -](aggr?\.?|s\.\s*l\.?|sensu\s+lato|coll\.?(\s*sp(ecies)?\.?)?)$' p from ({_M})),
@@ -248,7 +353,7 @@ select k as key, spelling suggestion from p where d <= 2 and d / least(length(k)
 with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end s from events),
 g as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) g from o)
 select user_id, min(ts) session_start, max(ts) + interval 30 minute session_end, count(*) n from g group by user_id, g""",
-    "stream_resolve": f"{_RESOLVED} select row_idx, coalesce(mt, 'none') match_type, taxon_id from cleaned_rows c left join exact_hits e on e.nk = {_NK} where row_idx % 10 = 1 and input_name is not null",
+    "stream_resolve": f"{_RESOLVED} select row_idx, case when input_name is not null then coalesce(mt, 'none') end match_type, taxon_id from cleaned_rows c left join exact_hits e on e.nk = {_NK}",
     "stream_resolve_all": f"{_RESOLVED} select row_idx, case when input_name is not null then coalesce(mt, 'none') end match_type, taxon_id from cleaned_rows c left join exact_hits e on e.nk = {_NK}",
     "stream_window_tally": "select time_bucket(interval 1 hour, ts) window_start, event_type, count(*) n from events group by all",
     "qualifiers": rf"""
@@ -267,4 +372,66 @@ select genus, family, coalesce(kingdom, k) kingdom from g left join w using (fam
     "provenance": "select count(*) filter (c_custkey % 5 <> 0) n_matched, count(*) filter (c_custkey % 4 <> 1) n_total from customer",
     "coordinates": "select c_custkey point_id, cast(c_custkey % 400 - 200 as double) lon, cast(c_custkey % 190 - 95 as double) lat from customer where c_custkey % 400 - 200 between -180 and 180 and c_custkey % 190 - 95 between -90 and 90",
     "data_conflicts": "select p_name as key, count(*) n_rows, count(distinct p_size) n_distinct from part group by 1 having count(distinct p_size) > 1",
+    "resolve_chain": _chain(),
+    "inspect_report": _inspect(),
+    "fuzzy_pick": f"""
+with recursive {clean(_N)}, {backbone()}, {exact()},
+open_names as (select cleaned, min(row_idx) row_idx from cleaned_rows c left join exact_hits e on e.nk = {_NK} where e.nk is null and cleaned is not null and not genus_abbrev group by cleaned),
+pairs as (select cleaned, row_idx, c.*, damerau_levenshtein(cleaned, canonical_name) / cast(greatest(length(cleaned), length(canonical_name)) as double) d from open_names join cand c on genus = split_part(cleaned, ' ', 1)),
+close as (select * from pairs where d <= 0.2), near as ({pick('close', 'cleaned', 'd, row_idx')})
+select cleaned, taxon_id, matched_name, accepted_name, accepted_id, is_synonym, round(d, 6) fuzzy_dist, is_ambiguous, ambiguous_targets from near qualify d = 0 or row_number() over (partition by taxon_id order by d, row_idx) = 1""",
+    "region_candidates": f"""
+with recursive {clean(_N)}, {backbone()}, {exact()},
+open_names as (select distinct cleaned from cleaned_rows c left join exact_hits e on e.nk = {_NK} where e.nk is null and cleaned is not null and not genus_abbrev),
+pr as (select cleaned, name, round(d, 6) fuzzy_dist from (select cleaned, name, {_DL} d from open_names join (select distinct canonical_name name from cand) on {_PREFIX}) where d <= 0.2),
+best as ({pick('cand', 'canonical_name')}),
+rs as (select canonical_name an, bool_or(tdwg_code in ('N1', 'N2', 'N3') and coalesce(native_status = 'introduced', false)) present from ({duck(i.RANGES)}) group by 1),
+j as (select pr.*, coalesce(not present, false) away from pr join best on matched_name = name left join rs on an = accepted_name)
+select cleaned, name, fuzzy_dist from (select *, bool_and(away) over (partition by cleaned) al from j) where not away or al""",
+    "range_introduced": f"select canonical_name accepted_name, bool_or(tdwg_code in ('N1', 'N6', 'N11') and coalesce(native_status = 'introduced', false)) present, true has_data from ({duck(i.RANGES)}) group by 1",
+    "region_search": f"select code, name, level1_name from ({duck(i.REGIONS)}) where contains(lower(code||' '||name||' '||level2_code||' '||level2_name||' '||level1_code||' '||level1_name), 'asia')",
+    "register_lookup": f"""
+{_RESOLVED}, {_REG}, o as (select row_idx, case when mt is not null then coalesce(nullif(b.accepted_genus, ''), split_part(e.matched_name, ' ', 1)) else split_part(coalesce(nullif(cleaned, ''), trim(input_name)), ' ', 1) end g
+  from cleaned_rows c left join exact_hits e on e.nk = {_NK} left join full_bb b on b.taxon_id = e.taxon_id)
+select row_idx, kingdom_group, taxon_group, life_form from o left join reg on reg.genus = o.g""",
+    "out_of_scope": f"""
+{_RESOLVED}, {_REG} select distinct input_name from cleaned_rows c left join exact_hits e on e.nk = {_NK} where e.nk is null and input_name is not null
+  and split_part(cleaned, ' ', 1) in (select genus from reg) and split_part(cleaned, ' ', 1) not in (select genus from bb)""",
+    "life_form": f"with {_GEN_ALL} select genus, family, kingdom_group, taxon_group, life_form from lf",
+    "register_build": f"""
+with {_GEN_ALL},
+g1 as (select *, coalesce(case kingdom when 'Animalia' then 'animalia' when 'Viruses' then 'viruses' end, kingdom_group) kg from lf),
+g2 as (select *, coalesce(kingdom, case kg when 'plantae' then 'Plantae' when 'animalia' then 'Animalia' when 'viruses' then 'Viruses' end) kd from g1),
+v as (select family, kd, count(*) c from g2 where kd is not null and family is not null group by all), w as (select family, kd k from v qualify row_number() over (partition by family order by c desc, kd) = 1)
+select genus, coalesce(kd, k) kingdom, g2.family, case when kg = 'unknown' then coalesce(case coalesce(kd, k) when 'Plantae' then 'plantae' when 'Animalia' then 'animalia' when 'Viruses' then 'viruses' end, 'unknown') else kg end kingdom_group, taxon_group, life_form
+from g2 left join w on w.family = g2.family""",
+    "doors": f"""
+with n as (select distinct upper(substr(p_name, 1, 1))||substr(p_name, 2) accepted_name from part),
+t as (select canonical_name k, arg_min(seed_mass_mg, src_ord) m, arg_min(growth_form, src_ord) g from ({_TT}) where canonical_name not like '% agg.' group by k),
+a as (select replace(canonical_name, ' agg.', '') k, arg_min(seed_mass_mg, src_ord) m, arg_min(growth_form, src_ord) g from ({_TT}) where canonical_name like '% agg.' group by k),
+h as (select genus, min(family) habit from ({duck(i.BACKBONE)}) group by genus),
+c as (select canonical_name k, country_code c, arg_min(invasive_status, src_ord) v from ({_GT}) where country_code is not null group by all)
+select accepted_name, split_part(accepted_name, ' ', 1) genus, round(case when t.k is not null then t.m else a.m end, 2) avonet_body_mass_g, case when t.k is not null then t.g else a.g end trophic_niche, habit,
+  (select v from c where c.k = accepted_name and c = 'AT') "invasive_status_AT", (select v from c where c.k = accepted_name and c = 'FR') "invasive_status_FR"
+from n left join t on t.k = accepted_name left join a on a.k = accepted_name left join h on h.genus = split_part(accepted_name, ' ', 1)""",
+    "trait_min": f"{_TRAITS} select accepted_name, list_min(vs) plant_height, nullif(array_to_string(ss, ','), '') plant_height_source, cast(len(vs) as integer) plant_height_n from l",
+    "trait_max": f"{_TRAITS} select accepted_name, list_max(vs) plant_height, nullif(array_to_string(list_filter([case when brot is not null then 'brot' end, case when bien is not null then 'bien' end, case when diaz is not null then 'diaz' end], lambda v: v is not null), ','), '') plant_height_source, cast(len(vs) as integer) plant_height_n from l",
+    "trait_units": f"""
+with n as (select distinct upper(substr(p_name, 1, 1))||substr(p_name, 2) accepted_name from part),
+t as (select replace(canonical_name, ' agg.', '') k, min(seed_mass_mg) a, max(seed_mass_mg) b from ({_TT}) where canonical_name is not null group by 1)
+select accepted_name, round(a, 3) diaz, round(b, 3) gift from n left join t on k = accepted_name""",
+    "add_data": f"""
+with recursive {clean(f"select row_idx, input_name from (select row_number() over () row_idx, species input_name from ({duck(i.OWN_DATA)}))")}, {backbone()}, {exact()},
+own as (select species, size, family from ({duck(i.OWN_DATA)})),
+d as (select distinct accepted_id, size, family from own join cleaned_rows c on c.input_name = species join exact_hits e on e.nk = {_NK}),
+e as ({pick('cand', 'canonical_name')}),
+tgt as (select e.accepted_id, min(e.accepted_name) accepted_name, min(b.accepted_family) family from e join full_bb b on b.taxon_id = e.taxon_id group by 1)
+select tgt.*, d.size, d.family data_family from tgt left join d on d.accepted_id = tgt.accepted_id""",
+    "add_data_grouped": f"""
+with recursive {backbone()}, b as ({pick('cand', 'canonical_name')}),
+n as (select distinct upper(substr(p_name, 1, 1))||substr(p_name, 2) accepted_name from part),
+o as (select upper(substr(p_name, 1, 1))||substr(p_name, 2) k, case p_partkey % 3 when 0 then 'AT' when 1 then 'DE' end c, max(p_size) v from part group by all),
+g as (select b.accepted_name an, c, min(v) v from o join b on b.matched_name = o.k where c is not null group by all)
+select accepted_name, (select v from g where an = accepted_name and c = 'AT') "top_size_AT", (select v from g where an = accepted_name and c = 'DE') "top_size_DE" from n""",
+    "text_files": "select file, cast(n_nationkey as bigint) n_nationkey, n_name from nation, (values ('csv'), ('tsv')) t(file)",
 }

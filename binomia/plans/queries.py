@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binomia.functions.text import is_aggregate_name, normalize_aggregate_name, normalize_epithets
-from binomia.operators import add_data, backbone, enrich, fuzzy, inspect, pick, region, register, report, reshape, scope, traits
-from binomia.operators.clean import CLEAN_COLUMNS, attach_agg_key, clean_names, hybrid_parents, qualifier_match, strip_qualifiers
+from binomia.operators import add_data, backbone, doors, enrich, fuzzy, inspect, pick, region, register, report, reshape, scope, traits
+from binomia.operators.clean import CLEAN_COLUMNS, attach_agg_key, clean_names, clean_rows, hybrid_parents, qualifier_match, strip_qualifiers
 from binomia.operators.exact import match_exact, name_key
 from binomia.plans import inputs
 from binomia.plans.inputs import table
 from binomia.plans.resolve import Backend, Options, resolve
+from binomia.sources.io import export, read_table
 from binomia.sources.staging import staged, staging_path
-from binomia.streaming.stream import resolve_stream, session_tally, window_tally
+from binomia.streaming.stream import each_batch, resolve_batch, resolve_stream, session_tally, window_tally
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,15 +43,21 @@ def accepted(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, inputs.BACKBONE).select(F.col("canonical_name").alias("accepted_name")).distinct()
 
 
+def cleaned(s: SparkSession, d: str) -> DataFrame:
+    """Distinct names, cleaned, with the key of what decides their match."""
+    once = names(s, d).select("input_name").filter("input_name is not null").distinct()
+    return staged(attach_agg_key(clean_names(once)).withColumn("nk", name_key()), "clean")
+
+
 def matched(s: SparkSession, d: str) -> DataFrame:
-    """Names with their keys and exact matches, all rows."""
-    n = attach_agg_key(clean_names(names(s, d))).withColumn("nk", name_key())
-    return n.join(match_exact(n, index(s, d)), "nk", "left")
+    """Names with their keys and exact matches, all rows; each distinct name is cleaned and matched once."""
+    n = cleaned(s, d)
+    return names(s, d).join(n.join(match_exact(n, index(s, d)), "nk", "left"), "input_name", "left")
 
 
 @query
 def q_clean_names(s, d):
-    return clean_names(names(s, d)).select("row_idx", "input_name", *CLEAN_COLUMNS)
+    return clean_rows(names(s, d)).select("row_idx", "input_name", *CLEAN_COLUMNS)
 
 
 @query
@@ -60,7 +67,7 @@ def q_clean_marked(s, d):
 
 @query
 def q_normalize_epithets(s, d):
-    return table(s, d, inputs.TEXT_NAMES).select("row_idx", normalize_epithets(F.col("input_name")).alias("key"))
+    return table(s, d, inputs.WHOLE_TEXTS).select("row_idx", normalize_epithets(F.col("input_name")).alias("key"))
 
 
 @query
@@ -106,12 +113,11 @@ def q_exact_cascade(s, d):
 def _pairs(s, d, method: str, threshold: float, block: str = "genus") -> DataFrame:
     """Distances of names without exact match to checklist names of their block."""
     ix = index(s, d)
-    n = attach_agg_key(clean_names(names(s, d))).withColumn("nk", name_key()).select("nk", "cleaned", "agg_key", "genus_only", "hybrid_name", "genus_abbrev").distinct()
-    n = staged(n, "names")
+    n = staged(cleaned(s, d).select("nk", "cleaned", "agg_key", "genus_only", "hybrid_name", "genus_abbrev").distinct(), "names")
     open_ = n.filter("cleaned is not null and not genus_abbrev").join(match_exact(n, ix).select("nk"), "nk", "left_anti").select("cleaned").distinct()
     known = ix.filter("kind = 'name'").select(F.col("key").alias("name"), F.col("best.own_genus").alias("g"))
     left, right = (F.substring_index("cleaned", " ", 1), F.col("g")) if block == "genus" else (F.lower(F.substring("cleaned", 1, 2)), F.lower(F.substring("name", 1, 2)))
-    pairs = open_.withColumn("b", left).join(known.withColumn("b", right), "b").select("cleaned", "name")
+    pairs = fuzzy.block_pairs(open_, "cleaned", known, "name", left, right, method, threshold)
     return fuzzy.distances(pairs, "cleaned", "name", method, threshold).select("cleaned", "name", F.round("fuzzy_dist", 6).alias("fuzzy_dist"))
 
 
@@ -149,7 +155,7 @@ def q_fuzzy_dedup(s, d):
 
 @query
 def q_abbreviated_genus(s, d):
-    n = staged(clean_names(names(s, d)).select("cleaned", "genus_abbrev").distinct(), "names")
+    n = cleaned(s, d).select("cleaned", "genus_abbrev").distinct()
     out = fuzzy.match_abbreviated(n.filter("genus_abbrev"), fuzzy.spelled_genera(n), index(s, d))
     return out.select("cleaned", "taxon_id", "matched_name", "accepted_name", "accepted_id", "is_synonym", "is_ambiguous", "ambiguous_targets")
 
@@ -417,11 +423,14 @@ def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 @query
 def q_stream_resolve(s, d):
-    """Names as a stream against the static key index."""
+    """Every name, nulls included, as a stream against the static key index, batch by batch."""
     feed = staged(names(s, d), "feed")
     stream = s.readStream.schema(feed.schema).parquet(feed.inputFiles()[0].rpartition("/")[0])
-    out = resolve_stream(stream.filter("row_idx % 10 = 1 and input_name is not null"), index(s, d))
-    return _drained(out.select("row_idx", "match_type", "taxon_id"), "resolved_names")
+    ix, path = index(s, d), staging_path(s, "batches")
+    step = lambda df: resolve_batch(df, ix).select("row_idx", "match_type", "taxon_id")
+    writer = each_batch(stream, step, lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/{epoch}"))
+    writer.option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("row_idx long, match_type string, taxon_id string").option("recursiveFileLookup", True).parquet(path)
 
 
 @query
@@ -441,3 +450,122 @@ def q_stream_window_tally(s, d):
     feed = staged(events.withColumn("ts", F.col("ts").cast("timestamp")), "events")
     stream = s.readStream.schema(feed.schema).parquet(feed.inputFiles()[0].rpartition("/")[0])
     return _drained(window_tally(stream, "ts", "event_type"), "event_windows", "complete")
+
+
+@query
+def q_fuzzy_pick(s, d):
+    """Picks and ambiguity of fuzzy matches by genus, the closest query per target."""
+    ix, n = index(s, d), cleaned(s, d)
+    open_ = n.filter("cleaned is not null and not genus_abbrev").join(match_exact(n, ix).select("nk"), "nk", "left_anti")
+    first = names(s, d).filter("input_name is not null").groupBy("input_name").agg(F.min("row_idx").alias("row_idx"))
+    out = fuzzy.match_fuzzy(open_.join(first, "input_name").select("cleaned", "row_idx"), ix)
+    return out.select("cleaned", "taxon_id", "matched_name", "accepted_name", "accepted_id", "is_synonym", F.round("fuzzy_dist", 6).alias("fuzzy_dist"), "is_ambiguous", "ambiguous_targets")
+
+
+@query
+def q_region_candidates(s, d):
+    """Fuzzy pairs that stay when names outside a region give way to others inside."""
+    ix = index(s, d)
+    pairs = _pairs(s, d, "dl", 0.2, "prefix").join(ix.filter("kind = 'name'").select(F.col("key").alias("name"), "best"), "name")
+    return region.filter_candidates(pairs, region.Ranges(table(s, d, inputs.RANGES), ("N1", "N2", "N3"), "introduced")).select("cleaned", "name", "fuzzy_dist")
+
+
+@query
+def q_range_introduced(s, d):
+    return region.range_sets(region.Ranges(table(s, d, inputs.RANGES), ("N1", "N6", "N11"), "introduced"))
+
+
+@query
+def q_region_search(s, d):
+    return region.search_regions(table(s, d, inputs.REGIONS), "asiÁ").select("code", "name", "level1_name")
+
+
+@query
+def q_register_lookup(s, d):
+    """Classes of all rows by genus, accepted or written."""
+    r = matched(s, d).withColumn("match_type", F.coalesce("match_type", F.when(F.col("input_name").isNotNull(), "none")))
+    return scope.with_register(r, _register(s, d)).select("row_idx", *scope.CLASSES)
+
+
+@query
+def q_out_of_scope(s, d):
+    """Open names of registered genera that no checklist covers."""
+    n, known = cleaned(s, d), staged(_register(s, d), "register")
+    left = n.join(match_exact(n, index(s, d)).select("nk"), "nk", "left_anti")
+    cover = register.build_coverage({"wfo": table(s, d, inputs.BACKBONE)})
+    return scope.out_of_scope(left, known, cover, ["wfo"]).select("input_name")
+
+
+@query
+def q_life_form(s, d):
+    part = {b: table(s, d, inputs.GENERA, m=3, r=k) for k, b in enumerate(("worms", "col", "wfo"))}
+    reg = register.resolve_classification(part).withColumn("kingdom", register.normalize_kingdom(F.col("kingdom")))
+    return register.assign_life_form(reg, table(s, d, inputs.FAMILIES)).select("genus", "family", "kingdom_group", "taxon_group", "life_form")
+
+
+@query
+def q_register_build(s, d):
+    """The register from three checklists and the table of families, end to end."""
+    part = {b: table(s, d, inputs.GENERA, m=3, r=k) for k, b in enumerate(("worms", "col", "wfo"))}
+    return register.build_register(part, table(s, d, inputs.FAMILIES)).select("genus", "kingdom", "family", "kingdom_group", "taxon_group", "life_form")
+
+
+@query
+def q_doors(s, d):
+    """Three doors of the registry, one after the other: by name with a prefix, by genus, by group."""
+    t = table(s, d, inputs.TRAIT_TABLE)
+    genus = table(s, d, inputs.BACKBONE).groupBy("genus").agg(F.min("family").alias("habit"))
+    tables = {"avonet": t.select("canonical_name", "src_ord", F.col("seed_mass_mg").alias("body_mass_g"), F.col("growth_form").alias("trophic_niche")), "fungalroot": genus, "griis": table(s, d, inputs.GROUP_TABLE)}
+    out = accepted(s, d).withColumn("genus", F.substring_index("accepted_name", " ", 1))
+    for name, how in (("avonet", {}), ("fungalroot", {}), ("griis", {"groups": ["AT", "FR"]})):
+        out = doors.open_door(out, name, tables, **how)
+    return out.withColumn("avonet_body_mass_g", F.round("avonet_body_mass_g", 2))
+
+
+@query
+def q_trait_min(s, d):
+    return _trait(s, d, mode="coalesce", combine="min")
+
+
+@query
+def q_trait_max(s, d):
+    return _trait(s, d, mode="coalesce", combine="max", priority=["brot", "bien"])
+
+
+@query
+def q_trait_units(s, d):
+    """Sources in grams and milligrams brought together."""
+    t = table(s, d, inputs.TRAIT_TABLE).filter("canonical_name is not null")
+    t = t.groupBy(F.replace("canonical_name", F.lit(" agg."), F.lit("")).alias("canonical_name")).agg(F.min("seed_mass_mg").alias("mg"), F.max("seed_mass_mg").alias("most"))
+    tables = {"diaz_traits": t.select("canonical_name", F.col("mg").alias("seed_mass_mg")), "gift": t.select("canonical_name", (F.col("most") / 1000).cast("string").alias("gift_seed_mass_mean"))}
+    out = traits.add_trait(accepted(s, d), "seed_mass", tables)
+    return out.select("accepted_name", F.round("seed_mass_diaz", 3).alias("diaz"), F.round("seed_mass_gift", 3).alias("gift"))
+
+
+def _targets(s, d) -> DataFrame:
+    """Picked taxa of all checklist names as a result has them, one row per accepted taxon."""
+    best = index(s, d).filter("kind = 'name'").select("best.*")
+    return best.groupBy("accepted_id").agg(F.min("accepted_name").alias("accepted_name"), F.min("family").alias("family"))
+
+
+@query
+def q_add_data(s, d):
+    """A user's table joined by accepted taxon; its family column clashes and is kept apart."""
+    be = Backend("wfo", index(s, d), prefix_fallback=False)
+    return add_data.add_data(_targets(s, d), staged(table(s, d, inputs.OWN_DATA), "own"), [be], "species", ["size", "family"], options=Options(fuzzy=False))
+
+
+@query
+def q_add_data_grouped(s, d):
+    be = Backend("wfo", index(s, d), prefix_fallback=False)
+    return add_data.add_data(accepted(s, d), staged(table(s, d, inputs.OWN_GROUPS), "own"), [be], "species", ["top_size"], "country", options=Options(fuzzy=False))
+
+
+@query
+def q_text_files(s, d):
+    """Nations through CSV and TSV files and back."""
+    n, at = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name"), staging_path(s, "files")
+    for k in ("csv", "tsv"):
+        export(n, f"{at}/{k}.{k}")
+    back = [read_table(s, f"{at}/{k}.{k}").select(F.lit(k).alias("file"), F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name") for k in ("csv", "tsv")]
+    return back[0].union(back[1])

@@ -1,23 +1,26 @@
-"""Local catalogue of checklists and attribute tables: folders by name and version, JSON beside the data."""
+"""Catalogue of checklists and attribute tables: folders by name and version, JSON beside the data."""
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from binomia.sources.files import Files
+
 ENV = "BINOMIA_DATA_DIR"
 CONF = "spark.binomia.dataDir"
 
 
 def data_dir(spark: SparkSession) -> str:
-    """Setting, environment, or a folder of the user."""
-    return spark.conf.get(CONF, None) or os.environ.get(ENV) or str(Path.home() / ".local/share/binomia")
+    """Setting or environment; in local mode alone else a folder of the user."""
+    root = spark.conf.get(CONF, None) or os.environ.get(ENV)
+    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError(f"set {CONF} to a folder that all executors share")
+    return root or os.path.expanduser("~/.local/share/binomia")
 
 
 def parse_meta(text: str) -> dict[str, str]:
@@ -44,14 +47,17 @@ class Catalog:
 
     def __post_init__(self) -> None:
         self.root = self.root or data_dir(self.spark)
+        self.files = Files(self.spark)
+
+    def _at(self, *parts: str) -> str:
+        return "/".join([self.root.rstrip("/"), *parts])
 
     def versions(self, kind: str, name: str) -> list[str]:
-        at = Path(self.root, kind, name)
-        return sorted(p.name for p in at.iterdir() if (p / "meta.json").exists()) if at.is_dir() else []
+        have = self.files.names(self._at(kind, name))
+        return [v for v in have if not v.startswith(".") and self.files.exists(self._at(kind, name, v, "meta.json"))]
 
     def installed(self, kind: str) -> list[str]:
-        at = Path(self.root, kind)
-        return sorted(p.name for p in at.iterdir() if self.versions(kind, p.name)) if at.is_dir() else []
+        return [n for n in self.files.names(self._at(kind)) if self.versions(kind, n)]
 
     def path(self, kind: str, name: str, version: str = "latest") -> str:
         """A pinned version, or the newest; a version that isn't there is an error."""
@@ -59,10 +65,20 @@ class Catalog:
         pick = have[-1] if version == "latest" and have and "latest" not in have else version
         if pick not in have:
             raise FileNotFoundError(f"{kind} {name} {version} is not installed; there are {', '.join(have) or 'none'}")
-        return str(Path(self.root, kind, name, pick))
+        return self._at(kind, name, pick)
 
     def meta(self, kind: str, name: str, version: str = "latest") -> dict:
-        return json.loads(Path(self.path(kind, name, version), "meta.json").read_text())
+        return json.loads(self.files.read(f"{self.path(kind, name, version)}/meta.json"))
+
+    def enrichments(self) -> DataFrame:
+        """``name, version, n_rows, static, trait_cols, source_url`` of every enrichment at hand, newest versions."""
+        rows = []
+        for name in sorted({*self.installed("enrichment"), *(n for k, n in self.local if k == "enrichment")}):
+            there = name in self.installed("enrichment")
+            meta = self.meta("enrichment", name) if there else {}
+            cols = meta.get("trait_cols") or [c for c in self.table("enrichment", name).columns if c not in ("canonical_name", "accepted_name", "genus", "src_ord")]
+            rows.append((name, meta.get("version"), meta.get("n_rows"), bool(meta.get("static")), ", ".join(cols), meta.get("source_url")))
+        return self.spark.createDataFrame(rows, "name string, version string, n_rows long, static boolean, trait_cols string, source_url string")
 
     def register(self, kind: str, name: str, df: DataFrame) -> None:
         """Use a table at hand under a name, for this session."""
@@ -75,21 +91,22 @@ class Catalog:
 
     def install(self, kind: str, name: str, df: DataFrame, version: str, meta: dict | None = None) -> str:
         """Write a table and its sidecar; the folder appears under its name only when complete."""
-        final = Path(self.root, kind, name, version)
-        if final.exists():
-            raise FileExistsError(str(final))
-        part = final.with_name(f".{version}-{uuid.uuid4().hex}")
+        final = self._at(kind, name, version)
+        if self.files.exists(final):
+            raise FileExistsError(final)
+        part = self._at(kind, name, f".{version}-{uuid.uuid4().hex}")
         df.write.parquet(f"{part}/data.parquet")
-        Path(part, "meta.json").write_text(json.dumps({"name": name, "version": version} | (meta or {})))
-        part.rename(final)
-        return str(final)
+        rows = self.spark.read.parquet(f"{part}/data.parquet").count()
+        self.files.write(f"{part}/meta.json", json.dumps({"name": name, "version": version, "n_rows": rows} | (meta or {})))
+        self.files.move(part, final)
+        return final
 
     def clear(self) -> None:
         self.local.clear()
         self.spark.catalog.clearCache()
 
     def remove(self, kind: str, name: str, version: str) -> None:
-        shutil.rmtree(self.path(kind, name, version))
+        self.files.delete(self.path(kind, name, version))
 
 
 def resolve_manifest_entry(manifest: dict, name: str, kind: str = "backbones") -> dict | None:

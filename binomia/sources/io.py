@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FORMATS = "parquet, csv, tsv (also .gz), sqlite, xlsx, geojson"
 
 
 def read_table(spark: SparkSession, path: str, table: str | None = None, sheet: str | int | None = None, start_row: int = 1) -> DataFrame:
-    """A table by the file's ending. SQLite needs ``table``; spreadsheets are small and read on the driver."""
+    """A table by the file's ending. SQLite needs ``table``; spreadsheets are small by their format and read on the driver."""
     low = path.lower().removesuffix("/")
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
@@ -23,18 +25,56 @@ def read_table(spark: SparkSession, path: str, table: str | None = None, sheet:
     if low.endswith((".sqlite", ".db", ".sqlite3")):
         if not table:
             raise ValueError("a SQLite file needs the name of a table")
-        with sqlite3.connect(path) as con:
-            if not con.execute("select 1 from sqlite_master where name = ?", (table,)).fetchone():
-                raise ValueError(f"no table {table!r}")
-            quoted = table.replace('"', '""')
-            return spark.createDataFrame(pd.read_sql(f'select * from "{quoted}"', con))
+        return read_sqlite(spark, path, table)
     if low.endswith(".xlsx"):
         return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet or 0, header=start_row - 1))
-    if low.endswith((".geojson", ".json")):
+    if low.endswith((".geojson", ".json", ".geojsonl", ".geojsonseq")):
         return read_polygons(spark, path)
     raise ValueError(f"cannot read {path!r}; formats: {FORMATS}")
 
 
+#: Rows of a SQLite table that one task reads.
+SQLITE_ROWS = 200_000
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of a SQLite file that every executor can open, read by ranges of row ids.
+
+    Types follow the declared affinity; values that don't fit it are null. Views and tables
+    without row ids are read by one task, row by row.
+    """
+    quoted = '"' + table.replace('"', '""') + '"'
+    with sqlite3.connect(path) as con:
+        if not con.execute("select 1 from sqlite_master where name = ?", (table,)).fetchone():
+            raise ValueError(f"no table {table!r}")
+        cols = [(c[1], (c[2] or "").upper()) for c in con.execute(f"pragma table_info({quoted})")]
+        try:
+            low, high = con.execute(f"select min(rowid), max(rowid) from {quoted}").fetchone()
+        except sqlite3.OperationalError:
+            low, high = None, -1
+    kinds = [("long", pa.int64()) if "INT" in t else ("binary", pa.binary()) if "BLOB" in t else ("double", pa.float64()) if any(x in t for x in ("REAL", "FLOA", "DOUB", "NUM", "DEC")) else ("string", pa.string()) for _, t in cols]
+    cast = {"long": int, "double": float, "string": str, "binary": lambda v: v if isinstance(v, bytes) else str(v).encode()}
+
+    def value(v: object, kind: str):
+        try:
+            return None if v is None else cast[kind](v)
+        except (TypeError, ValueError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in b.column(0).to_pylist():
+                with sqlite3.connect(path) as con:
+                    where = "" if low is None else f" where rowid >= {lo} and rowid < {lo + SQLITE_ROWS}"
+                    rows = con.execute(f"select * from {quoted}{where}")
+                    while part := rows.fetchmany(10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array([value(r[k], kind) for r in part], t) for k, (kind, t) in enumerate(kinds)], [c for c, _ in cols])
+
+    starts = spark.range(low, high + 1, SQLITE_ROWS) if low is not None else spark.range(0 if high is None else 1)
+    starts = starts.repartition(max(1, -(-(high - low + 1) // SQLITE_ROWS) if low is not None else 1))
+    return starts.mapInArrow(run, ", ".join(f"`{c}` {k}" for (c, _), (k, _) in zip(cols, kinds, strict=True)))
+
+
 def detect_layout(sheets: dict[str, pd.DataFrame], rate: Callable[[pd.Series], float], rows: int = 20) -> tuple[str, int, str]:
     """(sheet, header row, column) whose column has the best match ``rate``; 0.8 ends the search, below 0.1 is none.
 
@@ -70,13 +110,17 @@ def export(df: DataFrame, path: str) -> None:
 def read_polygons(spark: SparkSession, path: str, code: str = "LEVEL3_COD") -> DataFrame:
     """``feature_idx, code, polys`` of a GeoJSON file of polygons; multi-polygons keep their parts.
 
-    ``polys`` is an array of polygons, each an array of rings of [lon, lat].
+    ``polys`` is an array of polygons, each an array of rings of [lon, lat]. A collection is
+    one JSON value and so one row of one task; large sets of features come one a line
+    (``.geojsonl``), are split like text and numbered by place in the file.
     """
-    from pyspark.sql import functions as F
-
-    raw = spark.read.text(path, wholetext=True)
-    shape = f"struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
-    f = raw.select(F.from_json("value", shape).alias("j")).select(F.posexplode("j.features").alias("feature_idx", "f"))
+    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    if path.lower().rstrip("/").endswith(("l", "seq")):
+        raw = spark.read.text(path).filter(F.trim("value") != "").withColumn("n", F.monotonically_increasing_id())
+        f = raw.select(F.col("n").alias("feature_idx"), F.from_json(F.regexp_replace("value", "^\x1e", ""), feature).alias("f"))
+    else:
+        raw = spark.read.text(path, wholetext=True)
+        f = raw.select(F.from_json("value", f"struct<features:array<{feature}>>").alias("j")).select(F.posexplode("j.features").alias("feature_idx", "f"))
     one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
     polys = F.when(F.col("f.geometry.type") == "Polygon", F.array(one)).otherwise(many)
