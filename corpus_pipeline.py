@@ -1,67 +1,5 @@
-"""Corpus pipeline: quality, near duplicates, decontamination, secrets, packing.
+"""The corpus pipeline of the text operators: its stages, its SQL, and the whole run."""
 
-Every stage gets what the one before kept, as a Parquet table, and all but the last return
-the columns of ``documents``. An empty table passes through all stages; rows without
-doc_id are kept unless quality or contamination rules them out.
-"""
+from binomia.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from binomia.llm.common import stored
-from binomia.llm.decontam import decontaminated
-from binomia.llm.jaccard import jaccard_components
-from binomia.llm.packing import pack
-from binomia.llm.quality import score, train
-from binomia.llm.secret_scan import redacted_documents
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, fitted to the labels, scores at 0.5 or more."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter("score >= 0.5").select(docs.columns)
-
-
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: five words, Jaccard 0.8; the smallest doc_id stays."""
-    found = jaccard_components(docs, words=5, num=80, den=100)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without benchmark passages in a twentieth of their words or more."""
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, secrets in their texts masked."""
-    return redacted_documents(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the rows and their places in sequences of 2048 tokens."""
-    return pack(docs, capacity=2048)
-
-
-STAGES = [
-    ("quality", keep_quality),
-    ("near_copies", keep_one_of_near_copies),
-    ("decontamination", drop_contaminated),
-    ("secrets", mask_secrets),
-    ("packing", pack_sequences),
-]
-
-#: The classifier and the tokeniser are beyond SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = stored(docs, name) if k < len(STAGES) - 1 else docs
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
