@@ -51,7 +51,7 @@ def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
         try:
             low, high = con.execute(f"select min(rowid), max(rowid) from {quoted}").fetchone()
         except sqlite3.OperationalError:
-            low, high = None, -1
+            low, high = None, None
     kinds = [("long", pa.int64()) if "INT" in t else ("binary", pa.binary()) if "BLOB" in t else ("double", pa.float64()) if any(x in t for x in ("REAL", "FLOA", "DOUB", "NUM", "DEC")) else ("string", pa.string()) for _, t in cols]
     cast = {"long": int, "double": float, "string": str, "binary": lambda v: v if isinstance(v, bytes) else str(v).encode()}
 
@@ -70,8 +70,8 @@ def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
                     while part := rows.fetchmany(10_000):
                         yield pa.RecordBatch.from_arrays([pa.array([value(r[k], kind) for r in part], t) for k, (kind, t) in enumerate(kinds)], [c for c, _ in cols])
 
-    starts = spark.range(low, high + 1, SQLITE_ROWS) if low is not None else spark.range(0 if high is None else 1)
-    starts = starts.repartition(max(1, -(-(high - low + 1) // SQLITE_ROWS) if low is not None else 1))
+    parts = 1 if low is None else -(-(high - low + 1) // SQLITE_ROWS)
+    starts = spark.range(0 if low is None else low, 1 if low is None else high + 1, SQLITE_ROWS if low is not None else 1, parts)
     return starts.mapInArrow(run, ", ".join(f"`{c}` {k}" for (c, _), (k, _) in zip(cols, kinds, strict=True)))
 
 

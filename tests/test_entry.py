@@ -26,7 +26,15 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["clean_names", "clean_marked", "exact_cascade", "pick_best", "fuzzy_dl", "enrich_species", "trait_median", "trait_vote", "points_in_polygons", "kingdom_walk", "near_duplicates", "stream_resolve"])
+COMPARED = [
+    "clean_names", "clean_marked", "exact_cascade", "pick_best", "fuzzy_dl", "enrich_species", "trait_median", "trait_vote", "points_in_polygons",
+    "kingdom_walk", "near_duplicates", "stream_resolve", "resolve_chain", "inspect_report", "fuzzy_pick", "fuzzy_dedup", "fuzzy_jaro_winkler",
+    "fuzzy_dl_prefix", "region_candidates", "range_introduced", "region_search", "register_lookup", "out_of_scope", "life_form", "register_build",
+    "doors", "trait_min", "trait_max", "trait_units", "add_data", "add_data_grouped", "text_files", "unpivot_long", "match_tally", "region_filter",
+]
+
+
+@pytest.mark.parametrize("name", COMPARED)
 def test_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, DIR)
     want = con.execute(ORACLES[name])

@@ -94,3 +94,41 @@ def test_synonym_chain_cycle_and_dangling(spark):
 def test_row_local_stream_plan_equals_batch(spark, ix):
     df = spark.createDataFrame([(0, "Quercus robur L."), (1, "quercus robur"), (2, "no such"), (3, None)], "row_idx long, input_name string")
     assert [r.match_type for r in resolve_stream(df, ix).orderBy("row_idx").collect()] == ["exact", "exact_ci", "none", None]
+
+
+def test_scope_comes_before_fuzzy_and_abbreviations(spark, ix):
+    reg = spark.createDataFrame([("Quercis", "animalia", "beetle", "beetle"), ("Quercus", "plantae", "tree", "tree")], "genus string, kingdom_group string, taxon_group string, life_form string")
+    cover = spark.createDataFrame([("Quercus", "wfo"), ("Quercis", "col")], "genus string, backend string")
+    names = ["Quercis robur", "Quercus robuur", "Quercis robur"]
+    assert run(spark, ix, names)[0].match_type == "fuzzy"  # by first letters, where scope isn't known
+    r = run(spark, ix, names, register=reg, coverage=cover.filter("backend = 'wfo'"))
+    assert [r[k].match_type for k in range(3)] == ["out_of_scope", "fuzzy", "out_of_scope"]
+    r = run(spark, ix, names, register=reg, coverage=cover, backends=[Backend("wfo", ix), Backend("col", ix)])
+    assert r[0].match_type == "fuzzy" and r[0].backend == "col"  # the second checklist covers it
+
+
+def test_resolution_by_region_names_and_coordinates(spark, ix):
+    from binomia.operators.region import Geography
+
+    regs = spark.createDataFrame([("GER", "Germany", "11", "M", "1", "Europe"), ("JAP", "Japan", "38", "E", "3", "Asia")], "code string, name string, level2_code string, level2_name string, level1_code string, level1_name string")
+    rng = spark.createDataFrame([("Quercus robur", "GER", "native"), ("Quercus petraea", "JAP", "native")], "canonical_name string, tdwg_code string, native_status string")
+    box = [[[100.0, 0.0], [110.0, 0.0], [110.0, 10.0], [100.0, 10.0]]]
+    geo = Geography(rng, regs, spark.createDataFrame([(0, "JAP", [box])], "feature_idx int, code string, polys array<array<array<array<double>>>>"))
+    names = ["Quercus pobraea"]
+    opts = Options(fuzzy_threshold=0.6, prefer_closest=False)
+    assert run(spark, ix, names, options=opts)[0].accepted_name == "Quercus robur"
+    assert run(spark, ix, names, options=opts, where="Japan", geography=geo)[0].accepted_name == "Quercus petraea"
+    assert run(spark, ix, names, options=opts, coords=(105.0, 5.0), geography=geo)[0].accepted_name == "Quercus petraea"
+    with pytest.raises(ValueError, match="geography"):
+        run(spark, ix, names, where="Japan")
+
+
+def test_frequent_names_are_cleaned_once_and_stream_takes_all_keys(spark, ix):
+    names = ["Quercus robur L."] * 50 + ["Festuca ovina agg.", "Salix x fragilis", "Quercus sp.", "Quercus robur subsp. minor", "QUERCUS ROBUR", "Quercus pedvnculata", "", None]
+    df = spark.createDataFrame(list(enumerate(names)), "row_idx long, input_name string")
+    batch = run(spark, ix, names, options=Options(fuzzy=False))
+    stream = {r.row_idx: r for r in resolve_stream(df, ix).collect()}
+    assert len(stream) == len(batch) == len(names)
+    for k in range(len(names)):
+        assert (stream[k].match_type, stream[k].taxon_id) == (batch[k].match_type, batch[k].taxon_id), names[k]
+    assert batch[50].taxon_id == "8" and batch[51].taxon_id == "7" and batch[57].match_type is None
