@@ -374,6 +374,9 @@ select genus, family, coalesce(kingdom, k) kingdom from g left join w using (fam
     "data_conflicts": "select p_name as key, count(*) n_rows, count(distinct p_size) n_distinct from part group by 1 having count(distinct p_size) > 1",
     "resolve_chain": _chain(),
     "inspect_report": _inspect(),
+    "inspect_review": f"select * from ({_inspect()}) where tier_rank >= 2",
+    "catalog": "select version, n_nationkey, case when version = '2024' then n_name else lower(n_name) end n_name from nation, (values ('2024'), ('2025')) t(version)",
+    "kingdom_patterns": "select c_custkey, case c_custkey % 5 when 1 then 'Bacteria' when 4 then null else 'Viruses' end kingdom from customer",
     "fuzzy_pick": f"""
 with recursive {clean(_N)}, {backbone()}, {exact()},
 open_names as (select cleaned, min(row_idx) row_idx from cleaned_rows c left join exact_hits e on e.nk = {_NK} where e.nk is null and cleaned is not null and not genus_abbrev group by cleaned),

@@ -14,6 +14,7 @@ from binomia.operators.exact import match_exact, name_key
 from binomia.plans import inputs
 from binomia.plans.inputs import table
 from binomia.plans.resolve import Backend, Options, resolve
+from binomia.sources.catalog import Catalog
 from binomia.sources.io import export, read_table
 from binomia.sources.staging import staged, staging_path
 from binomia.streaming.stream import each_batch, resolve_batch, resolve_stream, session_tally, window_tally
@@ -329,6 +330,14 @@ def q_inspect_report(s, d):
     return inspect.inspect(r, _register(s, d), table(s, d, inputs.RANGES), table(s, d, inputs.REGIONS))
 
 
+@query
+def q_inspect_review(s, d):
+    """The same without notes."""
+    r = matched(s, d).withColumns({"backend": F.lit("wfo"), "fuzzy_dist": F.lit(None).cast("double")})
+    r = staged(r.withColumn("match_type", F.coalesce("match_type", F.when(F.col("input_name").isNotNull(), "none"))), "result")
+    return inspect.inspect(r, _register(s, d), table(s, d, inputs.RANGES), table(s, d, inputs.REGIONS), min_tier="review")
+
+
 @query
 def q_match_tally(s, d):
     r = matched(s, d)
@@ -569,3 +578,23 @@ def q_text_files(s, d):
         export(n, f"{at}/{k}.{k}")
     back = [read_table(s, f"{at}/{k}.{k}").select(F.lit(k).alias("file"), F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name") for k in ("csv", "tsv")]
     return back[0].union(back[1])
+
+
+@query
+def q_catalog(s, d):
+    """Two versions of a table in the catalogue, read back by pin and as the newest."""
+    c = Catalog(s, staging_path(s, "catalog"))
+    n = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
+    c.install("backbone", "nations", n, "2024")
+    c.install("backbone", "nations", n.withColumn("n_name", F.lower("n_name")), "2025")
+    old, new = c.table("backbone", "nations", "2024"), c.table("backbone", "nations")
+    return old.select(F.lit("2024").alias("version"), "*").union(new.select(F.lit(c.meta("backbone", "nations")["version"]).alias("version"), "*"))
+
+
+@query
+def q_kingdom_patterns(s, d):
+    """Kingdoms of genera that only the form of a name or family tells."""
+    c, k = s.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey") % 5
+    genus = F.when(k == 0, F.concat("c_name", F.lit("Virus"))).when(k == 1, F.concat(F.lit("Candidatus "), "c_name")).otherwise(F.col("c_name"))
+    family = F.when(k == 2, "Xviridae").when(k == 3, "Alphasatellitidae").otherwise("Fabaceae")
+    return c.select("c_custkey", genus.alias("genus"), family.alias("family")).select("c_custkey", register.kingdom_by_pattern().alias("kingdom"))
