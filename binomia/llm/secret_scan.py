@@ -109,6 +109,22 @@ def read_ledger(spark, ledger: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{ledger}/{name}") if there else spark.createDataFrame([], schema)
 
 
+def compact(spark, ledger: str, files: int = 1) -> None:
+    """Rewrite ``ledger`` into ``files`` files a table, each row once.
+
+    The new files join the old ones before these go, and rows may repeat in between: a run
+    that fails half-way loses nothing. Not for use while another run appends.
+    """
+    for name, schema, key in (("findings", _FOUND, ["blob", "version"]), ("seen", "blob string, version string", ["blob", "version"])):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{name}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        old = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")] if fs.exists(path) else []
+        if len(old) > files:
+            read_ledger(spark, ledger, name, schema).dropDuplicates(key).repartition(files).write.mode("append").parquet(f"{ledger}/{name}")
+            for f in old:
+                fs.delete(f, False)
+
+
 _FOUND = f"blob string, spans {_SPANS}, masks {_MASKS}, version string"
 
 
