@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words kept with their hashes by one Python worker before it starts afresh.
 WORD_CACHE = 100_000
+#: Rows of an Arrow batch while tables are written.
+ARROW_ROWS = 1000
 #: Rows that Python functions hold as objects at a time.
 SLICE = 500
 
@@ -41,10 +43,45 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at the files."""
     path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Write a table; rows pass between Spark and Python in batches that suit long texts and lists."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(name, before)
+
+
+class Scratch:
+    """Intermediate tables of one job in the shared folder; each is dropped once nothing reads it."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.made = spark, shared_dir(spark, name), 0
+
+    def put(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """``df`` written and read back, and the path to :meth:`drop`."""
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        _write(df, path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, *paths: str) -> None:
+        drop_tables(self.spark, *paths)
+
+
+def drop_tables(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared file system that this library has written."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few are Python objects at a time."""
     for b in batches:

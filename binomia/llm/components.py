@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -27,16 +27,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges``: two long columns, any order, repeats and loops allowed. Returns
     ``(id, root)`` without the roots themselves; no edges give no rows. Alternates
     large-star and small-star steps, so a hub costs one row per neighbour and round,
-    and writes each round to the shared folder.
+    and writes each round to the shared folder; a round's table goes when the next stands.
     """
+    tables = Scratch(edges.sparkSession, "edges")
     a, b = edges.columns
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    e = stored(e, "edges")
+    e, path = tables.put(e)
     before = None
     for _ in range(rounds):
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = state
-        e = stored(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        e, new = tables.put(_small_star(_large_star(e).distinct()).distinct())
+        tables.drop(path)
+        path = new
     raise RuntimeError(f"components did not settle in {rounds} rounds")

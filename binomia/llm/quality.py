@@ -138,24 +138,24 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, **pa
     return fit(x[order], y[order], **params)
 
 
-def _score(held):
+def _score(held, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in sliced(batches):
             x = np.array([statistics(t) for t in b.column(1).to_pylist()], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], [*b.schema.names, column])
 
     return run
 
 
-def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """``docs`` (doc_id, text, others) with a ``score`` from 0 to 1 for every row.
+def score(docs: DataFrame, model: Trees, column: str = "score") -> DataFrame:
+    """``docs`` (doc_id, text, others) with a score from 0 to 1 for every row in ``column``.
 
-    Null and empty texts are scored as texts without words. An existing column named
-    ``score`` is replaced.
+    Null and empty texts are scored as texts without words, repeated rows alike. An existing
+    column of that name is replaced.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(column)
     order = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(order).schema.add("score", "double")
-    return docs.select(order).mapInArrow(_score(held), schema)
+    schema = docs.select(order).schema.add(column, "double")
+    return docs.select(order).mapInArrow(_score(held, column), schema)

@@ -11,6 +11,12 @@ from . import decontam, license_scan, media, packing, pii, quality, secret_scan,
 from .jaccard import jaccard_components
 
 
+#: Setting that holds the secret key of surrogates; whoever knows the key can undo them.
+KEY_SETTING = "spark.binomia.surrogateKey"
+#: Serves where the setting is missing, for tests and public data only.
+TEST_KEY = "surrogates of this corpus"
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -36,9 +42,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, key = _docs(spark, sf_dir), "surrogates of this corpus"
-    if not pii.collisions(docs, key).isEmpty():
-        raise RuntimeError("surrogates collide: choose another key")
+    docs = _docs(spark, sf_dir)
+    key = pii.distinct_key(docs, spark.conf.get(KEY_SETTING, None) or TEST_KEY)
     counts = {f"n_{k}": _count("entities", "kind", k) for k in pii.KINDS}
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["stop"])), ",")
     return pii.pseudonymised(docs, key).withColumns(counts).select("doc_id", "text", *counts, spans.alias("entities"))
