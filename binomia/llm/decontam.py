@@ -1,14 +1,18 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams meets training windows.
 
-The benchmark's n-grams are counted first. Up to ``MAX_GRAMS`` of them are broadcast at
-a time; a larger benchmark is dealt by hash into blocks below that bound, and the texts
-pass through the blocks one after the other, without a shuffle.
+The benchmark's (item, n-gram) pairs are counted first. Up to ``MAX_GRAMS`` of them are
+broadcast and the texts are scanned without a shuffle. A larger benchmark is dealt by hash
+into blocks of about that many; each block is collected, broadcast, scanned and released
+before the next, so neither the driver nor a task ever holds more than one. The few texts
+that a block hits are stored by their digest and meet their rows in the end.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import sha256
 from itertools import repeat
 
 import numpy as np
@@ -16,16 +20,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import alnum_words, odd_powers, sliced, stored
+from .common import Scratch, alnum_words, odd_powers, sliced
 
-#: N-grams (of n words each) that one broadcast holds.
+#: Pairs of item and n-gram (of n words) that one broadcast holds.
 MAX_GRAMS = 200_000
 #: log2 of the bits of the first filter.
 FILTER_BITS = 22
 
 #: Columns that texts carry along while they pass through the blocks.
-_MARKS, _ITEMS = "__marked_words", "__found_items"
+_MARKS, _ITEMS, _TEXT = "__marked_words", "__found_items", "__text_digest"
 
 
 def _grams(n: int):
@@ -70,9 +75,9 @@ class GramSet:
             out += ids[j : len(ids) - k + 1 + j] * m
         return out
 
-    def hits(self, words: list[bytes], marks: np.ndarray | None) -> tuple[np.ndarray | None, set[str]]:
-        """Marks of the words inside occurrences, and the items that occur."""
-        ids, found = self._ids(words), set()
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+        """Marks of the words inside occurrences (None without any), and the items that occur."""
+        ids, found, marks = self._ids(words), set(), None
         for k, keys in self.keys.items():
             if len(words) < k:
                 continue
@@ -89,37 +94,77 @@ class GramSet:
         return marks, found
 
 
-def _scan(rows):
+def _scan(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = GramSet(rows.value)
+        grams = GramSet(held.value)
         for b in sliced(batches):
             marks_out, items_out = [], []
-            for text, packed, items in zip(*(b.column(c).to_pylist() for c in ("text", _MARKS, _ITEMS)), strict=True):
-                words = alnum_words(text or "")
-                marks, found = grams.hits(words, None if packed is None else _unpacked(packed, len(words)))
+            for text in b.column("text").to_pylist():
+                marks, found = grams.hits(alnum_words(text or ""))
                 marks_out.append(None if marks is None else np.packbits(marks).tobytes())
-                items_out.append(sorted(found.union(items or [])))
-            b = b.set_column(b.schema.get_field_index(_MARKS), _MARKS, pa.array(marks_out, pa.binary()))
-            yield b.set_column(b.schema.get_field_index(_ITEMS), _ITEMS, pa.array(items_out, pa.list_(pa.string())))
+                items_out.append(sorted(found))
+            b = b.append_column(_MARKS, pa.array(marks_out, pa.binary()))
+            yield b.append_column(_ITEMS, pa.array(items_out, pa.list_(pa.string())))
 
     return run
 
 
+def _hit_texts(held):
+    """Digest, marks and items of the texts that a block hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = GramSet(held.value)
+        for b in sliced(batches):
+            rows = []
+            for text in b.column(0).to_pylist():
+                marks, found = grams.hits(alnum_words(text or ""))
+                if marks is not None:
+                    rows.append((sha256(text.encode("utf-8")).hexdigest(), np.packbits(marks).tobytes(), sorted(found)))
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            kinds = (pa.string(), pa.binary(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [_TEXT, _MARKS, _ITEMS])
+
+    return run
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        marks = [np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in ms]).tobytes() for ms in b.column(_MARKS).to_pylist()]
+        yield b.set_column(1, _MARKS, pa.array(marks, pa.binary()))
+
+
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
 
 
 def _marked(docs: DataFrame, bench: DataFrame, n: int, max_grams: int) -> DataFrame:
-    """``docs`` with packed marks of hit words and the items found; no shuffle of ``docs``."""
+    """``docs`` with packed marks of hit words and the items found."""
+    spark, tables = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")
     item = bench.select(F.col("item_id").cast("string"), "text")
-    grams = stored(item.mapInArrow(_grams(n), "item string, gram binary").distinct(), "bench_grams")
+    grams, path = tables.put(item.mapInArrow(_grams(n), "item string, gram binary").distinct())
     blocks = max(1, -(-grams.count() // max_grams))
-    out = docs.withColumns({_MARKS: F.lit(None).cast("binary"), _ITEMS: F.array().cast("array<string>")})
+
+    def block(k: int):
+        rows = grams.filter(F.pmod(F.xxhash64("item", "gram"), F.lit(blocks)) == k).collect()
+        return spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in rows])
+
+    marks = f"{_MARKS} binary, {_ITEMS} array<string>"
+    if blocks == 1:
+        held = block(0)
+        tables.drop(path)
+        return docs.mapInArrow(_scan(held), StructType([*docs.schema.fields, *StructType.fromDDL(marks).fields]))
+    found = []
     for k in range(blocks):
-        rows = grams if blocks == 1 else grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k)
-        held = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in rows.collect()])
-        out = out.mapInArrow(_scan(held), out.schema)
-    return out
+        held = block(k)
+        hits = docs.select("text").mapInArrow(_hit_texts(held), f"{_TEXT} string, {marks}")
+        found.append(tables.put(hits.dropDuplicates([_TEXT])))
+        held.destroy()
+    each = reduce(DataFrame.unionByName, [df for df, _ in found])
+    each = each.groupBy(_TEXT).agg(F.collect_list(_MARKS).alias(_MARKS), F.array_distinct(F.flatten(F.collect_list(_ITEMS))).alias(_ITEMS))  # a row per block at most
+    each, _ = tables.put(each.mapInArrow(_united, f"{_TEXT} string, {marks}"))
+    tables.drop(path, *[p for _, p in found])
+    rows = docs.withColumn(_TEXT, F.sha2(F.col("text").cast("binary"), 256)).join(each, _TEXT, "left")
+    return rows.withColumn(_ITEMS, F.coalesce(_ITEMS, F.array().cast("array<string>"))).select(*docs.columns, _MARKS, _ITEMS)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,5 +212,9 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, n: int = 13, max_grams: in
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, n: int = 13, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """``docs`` (text and any other columns) without the rows that :func:`is_contaminated` names."""
+    """``docs`` (text and any other columns) without the rows that :func:`is_contaminated` names.
+
+    Null and empty texts, rows without id and repeated rows stay; so does every row where the
+    benchmark is empty.
+    """
     return _marked(docs, bench, n, max_grams).mapInArrow(_clean, docs.schema)
