@@ -44,7 +44,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE, _GIVEN = r"(?:Mrs|Mr|Ms|Miss|Mme|Herr|Frau|Señora|Señor)\b\.?", "|".join(_FEMALE + _MALE)
 _IN, _CAPITAL = rf"[\w'’{_MARKS}-]", r"[^\W\d_a-zß-öø-ÿ]"
 _FIND = re.compile(
-    r"(?P<email>[\w.+%-]+@[^\W_][\w-]*(?:\.[\w-]+)+)"
+    r"(?P<email>(?<![\w.+%-])[\w.+%-]+@[^\W_][\w-]*(?:\.[\w-]+)+)"  # from the start of a run: long runs are tried once
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)"
     r"|(?<![\w.+-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.+-])(?:1\.)?\d{3}\.\d{3}\.\d{4}(?!\.?\w))"
