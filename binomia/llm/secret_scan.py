@@ -39,7 +39,7 @@ RULES = (
     Rule("hex", "[0-9a-f]{24,}", 24, 0, "[0-9a-f]{24}"),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, "PRIVATE KEY-----"),
     Rule("forge", "gh[opsur]_[A-Za-z0-9]+", 40, 0, "gh[opsur]_"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0, "eyJ"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0, "eyJ"),
 )
 BASE = 3
 RULE_VERSION = "1"
