@@ -88,6 +88,47 @@ def test_jaccard_equals_brute_force(spark, docs, rows, k, num, sub, monkeypatch)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), find(parent, i)) for i in ids}
 
 
+@pytest.mark.parametrize(("edits", "sub"), [((1, 2, 3, 4), 16), ((0, 1, 1, 1, 1, 1, 3), 24), ((3, 4), 2048)])
+def test_jaccard_of_a_large_group_of_borderline_copies(spark, edits, sub, monkeypatch):
+    monkeypatch.setattr(jaccard_module, "SUB_BLOCK", sub)
+    r = random.Random(sub)
+    base, texts = [f"b{k}" for k in range(70)], []
+    for _ in range(260):
+        w = list(base)
+        for _ in range(r.choice(edits)):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(66)} for t in texts]
+    parent = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                p, q = find(parent, a), find(parent, b)
+                parent[max(p, q)] = min(p, q)
+    got = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=5, num=80).collect()
+    assert {x.doc_id: x.component_id for x in got} == {a: find(parent, a) for a in range(len(texts))}
+
+
+def test_forest_edges_of_a_block():
+    import pyarrow as pa
+
+    rng, rows = np.random.default_rng(5), 90
+    base = np.unique(rng.integers(0, 2**62, 60))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.3])], rng.integers(0, 2**62, 2)])) for _ in range(rows)]
+    cols = {"key": [1] * rows, "i": [0] * rows, "j": [1] * rows, "id": list(range(rows)), "root": [0 if k < 9 else k for k in range(rows)], "sub": [k % 2 for k in range(rows)], "grams": sets}
+    table = pa.table({k: pa.array(v) for k, v in cols.items()})
+    edges = [e for b in jaccard_module._forest(8, 10)(iter(table.to_batches(max_chunksize=7))) for e in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert 0 < len(edges) < rows and all(a % 2 != b % 2 for a, b in edges)
+    linked = lambda a, b: 10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b]))
+    assert all(linked(a, b) for a, b in edges)
+    want, got = list(range(rows)), list(range(rows))
+    for parent, links in ((want, [(a, b) for a in range(0, rows, 2) for b in range(1, rows, 2) if linked(a, b)]), (got, edges)):
+        for a, b in [*((0, k) for k in range(9)), *links]:
+            p, q = find(parent, a), find(parent, b)
+            parent[max(p, q)] = min(p, q)
+    assert [find(want, k) for k in range(rows)] == [find(got, k) for k in range(rows)]
+
+
 def test_jaccard_small_sets_and_tree():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 9, 30, 200):
@@ -105,6 +146,20 @@ def test_jaccard_small_sets_and_tree():
         assert sorted(tree.search(points[q], sizes[q], 90, 100)) == want.tolist()
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_sets_that_reach_the_last_level_meet(monkeypatch, levels):
+    monkeypatch.setattr(jaccard_module, "LEVELS", levels)
+    rng, met = np.random.default_rng(7), 0
+    for n in (4, 5, 8, 12, 15, 20):
+        for _ in range(150):
+            base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            other = np.unique(np.append(base[rng.random(len(base)) > 0.1], rng.integers(0, 2**63, 1, dtype=np.uint64)))
+            if 100 * len(np.intersect1d(base, other)) >= 80 * len(np.union1d(base, other)):
+                met += 1
+                assert np.intersect1d(jaccard_module.group_keys(base, 80, 100), jaccard_module.group_keys(other, 80, 100)).size
+    assert met > 100
+
+
 def test_components(spark):
     e = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7), (50, 40)]
     got = {r.id: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
@@ -135,6 +190,41 @@ def test_repeated_passages_equal_brute_force(docs, rows):
     assert sorted(got) == sorted(want)
 
 
+def test_repeated_passages_of_texts_without_or_under_one_id(spark):
+    r = random.Random(3)
+    own = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    shared = own(55)
+    rows = [(None, own(30) + " " + shared), (None, own(20)), (7, own(10) + " " + shared + " " + own(9)), (7, own(70)), (8, shared)]
+    got = sorted((x.n_words, x.n_repeated, [(s.start, s.stop) for s in x.spans]) for x in suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(20, 0, []), (55, 55, [(0, 55)]), (70, 0, []), (74, 55, [(10, 65)]), (85, 55, [(30, 85)])]
+
+
+def test_sorted_neighbours_over_partition_bounds(spark, monkeypatch):
+    """Many partitions and batches of few rows give what one task gives."""
+    monkeypatch.setattr(suffix, "SORTED", 3)
+    monkeypatch.setattr(suffix, "FEW", 3)
+    r, words = random.Random(4), [f"w{k}" for k in range(40)]
+    base = [r.choice(words) for _ in range(300)]
+    texts = []
+    for k in range(25):
+        a = r.randrange(200)
+        texts.append(" ".join([*(r.choice(words) for _ in range(k)), *base[a : a + r.randrange(20, 100)], *(r.choice(words) for _ in range(9))]))
+    seen = {}
+    for t in texts:
+        w = t.split()
+        for s in range(len(w) - 19):
+            seen[tuple(w[s : s + 20])] = seen.get(tuple(w[s : s + 20]), 0) + 1
+    want = {}
+    for i, t in enumerate(texts):
+        w, marked = t.split(), set()
+        for s in range(len(w) - 19):
+            if seen[tuple(w[s : s + 20])] > 1:
+                marked.update(range(s, s + 20))
+        want[i] = len(marked)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.n_repeated for x in suffix.repeated_passages(df, 20).collect()} == want
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "http://a/é", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "http://b\r\nX: y", None), (4, "u", ""), (5, "u", "é" * 5000), (5, "u", "é" * 5000), (None, "n", "<p>x</p>"), (9, "s", "lone")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("first", F.lit(1))
@@ -198,6 +288,33 @@ def test_pii_of_all_scripts_without_fixed_points(spark):
     assert pii.collisions(df, "k").count() == 0
 
 
+def test_pii_of_later_mentions_and_awkward_rows(spark, empty):
+    t = "Mr. John Smith met Mrs Lee. Smith paid; John Smith left, Smithson and blacksmith stayed. smith"
+    long = "x " * 300_000 + "Mr. Bo " + "y" * 300_000
+    rows = [(1, t, "k"), (1, t, "k"), (None, t, None), (2, None, "k"), (3, "", "k"), (4, long, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, entities string").withColumns({"kind": F.lit("k"), "surrogate": F.lit(1)})
+    out = pii.pseudonymised(df, "k").collect()
+    assert len(out) == len(rows)
+    same = {r.text for r in out if r.text and r.text.startswith("Mr")}
+    assert len(same) == 1
+    new = same.pop()
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs (\w+)\. (\w+) paid; (\w+) (\w+) left, Smithson and blacksmith stayed\. smith", new)
+    assert m and m[2] == m[4] == m[6] != "Smith" and m[1] == m[5] in pii._MALE and m[3] != "Lee"
+    got = next(r for r in out if r.doc_id == 4)
+    assert got.text[: 600_000] == long[:600_000] and got.text[-300_000:] == long[-300_000:] and "Mr. Bo" not in got.text
+    assert pii.distinct_key(df, "k") == "k" and pii.distinct_key(empty, "k") == "k"
+
+
+def test_colliding_keys_are_changed_by_rule(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Mr. Bo")], "doc_id long, text string")
+    real = pii.collisions
+    monkeypatch.setattr(pii, "collisions", lambda d, k: d.select("text") if "#" not in k else real(d, k))
+    assert pii.distinct_key(df, "own") == "own#1"
+    monkeypatch.setattr(pii, "collisions", lambda d, k: d)
+    with pytest.raises(RuntimeError):
+        pii.distinct_key(df, "own")
+
+
 def test_short_names_have_surrogates_of_their_own():
     every = [a.upper() + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouy"]
     for key in ("a", "b", "c"):
@@ -221,19 +338,64 @@ def test_license_scan(spark, empty):
     assert license_scan.license_matches(empty).count() == 0
 
 
+def best_run(words, templates, most):
+    """Best Dice of any run of words, one start and end after the other."""
+    best = 0.0
+    for a in range(len(words) - 1):
+        own, shared = set(), [0] * len(templates)
+        for e in range(a, len(words) - 1):
+            pair = (words[e], words[e + 1])
+            if pair not in own:
+                own.add(pair)
+                for k, t in enumerate(templates):
+                    shared[k] += pair in t
+            best = max([best, *(2 * o / (len(own) + len(t)) for o, t, m in zip(shared, templates, most, strict=True) if e - a < m)])
+    return best
+
+
 def test_license_scan_equals_brute_force():
-    rng, m = random.Random(1), license_scan.Matcher(license_scan.TEMPLATES, 0.8)
-    for _ in range(60):
-        parts = [rng.choice([t for ts in license_scan.TEMPLATES.values() for t in ts] + ["Some other line of words"] * 5) for _ in range(4)]
-        text = "\n".join(" ".join(w for w in p.split() if rng.random() > 0.04) for p in parts)
-        pieces = [license_scan.alnum_words(p) for p in license_scan._CUT.split(text)]
-        best = 0.0
-        for a in range(len(pieces)):
-            for b in range(a, len(pieces)):
-                own = license_scan.bigrams([w for p in pieces[a : b + 1] for w in p])
-                best = max([best, *(2 * len(own & t) / (len(own) + len(t)) for _, t in m.templates if own or t)])
+    short = {n: tuple(t for t in ts if len(t) < 200) for n, ts in license_scan.TEMPLATES.items()}
+    rng, m = random.Random(1), license_scan.Matcher(short, 0.8)
+    for k in range(40):
+        parts = [rng.choice([t for ts in short.values() for t in ts] + ["Some other line of words"] * 5) for _ in range(3)]
+        text = ("\n" if k % 2 else " ").join(" ".join(w for w in p.split() if rng.random() > 0.04) for p in parts * (1 + k % 3 // 2))
+        best = best_run(license_scan.alnum_words(text), [t for _, t in m.templates], m.most)
         found = m.find(text)
         assert (found[0][0] if found else 0) == (best if best >= 0.8 else 0)
+        spans = sorted(x[2:] for x in found)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_license_inside_a_sentence_and_whole_files(monkeypatch):
+    m = license_scan.Matcher(license_scan.TEMPLATES, 0.8)
+    assert m.find("Copyright (c) 2020 Acme, released under the MIT License.")[0] == (1.0, "MIT", 4, 9)
+    for name, at in (("MIT", -1), ("BSD-3-Clause", -1), ("BSD-2-Clause", -1), ("ISC", -1), ("Unlicense", -1), ("Zlib", -1)):
+        body = license_scan.TEMPLATES[name][at]
+        whole = f"{name} License\n\nCopyright (c) 2024 Some One\n\n" + body.replace(". ", ".\n\n").replace("the", "THE", 3)
+        found = m.find("some code\n" * 50 + whole + "\nmore code" * 50)
+        assert (found[0][1], found[0][0]) == (name, 1.0)
+        assert 0 <= len(license_scan.alnum_words(body)) - (found[0][3] - found[0][2]) <= 4  # words at the ends that only repeat
+    text = "x " * 500 + license_scan.TEMPLATES["ISC"][-1] + " y" * 300
+    whole = m.find(text)
+    monkeypatch.setattr(license_scan, "CELLS", 97)  # slices don't matter
+    assert m.find(text) == whole
+
+
+def test_license_scan_of_many_equal_lines_is_fast():
+    import time
+
+    m = license_scan.Matcher(license_scan.TEMPLATES, 0.8)
+    for line in ("the License\n", "Licensed under the MIT License today\n", "of this software and associated documentation files the\n"):
+        t = time.time()
+        found = m.find(line * 10_000)
+        assert time.time() - t < 2 and len(found) == (10_000 if "MIT" in line else 0)
+
+
+def test_license_templates_from_files(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may use this\nfor any purpose whatsoever.")
+    own = license_scan.read_templates(spark, f"file://{tmp_path}")
+    df = spark.createDataFrame([(1, "x. You may use this for any purpose whatsoever", "k")], "doc_id long, text string, license string")
+    assert [tuple(r)[:3] for r in license_scan.license_matches(df, own).collect()] == [(1, "Own-1.0", 1.0)]
 
 
 def test_quality(spark, docs, empty):
@@ -254,6 +416,34 @@ def test_quality(spark, docs, empty):
     assert quality.train(df, labels.limit(0)).score(np.zeros((2, len(quality.FEATURES)))).tolist() == [0.5, 0.5]
 
 
+def test_trees_equal_a_walk_of_single_rows():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, len(quality.FEATURES))), 2)
+    y = (x[:, 0] + x[:, 3] * x[:, 5] > 0).astype(float)
+    model = quality.fit(x, y, trees=25)
+
+    def walk(row):
+        total = model.base
+        for k in model.roots:
+            while model.left[k] != k:
+                k = model.left[k] if row[model.feature[k]] <= model.cut[k] else model.right[k]
+            total += model.value[k]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x]) and len({*model.score(x).round(6)}) > 50
+    assert ((model.score(x) >= 0.5) == (y > 0)).mean() > 0.85
+
+
+def test_held_out_quality(spark):
+    """The labels of the fold that nothing is learnt from are ranked well."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels)).join(labels, "doc_id").filter(quality.held_out()).toPandas()
+    rank, good = out.score.rank(), out.quality == 1
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert len(out) > 20 and auc > 0.9, auc
+
+
 def brute_hits(text, items, n=13):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     w, marks, found = split(text), set(), set()
@@ -308,6 +498,21 @@ def test_packing_matches_added_tokens_as_the_library_does(spark):
     assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got) == [(k, len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for k, w in enumerate(want)]
 
 
+def test_packing_of_long_runs(spark, monkeypatch):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(5)
+    long = [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "x\n" + "\n" * 1_200_000 + "<|endoftext|>" + "\t " * 400_000, "z" * 300_000, "." * 300_000, "\u3000" * 20_000 + "漢", "a" + "\x1c" * 9000 + "b"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), 1 << 22).collect()
+    want = [e.ids for e in tok.encode_batch(long, add_special_tokens=False)]
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got) == [(k, len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for k, w in enumerate(want)]
+    monkeypatch.setattr(packing, "_BLANKS", re.compile(packing._BLANKS.pattern.replace("4096", "3")))  # short runs by the same way
+    ids = packing.encoder.__wrapped__(packing.default_tokenizer(), tuple(packing.default_added().items()))
+    texts = ["".join(rng.choice([" ", " ", "\n", "\t", "a", "1", ".", "'s", "\u2003", "<|endoftext|>"]) for _ in range(60)) for _ in range(400)]
+    assert all(ids(t).tolist() == e.ids for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
 @pytest.mark.parametrize("capacity", [7, 64, 2048])
 def test_packing(docs, rows, empty, capacity):
     got = packing.pack(docs, capacity).toPandas()
@@ -367,6 +572,37 @@ def test_secrets(spark, empty):
     assert secret_scan.secret_spans(empty).count() == 0
 
 
+def test_secrets_of_added_rules_have_exact_places(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = ["é " + key + " x", "a ghp_" + "A1" * 18 + " b", "t=eyJab.eyJcd.ef-g z", "token=" + "ghp_" + "A1" * 18, "ghp_short"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0]])] + [(0, texts[0])], "doc_id long, text string").withColumn("spans", F.lit(1))
+    got = sorted((r.doc_id, [(s.ord, s.start, s.stop) for s in r.spans]) for r in secret_scan.secret_spans(df).collect())
+    first = [(3, 2, 2 + len(key))]
+    assert got == [(0, first), (0, first), (1, [(4, 2, 42)]), (2, [(5, 2, 18)]), (3, [(0, 0, 46), (4, 6, 46)]), (4, []), (5, first)]
+
+
+def test_secrets_and_masks_of_texts_with_very_many_matches(spark):
+    import time
+
+    parts = [f"token=abcdef{k} 漢🙂" for k in range(30_000)]
+    df = spark.createDataFrame([(1, " ".join(parts)), (2, "key " * 100_000)], "doc_id long, text string")
+    t = time.time()
+    got = {r.doc_id: r.spans for r in secret_scan.secret_spans(df).collect()}
+    assert [(s.start, s.stop) for s in got[1]] == [m.span() for m in re.finditer(r"token=\w+", df.first().text, re.ASCII)] and got[2] == []
+    masked = {r.doc_id: r.text for r in secret_scan.redacted_documents(df).collect()}
+    assert masked[1] == " ".join(["[secret] 漢🙂"] * 30_000) and masked[2] == "key " * 100_000
+    assert time.time() - t < 60
+
+
+def test_redaction_joins_overlaps_and_keeps_rows(spark, empty):
+    rows = [(1, "x token=AKIA" + "A" * 16 + " y 🙂 password: " + "f" * 30, 0), (None, "token=abcdef", None), (1, "token=abcdef", 3), (2, "", 0)] * 2
+    out = secret_scan.redacted_documents(spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumn("blob", F.lit("b")))
+    assert out.columns == ["doc_id", "text", "n_chars", "blob"] and dict(out.dtypes)["n_chars"] == "int"
+    got = sorted(map(tuple, out.drop("blob").collect()), key=repr)
+    assert got == sorted([(1, "x [secret] y 🙂 [secret]", 23), (None, "[secret]", 8), (1, "[secret]", 8), (2, "", 0)] * 2, key=repr)
+    assert secret_scan.redacted_documents(empty).count() == 0
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     one = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "plain")], "doc_id long, text string")
@@ -379,6 +615,20 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert found.count() == 2
 
 
+def test_ledger_is_compacted(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    for k in range(3):
+        df = spark.createDataFrame([(k, f"token=abcdef{k}"), (9, "token=abcdef0"), (k, "plain")], "doc_id long, text string")
+        secret_scan.update_ledger(df.repartition(3), ledger)
+    tables = {n: sorted(map(tuple, secret_scan.read_ledger(spark, ledger, n, "blob string, version string").distinct().collect())) for n in ("findings", "seen")}
+    secret_scan.compact(spark, ledger, 2)
+    for n, want in tables.items():
+        assert sorted(map(tuple, secret_scan.read_ledger(spark, ledger, n, "blob string, version string").collect())) == want
+        assert 1 <= len(list((tmp_path / "ledger" / n).glob("part-*"))) <= 2
+    assert secret_scan.secret_spans(df, ledger).filter("size(spans) > 0").count() == 2
+    secret_scan.compact(spark, f"file://{tmp_path}/none")
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdef, x", 17), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long").withColumn("extra", F.lit(1))
     got = {r.doc_id: r for r in secret_scan.redacted_documents(df).collect()}
