@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,12 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words kept with their hashes by one Python worker before it starts afresh.
-WORD_CACHE = 100_000
+WORD_CACHE = 50_000
 #: Rows of an Arrow batch while tables are written.
 ARROW_ROWS = 1000
 #: Rows that Python functions hold as objects at a time.
 SLICE = 500
 
+#: The C library's way to give free memory back, where it has one.
+_GIVE_BACK = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Keeps ASCII letters (lower-cased), digits and every non-ASCII byte; the rest separates words.
 _ALNUM = bytes(
@@ -83,10 +86,21 @@ def drop_tables(spark: SparkSession, *paths: str) -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that few are Python objects at a time."""
+    """The same rows in small batches, so that few are Python objects at a time.
+
+    Memory that a batch left behind goes back to the system: workers outlive their tasks.
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+        _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if _GIVE_BACK is not None:
+        _GIVE_BACK(0)
 
 
 def space_words(text: str) -> list[bytes]:
