@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license_scan, media, packing, pii, quality, secret_scan, suffix, warc
+from . import decontam, license_scan, media, packing, pii, ppm, quality, secret_scan, suffix, warc
 from .jaccard import jaccard_components
 
 
@@ -97,11 +97,17 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(*kept, feature.alias("feature"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ppm.lm_scores(_docs(spark, sf_dir), ~ppm.held_out())
+    return scored.withColumn("held_out", ~F.col("learns")).drop("learns")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_warc, op4_pii_surrogates, op5_license_scan,
         op6_quality_classifier, op7_decontamination, op8_best_fit_packing, op9_secret_scan, op10_media_columns,
+        op13_lm_scoring,
     )
 }
 
