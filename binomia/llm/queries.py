@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license_scan, media, packing, pii, ppm, quality, secret_scan, suffix, warc
+from . import decontam, divergence, license_scan, media, packing, pii, ppm, quality, secret_scan, suffix, warc
 from .jaccard import jaccard_components
 
 
@@ -97,6 +97,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(*kept, feature.alias("feature"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_docs(spark, sf_dir))
+
+
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ppm.lm_scores(_docs(spark, sf_dir), ~ppm.held_out())
     return scored.withColumn("held_out", ~F.col("learns")).drop("learns")
@@ -107,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_warc, op4_pii_surrogates, op5_license_scan,
         op6_quality_classifier, op7_decontamination, op8_best_fit_packing, op9_secret_scan, op10_media_columns,
-        op13_lm_scoring,
+        op12_source_divergence, op13_lm_scoring,
     )
 }
 
@@ -184,4 +188,21 @@ select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesc
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join x using (rid) left join y using (rid)""",
     "op9_secret_scan": _secret_sql(),
+    "op12_source_divergence": rf"""
+with d as (select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source, {_LOWER} t from documents),
+g as (select distinct lang, source from d),
+o as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+k as (select lang, term from o group by all having count(distinct rid) >= 3),
+c as (select lang, source, term, count(*) n from o semi join k using (lang, term) group by all),
+v as (select g.lang, coalesce(any_value(x.v), 0) v from (select distinct lang from g) g left join (select lang, count(*) v from k group by lang) x using (lang) group by g.lang),
+t as (select lang, source, coalesce(any_value(x.n), 0) total, any_value(v) v from g join v using (lang) left join (select lang, source, sum(n) n from c group by all) x using (lang, source) group by all),
+p as (select t.lang, t.source, k.term, coalesce(c.n, 0) n, cast(1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (total + v) as bigint) p
+  from t join k using (lang) left join c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+l as (select lang, term, cast(1 + 1000000000::hugeint * (n + 1) // (sum(n) over (partition by lang) + v) as bigint) q from (select lang, term, sum(n) n from c group by all) join v using (lang)),
+s as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' part, b.source item, cast(coalesce(f, 0) as bigint) "value" from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // q from p join l using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, "value", cast(row_number() over (partition by lang, source, part order by "value" desc, item) as int) "rank" from r
+qualify part = 'pair' or "rank" <= 200""",
 }
