@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, license_scan, media, packing, pii, ppm, quality, secret_scan, suffix, warc
+from . import decontam, divergence, license_scan, media, packing, pii, ppm, quality, secret_scan, suffix, warc, whitening
 from .jaccard import jaccard_components
 
 
@@ -97,6 +97,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(*kept, feature.alias("feature"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whitened_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond 2^63
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_docs(spark, sf_dir))
 
@@ -111,7 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_warc, op4_pii_surrogates, op5_license_scan,
         op6_quality_classifier, op7_decontamination, op8_best_fit_packing, op9_secret_scan, op10_media_columns,
-        op12_source_divergence, op13_lm_scoring,
+        op11_embedding_whitening, op12_source_divergence, op13_lm_scoring,
     )
 }
 
