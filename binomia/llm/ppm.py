@@ -17,9 +17,9 @@ The unit of work is the gram, a context and the symbol after it:
 * grams meet by the last three bytes of their context (at most 256^3 grams of the default
   order share these), where all longer contexts of the trie are complete; the trie of shorter
   contexts (at most 256^3 cells) goes to every task. So each gram gets its probability;
-* grams that make up a ``FREQUENT``-th of the training bytes or more (at most ``FREQUENT``
-  grams), and words alike, are broadcast and summed inside texts; all other grams and words of
-  a text are joined with what belongs to them, once per distinct text.
+* the most frequent grams and words (at most ``FREQUENT`` and ``FREQUENT_WORDS``, by a count of
+  counts) are broadcast and summed inside texts; all other grams and words of a text are joined
+  with what belongs to them, once per distinct text.
 
 Frequent words are known by 64-bit hashes: of m distinct words some one is taken for a
 frequent one with odds of about ``FREQUENT_WORDS * m / 2^64`` (10^-3 at 10^10 words).
@@ -43,9 +43,9 @@ ORDER = 5
 #: Bytes by whose contexts grams meet; shorter contexts are known to every task.
 SHARED = 3
 #: Grams and words at most that every task knows, and the greatest length of such words in bytes.
-FREQUENT, FREQUENT_WORDS, WORD_BYTES = 1 << 22, 1 << 20, 64
+FREQUENT, FREQUENT_WORDS, WORD_BYTES = 1 << 21, 1 << 20, 64
 #: Distinct words and grams that a task counts before it hands them on, and bytes that it counts at once.
-HELD_WORDS, HELD_GRAMS, BLOCK = 300_000, 1_500_000, 1 << 21
+HELD_WORDS, HELD_GRAMS, BLOCK = 600_000, 1_500_000, 1 << 21
 #: Grams of one step of a task, and rows of one partition.
 STEP, PART = 200_000, 500_000
 #: Texts that a task remembers so that copies send no words.
@@ -209,6 +209,10 @@ def _counted(order: int):
         t = pa.table([words, grams, pa.array(n, pa.int64())], ["word", "gram", "n"])
         yield from t.to_batches(max_chunksize=50_000)
 
+    def word_rows(words: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+        known = sorted(words)  # neighbours share bytes: shuffled blocks get smaller
+        return rows(known, None, [words[w] for w in known])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         grams, held, size = _NONE, {True: [], False: []}, 0
@@ -219,7 +223,7 @@ def _counted(order: int):
                 held[learns].append(coded(found))
                 size += len(held[learns][-1])
                 if len(words) >= HELD_WORDS:
-                    yield from rows(list(words), None, list(words.values()))
+                    yield from word_rows(words)
                     words.clear()
                 if size >= BLOCK:
                     for learns, texts in held.items():
@@ -232,7 +236,7 @@ def _counted(order: int):
         for learns, texts in held.items():
             grams = _merged(grams, grams_of(texts, order)[0], learns)
         yield from rows(None, *grams)
-        yield from rows(list(words), None, list(words.values()))
+        yield from word_rows(words)
 
     return run
 
@@ -319,6 +323,19 @@ def _sorted_columns(df: DataFrame, key: str, *values: str) -> list[np.ndarray]:
     return [keys[order], *(t.column(v).to_numpy()[order] for v in values)]
 
 
+def _most_frequent(df: DataFrame, most: int) -> DataFrame:
+    """Rows (n, ...) with the greatest n, at most ``most``: all down to a step of an eighth of a power of two."""
+    step = F.floor(8 * F.log2("n"))
+    steps = df.filter("n > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("step")).collect()  # a row per step
+    total, least = 0, None
+    for s in steps:
+        total += s["c"]
+        if total > most:
+            break
+        least = s["step"]
+    return df.filter((F.col("n") > 0) & (step >= least)) if least is not None else df.filter("false")
+
+
 def lm_scores(docs: DataFrame, learns: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, learns, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -342,7 +359,7 @@ def lm_scores(docs: DataFrame, learns: Column, order: int = ORDER, id_col: str =
     known = F.count(F.when(F.col("n") > 0, 1))
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), known).first()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
-    n_grams, coded_bytes = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_grams = grams.count()
 
     # the trie
     short = F.least(F.shiftrightunsigned("gram", 56), F.lit(SHARED - 1))
@@ -357,9 +374,9 @@ def lm_scores(docs: DataFrame, learns: Column, order: int = ORDER, id_col: str =
     # texts
     base = lambda n: F.log10((n + 0.5) / F.lit(tokens + 0.5 * (kinds + 1))) if tokens else F.lit(None).cast("double")
     words = words.withColumn("base", base(F.col("n")))
-    top = words.filter((F.col("n") > 0) & (F.col("n") * FREQUENT_WORDS >= tokens) & (F.octet_length("word") <= WORD_BYTES))
+    top = _most_frequent(words.filter(F.octet_length("word") <= WORD_BYTES), FREQUENT_WORDS)
     top = _sorted_columns(_hashed(top), "key", "base")
-    frequent = spark.sparkContext.broadcast((*top, *_sorted_columns(scored.filter((F.col("n") > 0) & (F.col("n") * FREQUENT >= coded_bytes)), "gram", "lp")))
+    frequent = spark.sparkContext.broadcast((*top, *_sorted_columns(_most_frequent(scored, FREQUENT), "gram", "lp")))
     texts, p_texts = tables.put(docs.mapInArrow(_texts(frequent, order), _TEXT_SCHEMA).withColumn("row", F.monotonically_increasing_id()))
     first, p_first = tables.put(texts.filter("words is not null").groupBy("digest").agg(F.min("row").alias("row")))
     rare = texts.filter("size(words) > 0 or size(grams) > 0").join(first.select("row"), "row", "left_semi")
