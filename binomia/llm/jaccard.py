@@ -18,11 +18,19 @@ more empty groups than spares deals itself again under another seed (see
 
 Copies (equal sets) are one class from the start. Within a block, each class is first
 verified against the block's smallest class; components of those links settle most blocks.
-In a block that still holds several components, R-trees over bounded sub-blocks find the
+Members of blocks that still hold several components are dealt again, by n-grams that set
+them apart: with the n-grams of all sets in one order, rarest first, two sets of sizes n and
+m that share o >= t (n + m) / (1 + t) members have their first common n-gram where at least o
+members are left in both. So each set sends its first few n-grams with their places, the
+(n-gram, size, place) are counted, and only those meet that leave enough in both. Near copies
+of a template with n-grams of their own that don't reach the threshold have none in common
+there, and never meet.
+
+In such a block that holds several components, R-trees over bounded sub-blocks find the
 members that have a partner in another component by the bound (one row a member, never
 the pairs); sub-blocks within one component don't meet. Those members meet again with
 their full sets, overlaps are counted exactly inside the task, and only the edges of a
-spanning forest leave it. So rows grow with the members of a block, not with its pairs.
+spanning forest leave it.
 
 Sets hold 64-bit hashes of n-grams, and classes 128 bits of their sets. Of m distinct
 n-grams in two sets some two collide with odds of about m^2 / 2^65 (10^-11 at 20,000
@@ -54,6 +62,10 @@ LEVELS = 4
 SUB_BLOCK, SUB_GRAMS = 2048, 1 << 20
 #: Sets that a task remembers so that copies send no keys.
 SEEN = 200_000
+#: Counters of n-grams by hash, from which the order of n-grams comes (any order is exact).
+COUNTERS = 1 << 21
+#: Sizes up to this one, and places in such sets, are told apart; above, in steps of a hundredth and a 128th.
+FINE_SIZES = 64
 
 
 @lru_cache(maxsize=64)
@@ -379,7 +391,7 @@ def _sub_blocks(tagged: DataFrame, tables: Scratch) -> tuple[DataFrame, list[str
     counts, one = tables.put(tagged.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("top")))
     split = counts.groupBy("key").agg(F.sum("c").alias("size"), F.max("top").alias("top"), F.count(F.lit(1)).alias("roots"))
     per = F.least(F.lit(SUB_BLOCK), F.greatest(F.lit(1), F.floor(F.lit(SUB_GRAMS) / F.col("top"))))
-    split = split.filter("roots > 1 and size > 2").select("key", "size", per.alias("per"))
+    split = split.filter("roots > 1").select("key", "size", per.alias("per"))
     full = counts.join(split, "key").filter("c > per").select("key", "root", "c", F.ceil(F.col("c") / F.col("per")).alias("own"))
     full, two = tables.put(full)
     held = full.groupBy("key").agg(F.sum("c").alias("held"), F.sum("own").alias("owned"))
@@ -396,6 +408,106 @@ def _sub_blocks(tagged: DataFrame, tables: Scratch) -> tuple[DataFrame, list[str
     return rows, [one, two]
 
 
+def _counter(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many n-grams of the sets (id, grams) fall to each counter."""
+    total = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        at = _counter(b.column(1).flatten().to_numpy().view(np.uint64))
+        total += np.bincount(at, minlength=COUNTERS) if len(at) > COUNTERS // 8 else 0
+        if len(at) <= COUNTERS // 8:
+            np.add.at(total, at, 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "c"])
+
+
+def first_grams(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The first n-grams of a set, rarest first, with the steps of size and place that they fall to and the set's size.
+
+    A partner of size m >= t n needs t (n + m) / (1 + t) >= t n members, so none begins later.
+    """
+    n = len(grams)
+    first = n + num * n // -den + 1  # n - ceil(t n) + 1
+    rank = counts[_counter(grams)]
+    some = np.argpartition(rank, first - 1)[:first] if first < n else np.arange(n)
+    if first < n:  # ties in the order are decided by the n-gram itself
+        some = np.flatnonzero(rank <= rank[some].max())
+    some = some[np.lexsort((grams[some], rank[some]))][:first]
+    place = np.arange(len(some))
+    if n <= FINE_SIZES:
+        return grams[some], np.full(len(some), n), place, n
+    return grams[some], np.full(len(some), FINE_SIZES + int(math.log(n / FINE_SIZES) * 100)), place * 128 // n, n
+
+
+def _first(held, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
+        for b in batches:
+            found = [first_grams(np.asarray(g.values).view(np.uint64), counts, num, den) for g in b.column(1)]
+            many = [len(f[0]) for f in found]
+            gram, sizes, places = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(3))
+            n = np.repeat([f[3] for f in found], many).astype(np.int64)
+            left = n - (np.concatenate([np.arange(m) for m in many]) if many else np.empty(0, np.int64))
+            ids = np.repeat(b.column(0).to_numpy(), many)
+            columns = [ids, gram.view(np.int64), sizes.astype(np.int64), places.astype(np.int64), n, left]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "gram", "size", "place", "n", "left"])
+
+    return run
+
+
+def _apart(tagged: DataFrame, docs: DataFrame, k: int, num: int, den: int, tables: Scratch) -> tuple[DataFrame, DataFrame, list[str]] | None:
+    """Blocks (key, id, n, root) by first n-grams of the members of blocks with several components, their sets, and tables to drop.
+
+    ``tagged``: key, id, n, root.
+    """
+    several = tagged.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    rest, one = tables.put(tagged.join(several, "key", "left_semi").select("id", "root").distinct())
+    if rest.isEmpty():
+        tables.drop(one)
+        return None
+    sets, two = _gram_sets(rest.select("id"), docs, k, tables)
+    counted = sets.mapInArrow(_gram_counts, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("at").to_numpy()] = counted.column("c").to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(counts)
+    first, three = tables.put(sets.mapInArrow(_first(held, num, den), "id long, gram long, size long, place long, n long, left long"))
+    steps = ["gram", "size", "place"]
+    cells = first.groupBy(*steps).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("left"))
+    cells, four = tables.put(cells)
+    a, b = cells.toDF("gram", *[f"a_{c}" for c in cells.columns[1:]]), cells.toDF("gram", *[f"b_{c}" for c in cells.columns[1:]])
+    ordered = F.struct("a_size", "a_place") <= F.struct("b_size", "b_place")
+    alone = (F.col("a_size") == F.col("b_size")) & (F.col("a_place") == F.col("b_place")) & (F.col("a_c") == 1)
+    enough = (num + den) * F.least("a_left", "b_left") >= num * (F.col("a_least") + F.col("b_least"))
+    near = (den * F.col("a_most") >= num * F.col("b_least")) & (den * F.col("b_most") >= num * F.col("a_least"))
+    met = a.join(b, "gram").filter(ordered & ~alone & enough & near)
+    met = met.withColumn("key", F.xxhash64("gram", "a_size", "a_place", "b_size", "b_place"))
+    sides = F.array(F.struct(F.col("a_size").alias("size"), F.col("a_place").alias("place")), F.struct(F.col("b_size").alias("size"), F.col("b_place").alias("place")))
+    met = met.select("key", "gram", F.explode(F.array_distinct(sides)).alias("s")).select("key", "gram", "s.size", "s.place")
+    rows = first.join(met, steps).select("key", "id", "n").distinct()
+    blocks, five = _merged_blocks(rows.join(rest, "id"), tables, "root")
+    tables.drop(three, four)
+    return blocks.select("key", "id", "n", "root"), sets, [one, *two, five]
+
+
+def _merged_blocks(met: DataFrame, tables: Scratch, column: str = "id") -> tuple[DataFrame, str]:
+    """Rows of blocks (key, id, ...) that hold several values of ``column``, with ``lo`` and ``size``; blocks of the same members are one.
+
+    Blocks are summed up and joined back, so that Spark can split the rows of a large one.
+    """
+    met, path = tables.put(met)
+    marks = F.expr("bit_xor(xxhash64(id))").alias("marks")
+    lo, size = F.min("id").alias("lo"), F.count(F.lit(1)).alias("size")
+    blocks = met.groupBy("key").agg(lo, size, marks, F.min(column).alias("__a"), F.max(column).alias("__b")).filter("__a <> __b")
+    blocks = blocks.select("key", "lo", "size", "marks")
+    rows = met.join(blocks, "key").withColumn("key", F.xxhash64("marks", "size", "lo")).drop("marks")
+    rows, new = tables.put(rows.distinct())
+    tables.drop(path)
+    return rows, new
+
+
 def _meeting(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -424,18 +536,15 @@ def jaccard_components(
     slim = slim.join(reps, ["n", "c1", "c2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     slim = stored(slim, "classes")
 
-    # blocks with at least two classes; the first window runs over all keys, the second over few.
-    # Copies in different tasks send the same rows, told apart from other sets by half their fingerprint
-    by_key = Window.partitionBy("key")
-    low, high = F.min("c1").over(by_key), F.max("c1").over(by_key)
-    keys = docs.mapInArrow(_keys(words, num, den), "key long, c1 long")
-    met = keys.withColumns({"lo": low, "hi": high}).filter("lo <> hi").groupBy("key", "c1").agg(F.count(F.lit(1)).alias("sent"))
+    # blocks with at least two classes. Copies in different tasks send the same rows, told apart
+    # from other sets by half their fingerprint; keys are summed up and joined back, so that a
+    # frequent one can be split
+    keys, p_keys = tables.put(docs.mapInArrow(_keys(words, num, den), "key long, c1 long"))
+    shared = keys.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).filter("lo <> hi").select("key")
+    met = keys.join(shared, "key", "left_semi").distinct()
     met = met.join(classes.filter("rep is not null").select("c1", "rep", "n"), "c1").select("key", F.col("rep").alias("id"), "n")
-    low, high = F.min("id").over(by_key), F.max("id").over(by_key)
-    size, marks = F.count(F.lit(1)).over(by_key), F.expr("bit_xor(xxhash64(id))").over(by_key)
-    met = met.withColumns({"lo": low, "hi": high, "size": size, "marks": marks}).filter("lo <> hi")
-    # blocks of the same members are one
-    met, p_met = tables.put(met.select(F.xxhash64("marks", "size", "lo", "hi").alias("key"), "id", "n", "lo", "size").distinct())
+    met, p_met = _merged_blocks(met, tables)
+    tables.drop(p_keys)
     nodes = prof.filter("n > 0").join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
     nodes, p_nodes = tables.put(nodes.select(F.col("doc_id").alias("id"), "n", "cv").dropDuplicates(["id"]))
     tables.drop(p_prof, p_classes)
@@ -453,15 +562,15 @@ def jaccard_components(
 
     # what star links left apart within a block
     tagged = met.filter("size > 2").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    rest, p_rest = _sub_blocks(tagged, tables)
-    near = _meeting(rest.join(nodes.hint("merge"), "id")).mapInArrow(_partnered(num, den), "key long, i long, j long, id long, root long, sub long")
-    near, p_near = tables.put(near)
-    tables.drop(p_met, p_nodes, *p_rest)
-    if not near.isEmpty():
-        sets, p_sets = _gram_sets(near.select("id"), docs, words, tables)
+    apart = _apart(tagged, docs, words, num, den, tables)
+    if apart is not None:
+        blocks, sets, p_apart = apart
+        rest, p_rest = _sub_blocks(blocks, tables)
+        near = _meeting(rest.join(nodes.hint("merge"), "id")).mapInArrow(_partnered(num, den), "key long, i long, j long, id long, root long, sub long")
+        near, p_near = tables.put(near)
         found, p_found = tables.put(_meeting(near.join(sets.hint("merge"), "id")).mapInArrow(_forest(num, den), "a long, b long"))
         roots = components(roots.select("id", "root").union(found))
-        tables.drop(p_found, *p_sets)
-    tables.drop(p_near)
+        tables.drop(p_near, p_found, *p_rest, *p_apart)
+    tables.drop(p_met, p_nodes)
     out = slim.join(roots, slim.rep == roots.id, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"))

@@ -758,3 +758,35 @@ def test_colour_and_unreadable_images(spark):
     assert (got[1].width, got[1].height) == (24, 20) and got[5].media_bytes is None and got[3].media_bytes == 0
     want = np.clip((y[:3, :3, 0] * 3 + 4 >> 3) + 128, 0, 255).astype(np.uint8)
     assert got[1].thumbnail_sha256 == hashlib.sha256(want.tobytes()).hexdigest()
+
+
+def test_near_copies_of_a_template_never_meet(spark):
+    """Texts of one template with a word of their own, below the threshold: rows grow with the texts, pairs don't exist."""
+    template = " ".join(f"w{i}" for i in range(15))
+    for n in (500, 1000):
+        docs = spark.createDataFrame([(i, f"{template} own{i}") for i in range(n)], "doc_id long, text string")
+        tagged = spark.createDataFrame([(1, i, 14, i) for i in range(n)], "key long, id long, n long, root long")
+        tables = Scratch(spark, "apart")
+        blocks, sets, _ = jaccard_module._apart(tagged, docs, 3, 90, 100, tables)
+        assert blocks.count() == 0 and sets.count() == n
+    got = jaccard_components(docs, words=3, num=90, den=100).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_first_grams_of_sets_that_reach_the_threshold_meet(num):
+    rng = np.random.default_rng(num)
+    counts = np.zeros(jaccard_module.COUNTERS, np.int64)
+    counts[rng.integers(0, len(counts), 50_000)] = rng.integers(1, 50, 50_000)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for drop, add in ((0, int(n * (100 - num) // num)), (int(n * (100 - num) // 100), 0), (n // 20, n // 20)):
+            other = np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
+            a, b = np.unique(base), other
+            o = len(np.intersect1d(a, b))
+            if (num + 100) * o < num * (len(a) + len(b)):
+                continue
+            fa, fb = (jaccard_module.first_grams(x, counts, num, 100) for x in (a, b))
+            common = [(i, j) for i, g in enumerate(fa[0].tolist()) for j, h in enumerate(fb[0].tolist()) if g == h]
+            assert any((num + 100) * min(fa[3] - i, fb[3] - j) >= num * (fa[3] + fb[3]) for i, j in common)
