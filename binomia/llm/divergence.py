@@ -1,7 +1,7 @@
 """Source divergence audit: how far the vocabulary of each source is from the others of its language.
 
 Terms are counted inside tasks per (lang, source, term) and dealt by a hash of lang and term
-into shards. Each shard is one in-process DuckDB database, filled batch by batch, which may
+into shards, the partitions of Spark's shuffle. Each shard is one in-process DuckDB database, filled batch by batch, which may
 spill to its own disk: vectorised SQL counts a shard's terms and, once Spark has summed the
 totals of groups and languages, finds its part of every pair's sum and its first terms by
 rank. Spark merges sums and ranks.
@@ -39,8 +39,8 @@ from .common import Scratch, sliced
 UNIT = 1_000_000_000
 #: Documents of a language that a term must occur in to be kept, and terms that are ranked in a group.
 LEAST_DOCS, TOP = 3, 200
-#: Distinct terms that a task counts before it hands them on; rows of a shard.
-HELD, SHARD = 300_000, 1_000_000
+#: Distinct terms that a task counts before it hands them on.
+HELD = 500_000
 #: Memory of one shard's database.
 MEMORY = "400MB"
 #: First merge of ranked terms: so many parts of a group.
@@ -57,13 +57,13 @@ def terms(text: str) -> list[bytes]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents per (lang, source, term); a row without term counts a group's documents."""
+    """Occurrences and documents per (lang, source, term)."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
     def rows() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, d) in held.items():
-            found = [k.decode("utf-8", "replace") if k is not None else None for k in n]
+            found = [k.decode("utf-8", "replace") for k in n]
             many = len(found)
             t = pa.table([pa.array([lang] * many, pa.string()), pa.array([source] * many, pa.string()), pa.array(found, pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([d[k] for k in n], pa.int64())], ["lang", "source", "term", "n", "d"])
             yield from t.to_batches(max_chunksize=20_000)
@@ -74,8 +74,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, d = held.setdefault((lang, source), (Counter(), Counter()))
             before = len(n)
             found = terms(text)
-            n[None] += 0
-            d[None] += 1
             n.update(found)
             del n[b""]
             d.update(set(found))
@@ -118,10 +116,10 @@ def _kept_cells(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Shard("lang varchar, source varchar, term varchar, n bigint, d bigint") as shard:
             shard.fill(batches)
+            shard.db.execute("create table cells as select lang, source, term, cast(sum(n) as bigint) n, cast(sum(d) as bigint) d from rows group by all")
             yield from shard.read(f"""
-                with kept as (select lang, term, min(source) source from rows group by all having sum(d) >= {least}),
-                cells as (select lang, source, term, cast(sum(n) as bigint) n from rows semi join kept using (lang, term) group by all)
-                select c.lang, c.source, term, n, cast(c.source = k.source as int) fresh from cells c join kept k using (lang, term)""")
+                select lang, source, term, n, cast(source = "first" as int) fresh from cells
+                join (select lang, term, min(source) "first" from cells group by all having sum(d) >= {least}) using (lang, term)""")
 
     return run
 
@@ -171,14 +169,11 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     """
     tables = Scratch(docs.sparkSession, "divergence")
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts, p_counts = tables.put(docs.mapInArrow(_counted, _COUNTS))
-    of_terms = counts.filter("term is not null")
-    shards = max(1, -(-of_terms.count() // SHARD))
-    cells = of_terms.repartition(shards, "lang", "term").mapInArrow(_kept_cells(least_docs), "lang string, source string, term string, n long, fresh int")
-    cells, p_cells = tables.put(cells)
+    counts = docs.mapInArrow(_counted, _COUNTS).repartition("lang", "term")
+    cells, p_cells = tables.put(counts.mapInArrow(_kept_cells(least_docs), "lang string, source string, term string, n long, fresh int"))
 
     known = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("fresh").alias("kinds"))
-    groups = counts.filter("term is null").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")).join(known, ["lang", "source"], "left")
+    groups = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")).join(known, ["lang", "source"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     groups, p_groups = tables.put(groups.select("lang", "source", zero("total"), zero("kinds")))
     langs = groups.groupBy("lang").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("lang_total"))
@@ -186,10 +181,10 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     groups, p_totals = tables.put(groups.drop("kinds").join(langs, "lang").withColumn("p0", unseen))
 
     sized = cells.drop("fresh").join(groups.drop("p0"), ["lang", "source"])
-    parts = sized.select("lang", "source", "term", "n", "total", "kinds", "lang_total").repartition(shards, "lang", "term")
+    parts = sized.select("lang", "source", "term", "n", "total", "kinds", "lang_total").repartition("lang", "term")
     parts = parts.mapInArrow(_partials(top), "kind string, lang string, source string, item string, value decimal(38,0), m long")
     parts, p_parts = tables.put(parts)
-    tables.drop(p_counts, p_cells, p_groups)
+    tables.drop(p_cells, p_groups)
 
     wide = "decimal(38,0)"
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("b0"))
