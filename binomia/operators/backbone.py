@@ -24,9 +24,14 @@ def embed_accepted(bb: DataFrame) -> DataFrame:
     A status that contains SYNONYM makes a synonym. Its target is followed while it is a
     synonym itself, in rounds that take each target's current target; a missing target
     leaves the row its own. Only ids travel through the rounds; names join once at the end.
+    Of several rows of one id the least (by name, status and target) stands for the taxon;
+    rows without id are kept and accept themselves.
     """
+    authorship = (F.col("authorship") if "authorship" in bb.columns else F.lit(None)).cast("string").alias("authorship")
+    own = ["canonical_name", "taxonomic_status", "accepted_name_usage_id", "family", "genus"]
+    taxa = bb.filter("taxon_id is not null").groupBy("taxon_id").agg(F.min(F.struct(*own, authorship)).alias("t")).select("taxon_id", "t.*")
     syn = F.coalesce(F.col("taxonomic_status").contains("SYNONYM"), F.lit(False))
-    ids = bb.select("taxon_id", F.when(syn, F.col("accepted_name_usage_id")).alias("want"), syn.alias("syn")).dropDuplicates(["taxon_id"])
+    ids = taxa.select("taxon_id", F.when(syn, F.col("accepted_name_usage_id")).alias("want"), syn.alias("syn"))
     known = ids.select(F.col("taxon_id").alias("want"), F.lit(True).alias("there"))
     at = ids.join(known, "want", "left").select("taxon_id", "syn", F.when(F.col("there"), F.col("want")).otherwise(F.col("taxon_id")).alias("acc"))
     for _ in range(CHASE_ROUNDS):
@@ -38,15 +43,17 @@ def embed_accepted(bb: DataFrame) -> DataFrame:
         at = step.drop("moved")
         if step.filter("moved").isEmpty():
             break
-    target = bb.select(
+    target = taxa.select(
         F.col("taxon_id").alias("accepted_taxon_id"),
         F.col("canonical_name").alias("accepted_name"),
         F.col("family").alias("accepted_family"),
         F.col("genus").alias("accepted_genus"),
-        (F.col("authorship") if "authorship" in bb.columns else F.lit(None).cast("string")).alias("accepted_authorship"),
-    ).dropDuplicates(["accepted_taxon_id"])
-    link = at.select("taxon_id", F.col("acc").alias("accepted_taxon_id"), F.col("syn").alias("is_synonym"))
-    return bb.join(link, "taxon_id").join(target, "accepted_taxon_id", "left").select(*bb.columns, *ACCEPTED, "is_synonym")
+        F.col("authorship").alias("accepted_authorship"),
+    )
+    link = at.select("taxon_id", F.col("acc").alias("accepted_taxon_id"))
+    out = bb.join(link, "taxon_id", "left").join(target, "accepted_taxon_id", "left").withColumn("is_synonym", syn)
+    self_ = {a: F.when(F.col("taxon_id").isNull(), F.col(c) if c in bb.columns else None).otherwise(F.col(a)) for a, c in zip(ACCEPTED, ("canonical_name", "family", "genus", "taxon_id", "authorship"), strict=True)}
+    return out.withColumns(self_).select(*bb.columns, *ACCEPTED, "is_synonym")
 
 
 def precompute_keys(bb: DataFrame) -> DataFrame:
@@ -64,10 +71,10 @@ def precompute_keys(bb: DataFrame) -> DataFrame:
 
 
 def build_backbone(bb: DataFrame) -> DataFrame:
-    """A checklist with keys and accepted names, rows of a genus together."""
+    """A checklist with keys and accepted names, sorted by genus and name in ranges, which split a large genus."""
     missing = [c for c in COLUMNS if c not in bb.columns]
     bb = bb.withColumns({c: F.lit(None).cast("string") for c in missing})
-    return precompute_keys(embed_accepted(bb)).repartition("genus").sortWithinPartitions("genus", "canonical_name")
+    return precompute_keys(embed_accepted(bb)).repartitionByRange("genus", "canonical_name").sortWithinPartitions("genus", "canonical_name")
 
 
 def candidates(built: DataFrame) -> DataFrame:
@@ -98,6 +105,20 @@ def candidates(built: DataFrame) -> DataFrame:
     return c.toDF(*c.columns[:-4], *SCORES)
 
 
+def keyed(c: DataFrame) -> DataFrame:
+    """Candidates under each of their keys: ``kind, key``, scores, ``best``, ``acc``."""
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(v).alias("key")) for k, v in (("name", "matched_name"), ("ci", "key_ci"), ("norm", "key_normalized"))])
+    rows = c.select("*", F.explode(keys).alias("k")).select("k.*", *SCORES, F.struct(*PAYLOAD, "own_genus").alias("best"), F.col("accepted_id").alias("acc"))
+    return rows.filter(F.col("key").isNotNull())
+
+
+def index_rows(rows: DataFrame) -> DataFrame:
+    """The best of the candidates of each key."""
+    tiers = rows.groupBy("kind", "key", *SCORES).agg(F.min("best").alias("best"), F.array_sort(F.collect_set("acc")).alias("ids"))
+    top = tiers.groupBy("kind", "key").agg(F.min(F.struct(F.struct(*SCORES).alias("tier"), "best", "ids")).alias("t"))
+    return top.select("kind", "key", "t.tier", "t.best", "t.ids")
+
+
 def key_index(built: DataFrame) -> DataFrame:
     """Best candidate per key: ``kind, key, tier, best, ids``, one row for each key.
 
@@ -105,10 +126,4 @@ def key_index(built: DataFrame) -> DataFrame:
     the taxa that candidates of the best tier accept. Scores depend on the checklist alone,
     so the pick is made here once and a query looks up one row per key.
     """
-    c = candidates(built)
-    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(v).alias("key")) for k, v in (("name", "matched_name"), ("ci", "key_ci"), ("norm", "key_normalized"))])
-    rows = c.select("*", F.explode(keys).alias("k")).select("k.*", *SCORES, F.struct(*PAYLOAD, "own_genus").alias("best"), F.col("accepted_id").alias("acc"))
-    rows = rows.filter(F.col("key").isNotNull())
-    tiers = rows.groupBy("kind", "key", *SCORES).agg(F.min("best").alias("best"), F.collect_set("acc").alias("ids"))
-    top = tiers.groupBy("kind", "key").agg(F.min(F.struct(F.struct(*SCORES).alias("tier"), "best", "ids")).alias("t"))
-    return top.select("kind", "key", "t.tier", "t.best", "t.ids")
+    return index_rows(keyed(candidates(built)))

@@ -44,7 +44,7 @@ def select_columns(columns: dict[str, str], cols: list[str] | str | None, defaul
 
 def enrich(
     result: DataFrame,
-    table: DataFrame,
+    table: DataFrame | None,
     columns: dict[str, str],
     by: str = "accepted_name",
     types: dict[str, str] | None = None,
@@ -53,13 +53,13 @@ def enrich(
 ) -> DataFrame:
     """Left join of ``columns`` (output name -> source column) on ``by``: a name or ``genus``.
 
-    Sources that the table lacks give nulls of the declared type. Names join aggregate-aware:
+    Sources that the table lacks give nulls of the declared type, and so does a missing table. Names join aggregate-aware:
     an aggregate reaches its own row, a species inherits the row of its aggregate if it has
     none, never the other way. ``inherited`` names a column that tells which. Each table key
     keeps one row, so the join adds no rows.
     """
     types = types or {}
-    there = {o: s for o, s in columns.items() if s in table.columns}
+    there = {o: s for o, s in columns.items() if table is not None and s in table.columns}
     blank = {o: F.lit(None).cast(types.get(o, "string")) for o in columns if o not in there}
     result = result.drop(*columns)
     if there:

@@ -68,6 +68,12 @@ def resolve_regions(regions: DataFrame, tokens: list[str]) -> tuple[list[str], l
     return sorted({c for r in rows for c in r["codes"]}), sorted(r["token"] for r in rows if not r["codes"])
 
 
+def named_codes(regions: DataFrame, tokens: list[str]) -> DataFrame:
+    """``code`` of the regions that any of ``tokens`` names, as a table: nothing passes through the driver."""
+    asked = [fold_key(F.lit(t)) for t in tokens]
+    return alias_map(regions).filter(F.col("key").isin(*asked) if asked else F.lit(False)).select("code").distinct()
+
+
 def search_regions(regions: DataFrame, text: str) -> DataFrame:
     """Regions whose code or names contain ``text``, accents and case aside."""
     cols = ["code", "name", "level2_code", "level2_name", "level1_code", "level1_name"]

@@ -213,8 +213,12 @@ select row_idx, input_name, canonical_name matched_name, accepted_name, taxon_id
   reg.kingdom_group, reg.taxon_group, reg.life_form, qualifier, qualifier_position from out1 left join reg on reg.genus = out1.g"""
 
 
-def _inspect() -> str:
-    """Labels of every name: register, spelling, ambiguity, range, group, case, synonymy."""
+def _inspect(bare: bool = False) -> str:
+    """Labels of every name: register, spelling, ambiguity, range, group, case, synonymy; of ``bare`` names without any match."""
+    start = f"with recursive {clean(_N)}, {backbone()}, {exact()}"
+    hits = f"cleaned_rows c left join exact_hits e on e.nk = {_NK}"
+    if bare:
+        start, hits = "with recursive none0 as (select 1)", f"(select *, null::varchar mt, null::varchar accepted_name, null::boolean is_synonym, null::boolean is_ambiguous, null::varchar ambiguous_targets from ({_N})) c"
     flag = lambda when, name, tier, why: f"case when {when} then {{'n': '{name}', 't': {tier}, 'w': {why}}} end"
     q = "chr(39)"
     flags = ", ".join(
@@ -229,9 +233,9 @@ def _inspect() -> str:
         )
     )
     return rf"""
-with recursive {clean(_N)}, {backbone()}, {exact()}, {_REG},
+{start}, {_REG},
 r0 as (select row_idx, input_name, coalesce(mt, 'none') mt, accepted_name, is_synonym, is_ambiguous, ambiguous_targets, nullif(split_part(regexp_replace(input_name, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), ' ', 1), '') tok,
-  lower(trim(regexp_replace(input_name, '\s+', ' ', 'g'))) key from cleaned_rows c left join exact_hits e on e.nk = {_NK} where input_name is not null),
+  lower(trim(regexp_replace(input_name, '\s+', ' ', 'g'))) key from {hits} where input_name is not null),
 r1 as (select r0.*, reg.kingdom_group kg, mt = 'none' and tok is not null and reg.genus is null unknown, mt <> 'none' m from r0 left join reg on reg.genus = tok),
 x as (select key k, input_name x, count(*) c from r1 where key <> '' group by all),
 u as (select k, sum(c) n, arg_min(x, (-c, x)) spelling from x group by k having length(k) >= 5),
@@ -250,7 +254,7 @@ f as (select r1.*, dup.spelling, odd.top, cs, a, case when len(a) > 0 then m and
 l as (select *, list_filter([{flags}], lambda z: z is not null) fs from f)
 select input_name, case when m then accepted_name else spelling end suggestion, array_to_string(list_transform(fs, lambda z: z.n), '|') anomalies,
   ['note', 'review', 'unresolved'][list_max(list_transform(fs, lambda z: z.t))] tier, list_max(list_transform(fs, lambda z: z.t)) tier_rank,
-  array_to_string(list_transform(fs, lambda z: z.w), '; ') reason, cast(null as double) fuzzy_dist, 'wfo' backend from l where len(fs) > 0"""
+  array_to_string(list_transform(fs, lambda z: z.w), '; ') reason, cast(null as double) fuzzy_dist, {"null::varchar" if bare else "'wfo'"} backend from l where len(fs) > 0"""
 
 
 _GEN_ALL = f"""a as (select 1 p, * from ({_genera(3, 0)}) union all select 2, * from ({_genera(3, 1)}) union all select 3, * from ({_genera(3, 2)})),
@@ -360,7 +364,7 @@ select user_id, min(ts) session_start, max(ts) + interval 30 minute session_end,
 with m as ({_M}) select row_idx, case when regexp_matches(input_name, '^[Cc][Ff]\.?\s') then 'cf.' else nullif(regexp_extract(input_name, '\b((?:{_Q})\.?)(?:\s|$)', 1), '') end qualifier,
   case when regexp_matches(input_name, '^[Cc][Ff]\.?\s') then 1 when regexp_matches(input_name, '\b(?:{_Q})\.?(?:\s|$)') then length(regexp_extract(input_name, '^(.*?)\b(?:{_Q})\.?(?:\s|$)', 1)) + 1 end place,
   regexp_replace(input_name, '\b(?:{_Q})\.?(\s|$)', ' \1', 'g') stripped from m""",
-    "extract_genera": f"select genus, min(family) family from ({duck(i.BACKBONE)}) where taxon_rank = 'SPECIES' and taxonomic_status = 'ACCEPTED' group by genus",
+    "extract_genera": f"select genus, arg_min(family, taxon_id) family from ({duck(i.BACKBONE)}) where taxon_rank = 'SPECIES' and taxonomic_status = 'ACCEPTED' group by genus",
     "genus_coverage": f"with b as ({duck(i.BACKBONE)}) select distinct genus, be backend from b join (values ('wfo', 2, 0), ('col', 7, 1)) v(be, m, r) on k % m = r where genus in (select genus from b where k % 3 = 1)",
     "family_kingdom": """
 with g as (select c_name genus, cast(c_nationkey as varchar) family, case when c_custkey % 3 <> 0 then c_mktsegment end kingdom from customer),
@@ -375,7 +379,7 @@ select genus, family, coalesce(kingdom, k) kingdom from g left join w using (fam
     "resolve_chain": _chain(),
     "inspect_report": _inspect(),
     "inspect_review": f"select * from ({_inspect()}) where tier_rank >= 2",
-    "catalog": "select version, n_nationkey, case when version = '2024' then n_name else lower(n_name) end n_name from nation, (values ('2024'), ('2025')) t(version)",
+    "catalog": "select version, p_partkey, case when version = '9' then p_name else lower(p_type) end p_name from part, (values ('9'), ('10')) t(version)",
     "kingdom_patterns": "select c_custkey, case c_custkey % 5 when 1 then 'Bacteria' when 4 then null else 'Viruses' end kingdom from customer",
     "fuzzy_pick": f"""
 with recursive {clean(_N)}, {backbone()}, {exact()},
@@ -437,4 +441,21 @@ o as (select upper(substr(p_name, 1, 1))||substr(p_name, 2) k, case p_partkey %
 g as (select b.accepted_name an, c, min(v) v from o join b on b.matched_name = o.k where c is not null group by all)
 select accepted_name, (select v from g where an = accepted_name and c = 'AT') "top_size_AT", (select v from g where an = accepted_name and c = 'DE') "top_size_DE" from n""",
     "text_files": "select file, cast(n_nationkey as bigint) n_nationkey, n_name from nation, (values ('csv'), ('tsv')) t(file)",
+    "delta_versions": f"""
+with o as ({duck(i.BACKBONE_BEFORE)}), n as ({duck(i.BACKBONE)})
+select case when o.taxon_id is null then 'insert' when n.taxon_id is null then 'delete' else 'update' end op, coalesce(n.taxon_id, o.taxon_id) taxon_id, n.canonical_name, n.taxonomic_status
+from o full join n on o.taxon_id = n.taxon_id where o.taxon_id is null or n.taxon_id is null or (o.canonical_name, o.taxonomic_status) is distinct from (n.canonical_name, n.taxonomic_status)""",
+    "delta_index": f"with recursive {backbone()} "
+    + " union all ".join(f"select '{kind}' kind, {key} as key, * exclude ({key}) from ({pick('cand', key)})" for kind, key in (("ci", "key_ci"), ("norm", "key_normalized")))
+    + f" union all select 'name', name, * exclude (name) from ({pick('(select *, canonical_name as name from cand)', 'name')})",
+    "stream_fuzzy_dedup": "select l_partkey row_idx, taxon_id, fuzzy_dist from (select *, row_number() over (partition by taxon_id order by fuzzy_dist, l_partkey) rn from (select l_partkey, 'p'||cast(l_partkey % 17 as string) taxon_id, cast(min(l_linenumber) - 1 as double) / 8 fuzzy_dist from lineitem group by l_partkey)) where fuzzy_dist = 0 or rn = 1",
+    "stream_match_rates": f"""
+with recursive {clean(duck(i.EVENT_NAMES))}, {backbone()}, {exact()},
+m as (select row_idx, mt is not null hit from cleaned_rows c left join exact_hits e on e.nk = {_NK})
+select time_bucket(interval 1 hour, ts) window_start, count(*) n, count(*) filter (event_id % 7 <> 0 and event_id % 90 <= 60 and hit) n_matched,
+  count(*) filter (event_id % 7 <> 0 and event_id % 90 <= 60 and hit) / count(*) rate from events join m on row_idx = event_id group by 1""",
+    "inspect_names": _inspect(bare=True),
+    "enrichment_ladder": """
+select accepted_name, cast(most as double) newest, cast(least as double) pinned, cast(most + 1 as double) fetched, cast(least + 1 as double) built, cast(most + least as double) in_memory, cast(null as double) missing
+from (select upper(substr(p_name, 1, 1))||substr(p_name, 2) accepted_name, min(p_size) least, max(p_size) most from part group by 1)""",
 }

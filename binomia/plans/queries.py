@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binomia.functions.text import is_aggregate_name, normalize_aggregate_name, normalize_epithets
-from binomia.operators import add_data, backbone, doors, enrich, fuzzy, inspect, pick, region, register, report, reshape, scope, traits
+from binomia.operators import add_data, backbone, delta, doors, enrich, fuzzy, inspect, pick, region, register, report, reshape, scope, traits
 from binomia.operators.clean import CLEAN_COLUMNS, attach_agg_key, clean_names, clean_rows, hybrid_parents, qualifier_match, strip_qualifiers
 from binomia.operators.exact import match_exact, name_key
 from binomia.plans import inputs
 from binomia.plans.inputs import table
 from binomia.plans.resolve import Backend, Options, resolve
-from binomia.sources.catalog import Catalog
+from binomia.sources.catalog import Catalog, Source
+from binomia.sources.files import Files
 from binomia.sources.io import export, read_table
 from binomia.sources.staging import staged, staging_path
+from binomia.streaming.stateful import answered_share, closest_changes, free_matches, monitor_rates, net_changes, rates, rocksdb
 from binomia.streaming.stream import each_batch, resolve_batch, resolve_stream, session_tally, window_tally
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,9 +266,7 @@ def q_region_filter(s, d):
 
 @query
 def q_region_tokens(s, d):
-    codes, unknown = region.resolve_regions(table(s, d, inputs.REGIONS), ["Éurope", "Nation_7", "n3", "L2-1", "nowhere"])
-    assert unknown == ["nowhere"]
-    return s.createDataFrame([(c,) for c in codes], "code string")
+    return region.named_codes(table(s, d, inputs.REGIONS), ["Éurope", "Nation_7", "n3", "L2-1", "nowhere"])
 
 
 @query
@@ -324,7 +324,7 @@ def q_outlier_groups(s, d):
 
 @query
 def q_inspect_report(s, d):
-    """Anomalies of the names of one order segment, resolved without fuzzy matching."""
+    """Anomalies of all names, resolved without fuzzy matching."""
     r = matched(s, d).withColumns({"backend": F.lit("wfo"), "fuzzy_dist": F.lit(None).cast("double")})
     r = staged(r.withColumn("match_type", F.coalesce("match_type", F.when(F.col("input_name").isNotNull(), "none"))), "result")
     return inspect.inspect(r, _register(s, d), table(s, d, inputs.RANGES), table(s, d, inputs.REGIONS))
@@ -422,14 +422,6 @@ def q_session_tally(s, d):
     return session_tally(s.read.parquet(f"{d}/events.parquet"), "ts", "user_id")
 
 
-def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything a stream gives until its source is exhausted."""
-    s = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name)
-
-
 @query
 def q_stream_resolve(s, d):
     """Every name, nulls included, as a stream against the static key index, batch by batch."""
@@ -458,7 +450,10 @@ def q_stream_window_tally(s, d):
     events = s.read.parquet(f"{d}/events.parquet")
     feed = staged(events.withColumn("ts", F.col("ts").cast("timestamp")), "events")
     stream = s.readStream.schema(feed.schema).parquet(feed.inputFiles()[0].rpartition("/")[0])
-    return _drained(window_tally(stream, "ts", "event_type"), "event_windows", "complete")
+    tally, path = window_tally(stream, "ts", "event_type"), staging_path(s, "windows")
+    writer = tally.writeStream.outputMode("complete").foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/{epoch:09d}"))
+    writer.option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(tally.schema).parquet(f"{path}/{Files(s).names(path)[-1]}")  # the last batch holds all windows
 
 
 @query
@@ -582,13 +577,99 @@ def q_text_files(s, d):
 
 @query
 def q_catalog(s, d):
-    """Two versions of a table in the catalogue, read back by pin and as the newest."""
+    """Two versions of a table in the catalogue, read back by pin and as the newest (10 after 9)."""
+    c = Catalog(s, staging_path(s, "catalog"))
+    p = s.read.parquet(f"{d}/part.parquet")
+    c.install("backbone", "parts", p.select("p_partkey", "p_name"), "9")
+    c.install("backbone", "parts", p.select("p_partkey", F.lower("p_type").alias("p_name")), "10")
+    old, new = c.table("backbone", "parts", "9"), c.table("backbone", "parts")
+    return old.select(F.lit("9").alias("version"), "*").union(new.select(F.lit(c.meta("backbone", "parts")["version"]).alias("version"), "*"))
+
+
+@query
+def q_enrichment_ladder(s, d):
+    """One column per rung: a newer version, one that stays pinned, fetched, built, in memory, none."""
+    p = s.read.parquet(f"{d}/part.parquet").withColumn("canonical_name", F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1 << 30)))
+    t = p.groupBy("canonical_name").agg(F.min("p_size").cast("double").alias("least"), F.max("p_size").cast("double").alias("most"))
+    of = lambda c: t.select("canonical_name", c.alias("v"))
+    least, most = F.col("least"), F.col("most")
     c = Catalog(s, staging_path(s, "catalog"))
-    n = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
-    c.install("backbone", "nations", n, "2024")
-    c.install("backbone", "nations", n.withColumn("n_name", F.lower("n_name")), "2025")
-    old, new = c.table("backbone", "nations", "2024"), c.table("backbone", "nations")
-    return old.select(F.lit("2024").alias("version"), "*").union(new.select(F.lit(c.meta("backbone", "nations")["version"]).alias("version"), "*"))
+    c.install("enrichment", "newest", of(least), "9")
+    c.install("enrichment", "pinned", of(least), "9")
+
+    def fails() -> str:
+        raise OSError("no network")
+
+    sources = {
+        "newest": Source(lambda: "10", lambda v: of(most)),
+        "pinned": Source(fails),
+        "fetched": Source(lambda: "1.2", lambda v: of(most + 1)),
+        "built": Source(fails, build=lambda: of(least + 1)),
+        "in_memory": Source(fails, in_memory=lambda: of(most + least)),
+        "missing": Source(),
+    }
+    out = accepted(s, d)
+    for name, source in sources.items():
+        out = enrich.enrich(out, c.ensure("enrichment", name, source), {name: "v"}, types={name: "double"})
+    return out
+
+
+@query
+def q_delta_versions(s, d):
+    """What turns the checklist before into the present one."""
+    return delta.diff_versions(table(s, d, inputs.BACKBONE_BEFORE), table(s, d, inputs.BACKBONE)).select("op", "taxon_id", "canonical_name", "taxonomic_status")
+
+
+@query
+def q_delta_index(s, d):
+    """The key index of the checklist before, brought up to date by the delta alone."""
+    before = staged(backbone.build_backbone(table(s, d, inputs.BACKBONE_BEFORE)), "before")
+    changes = delta.diff_versions(table(s, d, inputs.BACKBONE_BEFORE), table(s, d, inputs.BACKBONE))
+    ix, _ = delta.patch_index(staged(backbone.key_index(before), "key_index"), before, changes)
+    own = [F.col("best")[c].alias(c) for c in ("taxon_id", "matched_name", "accepted_name", "accepted_id", "is_synonym")]
+    many = F.size("ids") >= 2
+    return ix.select("kind", "key", *own, many.alias("is_ambiguous"), F.when(many, F.array_join("ids", "|")).alias("ambiguous_targets"))
+
+
+def _fed(s: SparkSession, df: DataFrame, name: str, files: int, *order: str) -> DataFrame:
+    """A stream of a table, a file of rows in ``order`` at a time."""
+    feed = staging_path(s, name)
+    rows = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    rows.write.parquet(feed)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+
+
+@query
+def q_stream_fuzzy_dedup(s, d):
+    """The closest match per target over all batches of a stream, by state per target and corrections."""
+    rows = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("row_idx")).agg(((F.min("l_linenumber") - 1).cast("double") / 8).alias("fuzzy_dist"))
+    rows = rows.withColumn("taxon_id", F.concat(F.lit("p"), (F.col("row_idx") % 17).cast("string")))
+    stream, path = _fed(s, rows, "matches", 4, "row_idx"), staging_path(s, "changes")
+    with rocksdb(s):
+        out = closest_changes(stream).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{path}-log")
+        out.trigger(availableNow=True).start().awaitTermination()
+    changes = s.read.schema("taxon_id string, row_idx long, fuzzy_dist double, change int").parquet(path)
+    return net_changes(changes).unionByName(free_matches(rows)).select("row_idx", "taxon_id", "fuzzy_dist")
+
+
+@query
+def q_stream_match_rates(s, d):
+    """Share of events whose name was resolved within an hour, per window, from two streams; later answers correct earlier windows."""
+    events = table(s, d, inputs.EVENT_NAMES).withColumn("ts", F.col("ts").cast("timestamp"))
+    answer = F.col("ts") + F.make_dt_interval(mins=(F.col("row_idx") % 90).cast("int"))
+    sent = events.filter("row_idx % 7 <> 0").select("row_idx", "input_name", answer.alias("answered_at"))
+    asked, names_ = _fed(s, events.select("row_idx", "ts"), "asked", 3, "ts"), _fed(s, sent, "answers", 3, "answered_at")
+    hits = resolve_stream(names_, index(s, d)).select("row_idx", "answered_at", F.col("match_type").isin(*inspect.MATCHED).alias("hit"))
+    path = staging_path(s, "rates")
+    writer = monitor_rates(answered_share(asked, hits, "row_idx", "ts", "answered_at", "1 hour", "2 days"), path)
+    writer.option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return rates(s.read.parquet(path)).select("window_start", "n", "n_matched", "rate")
+
+
+@query
+def q_inspect_names(s, d):
+    """Anomalies of all names as written, without matching."""
+    return inspect.inspect_names(names(s, d), _register(s, d))
 
 
 @query
