@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binomia.operators.enrich import enrich_grouped
 from binomia.plans.resolve import Backend, Options, resolve
+from binomia.sources.io import read_table
+from binomia.sources.spreadsheet import detect_sheet
 from binomia.sources.staging import staged
 
 #: Rows that tell which column holds the names, and the share of them that must match.
@@ -31,6 +33,19 @@ def detect_species_column(data: DataFrame, backends: list[Backend]) -> str:
     return best
 
 
+def read_data(spark: SparkSession, path: str, backends: list[Backend], table: str | None = None, sheet: str | int | None = None, start_row: int | None = None) -> tuple[DataFrame, str]:
+    """A user's file and its column of names. Sheet and header row of a spreadsheet are found by what matches, if they aren't given."""
+    if path.lower().rstrip("/").endswith(".xlsx") and (sheet is None or start_row is None):
+        def matches(names: DataFrame) -> DataFrame:
+            asked = staged(names.withColumn("row_idx", F.xxhash64("input_name")), "cells")
+            return resolve(asked, backends).df.filter("match_type <> 'none'")
+
+        sheet, start_row, species = detect_sheet(spark, path, matches)
+        return read_table(spark, path, sheet=sheet, start_row=start_row), species
+    data = read_table(spark, path, table, sheet, start_row or 1)
+    return data, detect_species_column(data, backends)
+
+
 def resolved_data(data: DataFrame, species: str, backends: list[Backend], options: Options = Options()) -> DataFrame:
     """``data`` with the accepted_id and accepted_name of its names."""
     names = data.select(F.col(species).alias("input_name")).filter(F.col(species).isNotNull()).distinct()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binomia.functions.text import fold_key
+from binomia.sources.staging import staged
 
 MODES = ("present", "native", "introduced")
 
@@ -99,36 +101,94 @@ def edges(features: DataFrame) -> DataFrame:
     return f.select("feature_idx", "code", "poly", "ring", "box", *[at(F.col("p"), k).alias(f"{n}i") for n, k in (("x", 0), ("y", 1))], *[at(before, k).alias(f"{n}j") for n, k in (("x", 0), ("y", 1))])
 
 
-#: Degrees of a cell in which points meet features' boxes, and of a band in which they meet edges.
-CELL, BAND = 5.0, 1.0
+#: Degrees of the cells of a cover, each level a whole part of the one before, and of a band in which points meet edges.
+CELLS, BAND = (8.0, 2.0, 0.5), 1.0
 
 
-def locate_points(points: DataFrame, features: DataFrame) -> DataFrame:
-    """``point_id, code`` of points (point_id, lon, lat) by even-odd ray casting, holes taken out.
+def _cell(x: Column, size: float) -> Column:
+    return F.floor(x / size).cast("long")
+
+
+def unwrapped(features: DataFrame) -> DataFrame:
+    """Features whose rings cross the date line (a step of more than 180 degrees) with longitudes that go on beyond 180."""
+    at = lambda p: F.get(p, 0)
+    jumps = lambda ring: F.exists(F.transform(ring, lambda p, i: F.abs(at(p) - at(F.get(ring, (i + 1) % F.size(ring)))) > 180), lambda x: x)
+    east = lambda ring: F.transform(ring, lambda p: F.array(F.when(at(p) < 0, at(p) + 360).otherwise(at(p)), F.get(p, 1)))
+    return features.withColumn("polys", F.transform("polys", lambda poly: F.when(F.exists(poly, jumps), F.transform(poly, east)).otherwise(poly)))
+
 
-    Points meet the boxes of features in cells of longitude and latitude; only inside a box
-    they meet that feature's edges, by latitude band, and a ray counts the crossings to its
-    right. The first feature in order wins; points in none have a null code.
+def _touches(size: float) -> Column:
+    """An edge (xi, yi)-(xj, yj) touches the cell (cx, cy): their boxes meet, and the cell lies on both sides of its line or on it."""
+    half, slack = size / 2, 1e-9
+    x, y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
+    dx, dy = F.col("xj") - F.col("xi"), F.col("yj") - F.col("yi")
+    near = lambda c, i, j: (c + half + slack >= F.least(i, j)) & (c - half - slack <= F.greatest(i, j))
+    line = F.abs(dy * (x - F.col("xi")) - dx * (y - F.col("yi"))) <= half * (F.abs(dx) + F.abs(dy)) + slack
+    return near(x, "xi", "xj") & near(y, "yi", "yj") & line
+
+
+def _inside(near: DataFrame, e: DataFrame) -> DataFrame:
+    """``point_id, feature_idx, code`` of the pairs (point_id, lon, lat, feature_idx) inside by even-odd ray casting.
+
+    A ray to the east counts the crossings with the feature's edges of its latitude band, per
+    ring; holes are taken out.
     """
-    cell = lambda x, size: F.floor(x / size).cast("long")
-    e = edges(features)
     low, high = F.least("yi", "yj"), F.greatest("yi", "yj")
-    boxes = features.select("feature_idx", F.flatten(F.flatten("polys")).alias("pts")).filter(F.size("pts") >= 3)
-    corner = lambda fn, k: fn(F.transform("pts", lambda p: F.get(p, k)))
-    boxes = boxes.select("feature_idx", *[corner(fn, k).alias(n) for n, fn, k in (("x0", F.array_min, 0), ("x1", F.array_max, 0), ("y0", F.array_min, 1), ("y1", F.array_max, 1))])
-    boxes = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), CELL), cell(F.col("x1"), CELL))))
-    boxes = boxes.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), CELL), cell(F.col("y1"), CELL))))
-    p = points.select("point_id", "lon", "lat", cell(F.col("lon"), CELL).alias("cx"), cell(F.col("lat"), CELL).alias("cy"))
-    near = p.join(boxes, ["cx", "cy"]).filter(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    near = near.select("point_id", "lon", "lat", "feature_idx", cell(F.col("lat"), BAND).alias("band"))
-    e = e.withColumn("band", F.explode(F.sequence(cell(low, BAND), cell(high, BAND)))).drop("box")
+    e = e.withColumn("band", F.explode(F.sequence(_cell(low, BAND), _cell(high, BAND)))).drop("box")
     crosses = ((F.col("yi") > F.col("lat")) != (F.col("yj") > F.col("lat"))) & (
         F.col("lon") < (F.col("xj") - F.col("xi")) * (F.col("lat") - F.col("yi")) / F.when(F.col("yj") != F.col("yi"), F.col("yj") - F.col("yi")) + F.col("xi")
     )
-    hit = near.join(e, ["feature_idx", "band"]).filter(crosses)
-    rings = hit.groupBy("point_id", "feature_idx", "code", "poly", "ring").agg((F.count(F.lit(1)) % 2 == 1).alias("inside"))
-    polys = rings.filter("inside").groupBy("point_id", "feature_idx", "code", "poly").agg(F.max(F.col("ring") == 0).alias("outer"), F.max(F.col("ring") > 0).alias("hole"))
-    found = polys.filter("outer and not hole").groupBy("point_id").agg(F.min(F.struct("feature_idx", "code")).alias("f"))
+    hit = near.withColumn("band", _cell(F.col("lat"), BAND)).join(e, ["feature_idx", "band"]).filter(crosses)
+    rings = hit.groupBy("point_id", "lon", "feature_idx", "code", "poly", "ring").agg((F.count(F.lit(1)) % 2 == 1).alias("inside"))
+    polys = rings.filter("inside").groupBy("point_id", "lon", "feature_idx", "code", "poly").agg(F.max(F.col("ring") == 0).alias("outer"), F.max(F.col("ring") > 0).alias("hole"))
+    return polys.filter("outer and not hole").select("point_id", "feature_idx", "code").distinct()
+
+
+def polygon_cover(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(inside cells, boundary cells, edges) of features: ``feature_idx, code, level, cx, cy``; ``feature_idx, cx, cy``.
+
+    From the largest cells of :data:`CELLS` down: cells that an edge touches are split, the
+    others are inside as a whole if their centre is, or dropped. What touches an edge still at
+    the last level is boundary. An edge is carried down by the cells that it touches, so the
+    work follows the length of outlines, not the area.
+    """
+    f = unwrapped(features)
+    e = staged(edges(f), "edges")
+    box = e.groupBy("feature_idx", "code").agg(*[fn(F.least(i, j) if fn is F.min else F.greatest(i, j)).alias(n) for n, fn, i, j in (("x0", F.min, "xi", "xj"), ("x1", F.max, "xi", "xj"), ("y0", F.min, "yi", "yj"), ("y1", F.max, "yi", "yj"))])
+    over = lambda df, x0, x1, y0, y1, size: df.withColumn("cx", F.explode(F.sequence(_cell(x0, size), _cell(x1, size)))).withColumn("cy", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
+    cells = over(box, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), CELLS[0]).select("feature_idx", "code", "cx", "cy")
+    lines = over(e, F.least("xi", "xj"), F.greatest("xi", "xj"), F.least("yi", "yj"), F.greatest("yi", "yj"), CELLS[0])
+    whole = []
+    for level, size in enumerate(CELLS):
+        if level:
+            parts = round(CELLS[level - 1] / size)
+            down = lambda df, parts=parts: df.withColumn("cx", F.explode(F.sequence(F.col("cx") * parts, F.col("cx") * parts + parts - 1))).withColumn("cy", F.explode(F.sequence(F.col("cy") * parts, F.col("cy") * parts + parts - 1)))
+            cells, lines = down(edge_cells), down(lines)
+        lines = staged(lines.filter(_touches(size)), "lines")
+        edge_cells = lines.select("feature_idx", "code", "cx", "cy").distinct()
+        whole.append(cells.join(edge_cells, ["feature_idx", "cx", "cy"], "left_anti").select("feature_idx", F.lit(level).alias("level"), "cx", "cy", F.lit(size).alias("size")))
+    plain = reduce(DataFrame.unionByName, whole)
+    plain = plain.withColumn("point_id", F.struct("level", "cx", "cy")).withColumns({"lon": (F.col("cx") + 0.5) * F.col("size"), "lat": (F.col("cy") + 0.5) * F.col("size")})
+    inside = _inside(staged(plain.select("point_id", "lon", "lat", "feature_idx"), "cells"), e)
+    return staged(inside.select("feature_idx", "code", "point_id.*"), "cover"), staged(edge_cells.select("feature_idx", "cx", "cy"), "boundary"), e
+
+
+def locate_points(points: DataFrame, features: DataFrame) -> DataFrame:
+    """``point_id, code`` of points (point_id, lon, lat), as by even-odd ray casting with holes taken out.
+
+    Points in an inside cell of the features' cover (:func:`polygon_cover`) are settled by
+    equi-joins on cells; only points in boundary cells meet edges. Features may cross the date
+    line. The first feature in order wins; points in none, or without coordinates, have a null
+    code.
+    """
+    inside, boundary, e = polygon_cover(features)
+    p = points.select("point_id", "lon", "lat").filter("lon is not null and lat is not null")
+    p = p.withColumn("lon", F.explode(F.when(F.col("lon") < 0, F.array(F.col("lon"), F.col("lon") + 360)).otherwise(F.array("lon"))))
+    at = F.array(*[F.struct(F.lit(k).alias("level"), _cell(F.col("lon"), size).alias("cx"), _cell(F.col("lat"), size).alias("cy")) for k, size in enumerate(CELLS)])
+    sure = p.select("point_id", F.explode(at).alias("c")).select("point_id", "c.*").join(inside, ["level", "cx", "cy"]).select("point_id", "feature_idx", "code")
+    near = p.withColumns({"cx": _cell(F.col("lon"), CELLS[-1]), "cy": _cell(F.col("lat"), CELLS[-1])}).join(boundary, ["cx", "cy"])
+    close = _inside(near.select("point_id", "lon", "lat", "feature_idx"), e)
+    found = sure.unionByName(close).groupBy("point_id").agg(F.min(F.struct("feature_idx", "code")).alias("f"))
     return points.join(found.select("point_id", F.col("f.code").alias("code")), "point_id", "left").select("point_id", "code")
 
 

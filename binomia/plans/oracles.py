@@ -458,4 +458,5 @@ select time_bucket(interval 1 hour, ts) window_start, count(*) n, count(*) filte
     "enrichment_ladder": """
 select accepted_name, cast(most as double) newest, cast(least as double) pinned, cast(most + 1 as double) fetched, cast(least + 1 as double) built, cast(most + least as double) in_memory, cast(null as double) missing
 from (select upper(substr(p_name, 1, 1))||substr(p_name, 2) accepted_name, min(p_size) least, max(p_size) most from part group by 1)""",
+    "spreadsheets": "select p_partkey, round(p_retailprice, 2) price, upper(substr(p_name, 1, 1))||substr(p_name, 2) as name, cast(case when p_size % 3 <> 0 then p_size end as bigint) size from part",
 }

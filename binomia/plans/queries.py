@@ -575,6 +575,16 @@ def q_text_files(s, d):
     return back[0].union(back[1])
 
 
+@query
+def q_spreadsheets(s, d):
+    """Every part through spreadsheets, one a task, and back; sheet, header and column of names are found, not told."""
+    p, at = s.read.parquet(f"{d}/part.parquet"), staging_path(s, "sheets") + ".xlsx"
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1 << 30))
+    export(p.select("p_partkey", "p_retailprice", name.alias("species"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("size")).repartition(3, "p_partkey"), at)
+    data, column = add_data.read_data(s, at, [Backend("wfo", index(s, d), prefix_fallback=False)])
+    return data.select("p_partkey", F.round("p_retailprice", 2).alias("price"), F.col(column).alias("name"), F.col("size").cast("long").alias("size"))
+
+
 @query
 def q_catalog(s, d):
     """Two versions of a table in the catalogue, read back by pin and as the newest (10 after 9)."""

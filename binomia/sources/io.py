@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from binomia.sources.spreadsheet import read_sheet, write_sheets
+
 FORMATS = "parquet, csv, tsv (also .gz), sqlite, xlsx, geojson"
 
 
 def read_table(spark: SparkSession, path: str, table: str | None = None, sheet: str | int | None = None, start_row: int = 1) -> DataFrame:
-    """A table by the file's ending. SQLite needs ``table``; spreadsheets are small by their format and read on the driver."""
+    """A table by the file's ending. SQLite needs ``table``; a spreadsheet's sheet is its first one unless named (see :func:`binomia.operators.add_data.read_data` to find it)."""
     low = path.lower().removesuffix("/")
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
@@ -27,7 +28,7 @@ def read_table(spark: SparkSession, path: str, table: str | None = None, sheet:
             raise ValueError("a SQLite file needs the name of a table")
         return read_sqlite(spark, path, table)
     if low.endswith(".xlsx"):
-        return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet or 0, header=start_row - 1))
+        return read_sheet(spark, path, sheet, start_row)
     if low.endswith((".geojson", ".json", ".geojsonl", ".geojsonseq")):
         return read_polygons(spark, path)
     raise ValueError(f"cannot read {path!r}; formats: {FORMATS}")
@@ -75,34 +76,15 @@ def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
     return starts.mapInArrow(run, ", ".join(f"`{c}` {k}" for (c, _), (k, _) in zip(cols, kinds, strict=True)))
 
 
-def detect_layout(sheets: dict[str, pd.DataFrame], rate: Callable[[pd.Series], float], rows: int = 20) -> tuple[str, int, str]:
-    """(sheet, header row, column) whose column has the best match ``rate``; 0.8 ends the search, below 0.1 is none.
-
-    ``sheets`` are read without header.
-    """
-    best = (0.0, "", 0, "")
-    for name, raw in sheets.items():
-        for head in range(min(rows, max(0, len(raw) - 1))):
-            for k in range(raw.shape[1]):
-                r = rate(raw.iloc[head + 1 :, k])
-                if r > best[0]:
-                    best = (r, name, head + 1, str(raw.iloc[head, k]))
-                if r >= 0.8:
-                    return best[1:]
-    if best[0] < 0.1:
-        raise ValueError("no column of names found in any sheet")
-    return best[1:]
-
-
 def export(df: DataFrame, path: str) -> None:
-    """Write by the file's ending, Parquet without one; an existing path is an error."""
+    """Write by the file's ending, Parquet without one; an existing path is an error. Spreadsheets become a folder of them."""
     low, out = path.lower(), df.write.mode("errorifexists")
     if low.endswith(".csv"):
         out.csv(path, header=True)
     elif low.endswith(".tsv"):
         out.csv(path, header=True, sep="\t", quote="\u0000", escapeQuotes=False)
     elif low.endswith(".xlsx"):
-        raise ValueError("spreadsheets are written by pandas: df.toPandas().to_excel(..)")
+        write_sheets(df, path)
     else:
         out.parquet(path)
 
