@@ -221,7 +221,7 @@ def test_spreadsheets_of_other_programs(spark, tmp_path):
 def test_layout_of_a_spreadsheet_is_found(spark, tmp_path):
     cell = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
     line = lambda *vs: "<row>" + "".join(map(cell, vs)) + "</row>"
-    body = line("A title") + line("", "made by hand") + line("no", "taxon") + "".join(line(k, f"Aus bu{c}") for k, c in enumerate("abcdef"))
+    body = line("A title") + line("made by hand") + line("no", "taxon") + "".join(line(k, f"Aus bu{c}") for k, c in enumerate("abcdef"))
     sheet(f"{tmp_path}/b.xlsx", {"about": line("Aus bua", "x") + line("y", "z"), "plants": body})
     ix = key_index(build_backbone(spark.createDataFrame([taxon(c, "Aus", f"bu{c}") for c in "abcdef"], CHECKLIST)))
     data, column = add_data.read_data(spark, f"{tmp_path}/b.xlsx", [Backend("wfo", ix, prefix_fallback=False)])
@@ -242,7 +242,7 @@ def test_whole_spreadsheets_written_and_read(spark, tmp_path, monkeypatch):
 
 def test_inspection_of_names_counts_repeats(spark):
     ix = key_index(build_backbone(spark.createDataFrame([taxon("a", "Quercus", "robur"), taxon("b", "Quercus", "alba", "a")], CHECKLIST)))
-    reg = spark.createDataFrame([("Quercus", "plantae")], "genus string, kingdom_group string")
+    reg = spark.createDataFrame([("Quercus", "plantae", "land_plant", "tree")], "genus string, kingdom_group string, taxon_group string, life_form string")
     listed = ["Quercus robur"] * 5 + ["Quercus robus", "Quercus alba", "Bogus fakus", None, "Carexus mysteriosa", "Carexus mysteriosa", "Carexus mysteryosa", "Quercus robus"]
     names = spark.createDataFrame([(n,) for n in listed], "input_name string")
     bare = inspect.inspect_names(names, reg)
