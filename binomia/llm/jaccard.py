@@ -63,7 +63,7 @@ SUB_BLOCK, SUB_GRAMS = 2048, 1 << 20
 #: Sets that a task remembers so that copies send no keys.
 SEEN = 200_000
 #: Counters of n-grams by hash, from which the order of n-grams comes (any order is exact).
-COUNTERS = 1 << 21
+COUNTERS = 1 << 20
 #: Sizes up to this one, and places in such sets, are told apart; above, in steps of a hundredth and a 128th.
 FINE_SIZES = 64
 
@@ -415,13 +415,12 @@ def _counter(grams: np.ndarray) -> np.ndarray:
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many n-grams of the sets (id, grams) fall to each counter."""
     total = np.zeros(COUNTERS, np.int64)
-    for b in batches:
-        at = _counter(b.column(1).flatten().to_numpy().view(np.uint64))
-        total += np.bincount(at, minlength=COUNTERS) if len(at) > COUNTERS // 8 else 0
-        if len(at) <= COUNTERS // 8:
-            np.add.at(total, at, 1)
+    for b in sliced(batches):
+        np.add.at(total, _counter(b.column(1).flatten().to_numpy().view(np.uint64)), 1)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "c"])
+    for k in range(0, len(at), 50_000):
+        part = at[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["at", "c"])
 
 
 def first_grams(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -445,7 +444,7 @@ def first_grams(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> tu
 def _first(held, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
-        for b in batches:
+        for b in sliced(batches, 100):
             found = [first_grams(np.asarray(g.values).view(np.uint64), counts, num, den) for g in b.column(1)]
             many = [len(f[0]) for f in found]
             gram, sizes, places = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(3))
