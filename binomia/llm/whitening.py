@@ -9,8 +9,10 @@ the Krylov basis only: ``dimensions x (components + some blocks)`` numbers, what
 Each new block is made orthogonal to the whole basis twice. Columns that vanish (an invariant
 subspace, equal eigenvalues, constant dimensions) are drawn anew at random and the process
 goes on. Ritz pairs come from the basis and its stored images; the process ends when the
-residuals of all wanted pairs are small or the basis spans the space. A basis that grew too
-long shrinks to its best Ritz vectors and continues from their residuals.
+residuals of all wanted pairs are small, and a block drawn at random changes none of them
+(eigenvalues that occur more often than a block has columns would be missed), or when the
+basis spans the space. A basis that grew too long shrinks to its best Ritz vectors and
+continues from their residuals.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def _orthogonal(w: np.ndarray, basis: np.ndarray, scale: float, rng: np.random.G
             for _ in range(2):
                 c = c - known @ (known.T @ c)
             norm = np.linalg.norm(c)
-            if norm > 1e-10 * size:
+            if norm > 1e-14 * size:
                 c = c / norm
                 c = c - known @ (known.T @ c)
                 out.append(c / np.linalg.norm(c))
@@ -105,7 +107,8 @@ def block_lanczos(times: Callable[[np.ndarray], np.ndarray], dims: int, k: int,
     rng = np.random.default_rng(seed)
     k, block = min(k, dims), min(block, dims)
     basis, images = np.empty((dims, 0)), np.empty((dims, 0))
-    new = _orthogonal(rng.standard_normal((dims, block)), basis, 1.0, rng)
+    fresh = lambda: rng.standard_normal((dims, block))
+    new, known = _orthogonal(fresh(), basis, 1.0, rng), None
     for _ in range(PASSES):
         basis, images = np.column_stack([basis, new]), np.column_stack([images, times(new)])
         inner = basis.T @ images
@@ -113,9 +116,10 @@ def block_lanczos(times: Callable[[np.ndarray], np.ndarray], dims: int, k: int,
         e, s = e[::-1], s[:, ::-1]
         rest = images @ s[:, :k] - basis @ s[:, :k] * e[:k]
         size = max(float(np.abs(e).max()), np.finfo(float).tiny)
-        if basis.shape[1] == dims or (basis.shape[1] >= k and np.linalg.norm(rest, axis=0).max() <= RESIDUAL * size):
-            vectors = np.linalg.qr(basis @ s[:, :k])[0]
-            return e[:k], vectors
+        done = basis.shape[1] >= k and np.linalg.norm(rest, axis=0).max() <= RESIDUAL * size
+        if basis.shape[1] == dims or (done and known is not None and np.abs(e[:k] - known).max() <= 1e-10 * size):
+            return e[:k], np.linalg.qr(basis @ s[:, :k])[0]
+        known = e[:k] if done else known
         if basis.shape[1] + block > k + blocks * block:  # shrink, then go on from the largest residuals
             keep = k + block
             rest = images @ s[:, :keep] - basis @ s[:, :keep] * e[:keep]
@@ -123,7 +127,7 @@ def block_lanczos(times: Callable[[np.ndarray], np.ndarray], dims: int, k: int,
             new = rest[:, np.argsort(-np.linalg.norm(rest[:, :k], axis=0))[:block]]
         else:
             new = images[:, -new.shape[1] :]
-        new = _orthogonal(new, basis, size, rng)
+        new = _orthogonal(fresh() if done else new, basis, size, rng)
     raise RuntimeError(f"no convergence in {PASSES} passes")
 
 
