@@ -134,11 +134,13 @@ def reduce_sources(values: list[Column], names: list[str], kind: str, combine: s
 
 def add_trait(
     result: DataFrame, name: str, tables: dict[str, DataFrame], sources: list[str] | str = "all", mode: str = "wide",
-    combine: str | None = None, priority: list[str] | None = None,
+    combine: str | None = None, priority: list[str] | None = None, provenance: bool = False,
 ) -> DataFrame:
     """A trait from all ``sources`` whose table is at hand: wide ``<trait>_<source>`` columns, or reduced.
 
     Reduced: ``<trait>, <trait>_source, <trait>_n``. ``priority`` reorders the sources.
+    ``provenance`` adds ``.._inherited`` beside each value: true where it comes from the
+    aggregate of a species, null without a value; of reduced ones, where any value used does.
     """
     spec = trait(name)
     chosen = list(spec.sources) if sources == "all" else [sources] if isinstance(sources, str) else list(sources)
@@ -148,14 +150,21 @@ def add_trait(
     order += [s for s in chosen if s not in order]
     order = [s for s in order if spec.sources[s].table in tables]
     raw = {s: f"__raw_{s}" for s in order}
+    lent = {s: f"__lent_{s}" for s in order}
     for s in order:
         src = spec.sources[s]
-        result = enrich(result, tables[src.table], {raw[s]: src.column})
+        result = enrich(result, tables[src.table], {raw[s]: src.column}, inherited=lent[s] if provenance else None)
+        if provenance and lent[s] not in result.columns:  # the table lacks the column
+            result = result.withColumn(lent[s], F.lit(None).cast("boolean"))
     values = [spec.sources[s].map(F.col(raw[s])) for s in order]
     if mode == "wide":
-        return result.withColumns({f"{name}_{s}": v for s, v in zip(order, values, strict=True)}).drop(*raw.values())
+        more = {f"{name}_{s}_inherited": F.when(v.isNotNull(), F.coalesce(lent[s], F.lit(False))) for s, v in zip(order, values, strict=True)} if provenance else {}
+        return result.withColumns({f"{name}_{s}": v for s, v in zip(order, values, strict=True)} | more).drop(*raw.values(), *lent.values())
     if not order:
         kind = "double" if spec.kind == "numeric" else "string"
-        return result.withColumns({name: F.lit(None).cast(kind), f"{name}_source": F.lit(None).cast("string"), f"{name}_n": F.lit(0)})
+        return result.withColumns({name: F.lit(None).cast(kind), f"{name}_source": F.lit(None).cast("string"), f"{name}_n": F.lit(0)} | ({f"{name}_inherited": F.lit(None).cast("boolean")} if provenance else {}))
     value, source, n = reduce_sources(values, order, spec.kind, combine)
-    return result.withColumns({name: value, f"{name}_source": source, f"{name}_n": n}).drop(*raw.values())
+    used = [F.when(v.isNotNull(), F.coalesce(lent[s], F.lit(False))) for s, v in zip(order, values, strict=True)]
+    from_group = F.coalesce(*used) if combiner(spec.kind, combine) == "first" else F.greatest(*used, F.lit(None).cast("boolean"))
+    more = {f"{name}_inherited": from_group} if provenance else {}
+    return result.withColumns({name: value, f"{name}_source": source, f"{name}_n": n} | more).drop(*raw.values(), *lent.values())

@@ -263,6 +263,12 @@ f1 as (select genus, case when k[2] = 'Metazoa' then 'Animalia' when k[2] like '
 f2 as (select f1.*, case kingdom when 'Animalia' then 'animalia' when 'Viruses' then 'viruses' end kk, b.* exclude (family), case kingdom when 'Animalia' then 'animal' end tt from f1 left join ({duck(i.FAMILIES)}) b on b.family = f1.family),
 lf as (select genus, kingdom, family, coalesce(kingdom_group, kk, 'unknown') kingdom_group, coalesce(taxon_group, tt, 'unknown') taxon_group, coalesce(life_form, replace(coalesce(taxon_group, tt, 'unknown'), '_', ' ')) life_form from f2)"""
 
+_POINTS = """
+with p as (select c_custkey point_id, (c_custkey * 37 % 3600) / 10.0 - 180 lon, (c_custkey * 53 % 1800) / 10.0 - 90 lat from customer),
+f as (select n_nationkey i, 'N'||cast(n_nationkey as string) code, n_nationkey % 5 * 60 - 170.05 x, n_nationkey // 5 * 30 - 80.05 y from nation)
+select point_id, (select code from f where lon > x and lon < x + 70 and lat > y and lat < y + 35 and abs(lon - x - 35) + abs(lat - y - 17.5) < 45 and not (lon > x + 20 and lon < x + 30 and lat > y + 10 and lat < y + 20)
+  and lon - x + lat - y > 7.5 and lon - x + lat - y < 97.5 order by i limit 1) code from p"""
+
 ORACLES: dict[str, str] = {
     "clean_names": f"with {clean(_N)} select * from cleaned_rows",
     "clean_marked": f"with {clean(f'select row_idx, input_name from ({_M})')} select * from cleaned_rows",
@@ -326,11 +332,7 @@ j as (select *, coalesce(not present, false) away from c left join r using (acce
 select row_idx, accepted_name from (select *, bool_and(away) over (partition by row_idx) al from j) where not away or al""",
     "region_tokens": f"select code from ({duck(i.REGIONS)}) where lower(level1_name) = 'europe' or lower(name) = 'nation_7' or code = 'N3' or lower(level2_code) = 'l2-1'",
     "range_continents": f"select canonical_name accepted_name, array_to_string(list_sort(list_distinct(list(level1_code))), ',') continents from ({duck(i.RANGES)}) join ({duck(i.REGIONS)}) on code = tdwg_code where native_status is not null group by 1",
-    "points_in_polygons": """
-with p as (select c_custkey point_id, (c_custkey * 37 % 3600) / 10.0 - 180 lon, (c_custkey * 53 % 1800) / 10.0 - 90 lat from customer),
-f as (select n_nationkey i, 'N'||cast(n_nationkey as string) code, n_nationkey % 5 * 60 - 170.05 x, n_nationkey // 5 * 30 - 80.05 y from nation)
-select point_id, (select code from f where lon > x and lon < x + 70 and lat > y and lat < y + 35 and abs(lon - x - 35) + abs(lat - y - 17.5) < 45 and not (lon > x + 20 and lon < x + 30 and lat > y + 10 and lat < y + 20)
-  and lon - x + lat - y > 7.5 and lon - x + lat - y < 97.5 order by i limit 1) code from p""",
+    "points_in_polygons": _POINTS,
     "register_resolve": f"""
 with a as (select 1 p, * from ({_genera(3, 0)}) union all select 2, * from ({_genera(3, 1)}) union all select 3, * from ({_genera(3, 2)})),
 f as (select genus, (select min((p, kingdom)) from a b where b.genus = a.genus and kingdom <> '') k, (select min((p, phylum)) from a b where b.genus = a.genus and phylum <> '') ph,
@@ -459,4 +461,12 @@ select time_bucket(interval 1 hour, ts) window_start, count(*) n, count(*) filte
 select accepted_name, cast(most as double) newest, cast(least as double) pinned, cast(most + 1 as double) fetched, cast(least + 1 as double) built, cast(most + least as double) in_memory, cast(null as double) missing
 from (select upper(substr(p_name, 1, 1))||substr(p_name, 2) accepted_name, min(p_size) least, max(p_size) most from part group by 1)""",
     "spreadsheets": "select p_partkey, round(p_retailprice, 2) price, upper(substr(p_name, 1, 1))||substr(p_name, 2) as name, cast(case when p_size % 3 <> 0 then p_size end as bigint) size from part",
+    "points_in_files": _POINTS,
+    "region_union": f"""
+with pts as ({_POINTS}), near as (select distinct code from pts where code is not null and (point_id * 37 % 3600 / 10.0 - 180) between 0 and 60),
+codes as (select code from near union select code from ({duck(i.REGIONS)}) where lower(level1_name) = 'asia')
+select canonical_name accepted_name, bool_or(tdwg_code in (select code from codes) and native_status is not null) present, true has_data from ({duck(i.RANGES)}) group by 1""",
+    "trait_provenance": f"""{_TRAITS}, own as (select distinct canonical_name k from ({_TT}) where canonical_name is not null and canonical_name not like '% agg.'),
+pr as (select accepted_name, diaz, bien, brot, case when diaz is not null then accepted_name not in (select k from own) end d, case when bien is not null then false end b, case when brot is not null then false end r from t)
+select accepted_name, d plant_height_diaz_inherited, b plant_height_bien_inherited, case when d or b or r then true else coalesce(d, b, r) end inherited from pr""",
 }

@@ -228,6 +228,23 @@ def q_trait_wide(s, d):
     return _trait(s, d)
 
 
+@query
+def q_trait_provenance(s, d):
+    """Which values come from the aggregate of a species, by source and after they are combined."""
+    wide = _trait(s, d, provenance=True)
+    out = traits.add_trait(wide, "plant_height", _trait_tables(s, d), mode="coalesce", provenance=True)
+    return out.select("accepted_name", "plant_height_diaz_inherited", "plant_height_bien_inherited", F.col("plant_height_inherited").alias("inherited"))
+
+
+@query
+def q_region_union(s, d):
+    """Ranges in the union of a named region and the regions of all customers' points, as polygons and names give them."""
+    points, features = _points(s, d)
+    near = points.filter("lon between 0 and 60")
+    geography = region.Geography(table(s, d, inputs.RANGES), table(s, d, inputs.REGIONS), features)
+    return region.range_sets(region.ranges_of(geography, ["Asia"], near.select("lon", "lat")))
+
+
 @query
 def q_trait_median(s, d):
     return _trait(s, d, mode="coalesce")
@@ -275,8 +292,8 @@ def q_range_continents(s, d):
     return out.select("accepted_name", F.array_join(F.array_sort("continents"), ",").alias("continents"))
 
 
-@query
-def q_points_in_polygons(s, d):
+def _points(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A point per customer, and an octagon with a hole per nation."""
     p = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") * 37 % 3600 / 10.0 - 180).alias("lon"), (F.col("c_custkey") * 53 % 1800 / 10.0 - 90).alias("lat"))
     n = s.read.parquet(f"{d}/nation.parquet")
     x, y = F.col("n_nationkey") % 5 * 60 - 170.05, F.floor(F.col("n_nationkey") / 5) * 30 - 80.05
@@ -284,7 +301,23 @@ def q_points_in_polygons(s, d):
     outline = F.array(at(7.5, 0), at(62.5, 0), at(70, 7.5), at(70, 27.5), at(62.5, 35), at(7.5, 35), at(0, 27.5), at(0, 7.5))
     hole = F.array(at(20, 10), at(30, 10), at(30, 20), at(20, 20))
     f = n.select(F.col("n_nationkey").alias("feature_idx"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.array(F.array(outline, hole)).alias("polys"))
-    return region.locate_points(p, f)
+    return p, f
+
+
+@query
+def q_points_in_polygons(s, d):
+    return region.locate_points(*_points(s, d))
+
+
+@query
+def q_points_in_files(s, d):
+    """The same with the polygons through a file of GeoJSON lines."""
+    points, features = _points(s, d)
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.col("polys").alias("coordinates"))
+    line = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("code").alias("LEVEL3_COD")).alias("properties"), shape.alias("geometry")))
+    path = staging_path(s, "features") + ".geojsonl"
+    features.sort("feature_idx").coalesce(1).select(line.alias("value")).write.text(path)
+    return region.locate_points(points, read_table(s, path))
 
 
 @query
