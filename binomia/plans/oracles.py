@@ -469,4 +469,7 @@ select canonical_name accepted_name, bool_or(tdwg_code in (select code from code
     "trait_provenance": f"""{_TRAITS}, own as (select distinct canonical_name k from ({_TT}) where canonical_name is not null and canonical_name not like '% agg.'),
 pr as (select accepted_name, diaz, bien, brot, case when diaz is not null then accepted_name not in (select k from own) end d, case when bien is not null then false end b, case when brot is not null then false end r from t)
 select accepted_name, d plant_height_diaz_inherited, b plant_height_bien_inherited, case when d or b or r then true else coalesce(d, b, r) end inherited from pr""",
+    "stream_chain": _chain(),
+    "door_defaults": "select upper(substr(p_name, 1, 1))||substr(p_name, 2) accepted_name, min(p_type) gift_woodiness_1, cast(max(p_size) as double) gift_plant_height_max from part group by 1",
 }
+ORACLES["long_logged"] = ORACLES["unpivot_long"]

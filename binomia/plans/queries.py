@@ -13,7 +13,7 @@ from binomia.operators.clean import CLEAN_COLUMNS, attach_agg_key, clean_names,
 from binomia.operators.exact import match_exact, name_key
 from binomia.plans import inputs
 from binomia.plans.inputs import table
-from binomia.plans.resolve import Backend, Options, resolve
+from binomia.plans.resolve import Backend, Options, Result, resolve
 from binomia.sources.catalog import Catalog, Source
 from binomia.sources.files import Files
 from binomia.sources.io import export, read_table
@@ -478,6 +478,40 @@ def q_stream_resolve_all(s, d):
     return s.read.schema(out.schema).parquet(path)
 
 
+@query
+def q_stream_chain(s, d):
+    """The whole chain on every micro-batch of a stream: spelled-out genera, one query per target and scope within the batch."""
+    feed = staged(names(s, d), "feed")
+    stream = s.readStream.schema(feed.schema).parquet(feed.inputFiles()[0].rpartition("/")[0])
+    reg = staged(_register(s, d), "register")
+    cover = staged(register.build_coverage({"wfo": table(s, d, inputs.BACKBONE), "col": table(s, d, inputs.BACKBONE)}), "coverage")
+    chain = [Backend("wfo", index(s, d, "k % 2 = 0")), Backend("col", index(s, d, "k % 2 = 1"))]
+    path, made = staging_path(s, "chain"), []
+
+    def write(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        made.append(df.schema)
+
+    writer = each_batch(stream, lambda df: resolve(df, chain, Options(), reg, cover).df, write)
+    writer.option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(made[0]).option("recursiveFileLookup", True).parquet(path)
+
+
+@query
+def q_door_defaults(s, d):
+    """A door's default columns of those that its table has."""
+    p = s.read.parquet(f"{d}/part.parquet").withColumn("canonical_name", F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1 << 30)))
+    gift = p.groupBy("canonical_name").agg(F.min("p_type").alias("gift_woodiness_1"), F.max("p_size").cast("double").alias("gift_plant_height_max"), F.min("p_brand").alias("gift_something_else"))
+    return doors.open_door(accepted(s, d), "gift", {"gift": gift})
+
+
+@query
+def q_long_logged(s, d):
+    """A grouped door on a logged result, unpivoted by its log alone."""
+    done = doors.logged_door(Result(accepted(s, d), {}), "griis", {"griis": table(s, d, inputs.GROUP_TABLE)})
+    return reshape.long_of(done, drop_na=True)
+
+
 @query
 def q_stream_window_tally(s, d):
     events = s.read.parquet(f"{d}/events.parquet")

@@ -4,9 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made in the open scopes, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop the folders that are made inside, at the end: write what was computed before leaving.
+
+    Results are read from these tables when they are used, so nothing is dropped without a scope.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for p in _SCOPES.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; without that setting a temporary one, in local mode only."""
@@ -16,7 +36,10 @@ def staging_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-binomia-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Versions and deltas of checklists, layouts for lookups, the ladder of attribute tables, state over batches, spreadsheets, covers, letters."""
 
 import math
+import os
 import random
-import warnings
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from binomia.functions.distance import jw_many
-from binomia.operators import add_data, enrich, inspect, region
+from binomia.operators import add_data, enrich, inspect, region, traits
 from binomia.operators.backbone import build_backbone, embed_accepted, key_index
 from binomia.operators.delta import apply_delta, diff_versions, patch_index
 from binomia.operators.exact import match_exact
@@ -20,6 +20,7 @@ from binomia.plans.resolve import Backend, Options, resolve
 from binomia.sources import spreadsheet
 from binomia.sources.buckets import save_index
 from binomia.sources.catalog import Catalog, Source, version_key
+from binomia.sources.staging import staged, staging_scope
 from binomia.streaming import stateful
 from binomia.streaming.stream import resolve_batch
 
@@ -332,3 +333,25 @@ def test_letters_lose_no_pair(spark, threshold):
     assert near <= met and len(met) == len(rows)
     if threshold < 0.2:
         assert len(met) < 0.8 * len(pairs)
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    with staging_scope(spark):
+        inner = staged(spark.range(3).toDF("id"), "kept")
+        path = inner.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert inner.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
+    assert staged(spark.range(2).toDF("id"), "kept").count() == 2  # without a scope nothing goes
+
+
+def test_provenance_of_trait_values(spark):
+    names = spark.createDataFrame([("Aus bus",), ("Cus dus",), ("Eus fus",)], "accepted_name string")
+    diaz = spark.createDataFrame([("Aus bus", 1.0), ("Cus dus aggr.", 2.0)], "canonical_name string, plant_height_m double")
+    bien = spark.createDataFrame([("Cus dus", 4.0)], "canonical_name string, plant_height_m double")
+    wide = traits.add_trait(names, "plant_height", {"diaz_traits": diaz, "bien": bien}, provenance=True)
+    got = {r.accepted_name: (r.plant_height_diaz_inherited, r.plant_height_bien_inherited) for r in wide.collect()}
+    assert got == {"Aus bus": (False, None), "Cus dus": (True, False), "Eus fus": (None, None)}
+    for combine, want in (("first", {"Aus bus": False, "Cus dus": True, "Eus fus": None}), ("mean", {"Aus bus": False, "Cus dus": True, "Eus fus": None})):
+        one = traits.add_trait(names, "plant_height", {"diaz_traits": diaz, "bien": bien}, mode="coalesce", combine=combine, provenance=True)
+        assert {r.accepted_name: r.plant_height_inherited for r in one.collect()} == want
+    assert traits.add_trait(names, "plant_height", {}, mode="coalesce", provenance=True).first().plant_height_inherited is None
