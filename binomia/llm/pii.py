@@ -10,8 +10,10 @@ none to itself; :func:`collisions` checks it on the entities found, and
 :func:`distinct_key` changes the key by a fixed rule until there are none.
 
 A name found behind a title or by a listed given name is replaced wherever the same text
-mentions it again, whole or by its last word, so one person stays one. Other names without
-a title, addresses, bank accounts and phones parted by blanks are out of reach.
+mentions it again, whole, by its first or by its last word, so one person stays one: each word
+of a name has one surrogate, whatever stands beside it. Names that are months or days, too,
+stay where a date is meant. Other names without a title, addresses, bank accounts and phones
+parted by blanks are out of reach.
 """
 
 from __future__ import annotations
@@ -38,11 +40,20 @@ CACHE = 100_000
 _FEMALE = "Alice Amelia Ana Anna Camille Carmen Charlotte Clara Elena Emily Emma Eva Hannah Helen Ines Julia Karin Laura Lea Louise Lucia Maria Marie Mary Nina Olga Paula Rosa Ruth Sofia Susan Ursula".split()
 _MALE = "Adam Albert Andrew Anton Bernard Carlos Charles Daniel David Diego Felix Frank George Hans Henry Hugo James Jan John Jorge Karl Louis Lucas Martin Michael Oscar Otto Paul Peter Pierre Simon Thomas".split()
 
+_LISTED = frozenset(_FEMALE + _MALE)
+# Names of months and days that are names of people, too.
+_CALENDAR = frozenset("March April May June July August Sunday Monday Friday Mai Mars Avril Juni Juli Abril Mayo Julio Agosto Domingo".split())
+_ORDINAL = frozenset("April August Mai Juni Juli".split())  # behind "4."
+#: What makes a date of them: a number behind, or a number or one of these words before.
+_DATE_AFTER, _DATE_BEFORE = re.compile(r",? ?\d"), re.compile(r"(?:\d|\b(?:in|of|on|by|since|until|till|during|from|to|last|next|this|every|each|early|late|mid|im|am|vom|bis|seit|en|de|le|du|el|del|desde|hasta)) $", re.IGNORECASE)
+
 #: Signs that belong to the letter before them, and joiners.
 _MARKS = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c) in ("Mn", "Mc")) + "\u200c\u200d"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLE, _GIVEN = r"(?:Mrs|Mr|Ms|Miss|Mme|Herr|Frau|Señora|Señor)\b\.?", "|".join(_FEMALE + _MALE)
 _IN, _CAPITAL = rf"[\w'’{_MARKS}-]", r"[^\W\d_a-zß-öø-ÿ]"
+#: Titles before any word, and those that need a capital after them.
+_ANY, _LEARNED = r"(?:Mrs|Mr|Ms|Miss|Mme|Herr|Frau|Señora|Señor)\b\.?", r"(?:Dr|Prof|Mx|Mlle|Sir|Dame|Fräulein|M(?=\.))\b\.?"
+_TITLE, _GIVEN = rf"(?:{_ANY}|{_LEARNED})", "|".join(_FEMALE + _MALE)
 _FIND = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]+@[^\W_][\w-]*(?:\.[\w-]+)+)"  # from the start of a run: long runs are tried once
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w))"
@@ -50,11 +61,11 @@ _FIND = re.compile(
     r"|(?<![\w.+-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.+-])(?:1\.)?\d{3}\.\d{3}\.\d{4}(?!\.?\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w))"
-    rf"|(?P<name>\b(?:{_TITLE} [^\W\d_]{_IN}*(?: {_CAPITAL}{_IN}*)?|(?:{_GIVEN}) {_CAPITAL}{_IN}+))"
+    rf"|(?P<name>\b(?:{_ANY} [^\W\d_]{_IN}*(?: {_CAPITAL}{_IN}*)?|{_LEARNED} {_CAPITAL}{_IN}*(?: {_CAPITAL}{_IN}*)?|(?:{_GIVEN}) {_CAPITAL}{_IN}+))"
 )
 _DIGITS, _LONG = re.compile(r"\d+"), re.compile(r"\d(?:[ -]?\d){12,18}(?!\w)")
 #: A text without any of these has no entity.
-_HINT = re.compile(rf"@|\d\d|\.\d|\b(?:M(?:rs|r|s|iss|me)|Herr|Frau|Señora?)\b|(?:{_GIVEN}) ")
+_HINT = re.compile(rf"@|\d\d|\.\d|\b(?:M(?:rs|r|s|iss|me|lle|x)|Herr|Frau|Fräulein|Señora?|Dr|Prof|Sir|Dame)\b|\bM\. |(?:{_GIVEN}) ")
 
 #: Letters that stand in for each other. Other letters and digits have those of their block, signs stay.
 _CLASSES = (
@@ -213,17 +224,20 @@ def _email(text: str, key: bytes) -> str:
     return f"{letters(head, key, 'email' + top.lower())}.{top}"
 
 
+def _word(word: str, key: bytes) -> str:
+    """A word of a name: listed given names stand in for those of their list, others for words that aren't listed."""
+    given = next((names for names in (_FEMALE, _MALE) if word in names), None)
+    if given:
+        return given[permute(given.index(word), len(given), key, given[0])]
+    new = letters(word, key, "surname")
+    while new in _LISTED:
+        new = letters(new, key, "surname")
+    return new
+
+
 def _name(text: str, key: bytes) -> str:
     title, rest = re.match(rf"({_TITLE} )?(.*)", text, re.DOTALL).groups()
-    first, *more = rest.split(" ")
-    given = next((names for names in (_FEMALE, _MALE) if more and first in names), None)
-    if given:
-        new = given[permute(given.index(first), len(given), key, given[0])]
-    else:
-        new = letters(first, key, "surname")
-        while more and (new in _FEMALE or new in _MALE):  # those stand for each other
-            new = letters(new, key, "surname")
-    return (title or "") + " ".join([new, *(letters(m, key, "surname") for m in more)])
+    return (title or "") + " ".join(_word(w, key) for w in rest.split(" "))
 
 
 _MAKE = {"email": _email, "phone": _phone, "ip": _ip, "card": _card, "ssn": lambda t, k: letters(t, k, "ssn"), "name": _name}
@@ -260,24 +274,33 @@ class Surrogates:
         return self._again(text, out)
 
     def _again(self, text: str, found: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-        """``found`` and the bare mentions of its names: whole names, and last words of them."""
+        """``found`` and the bare mentions of its names: whole names, and first and last words of them."""
         bare = set()
         for kind, start, stop, _ in found:
             if kind == "name":
                 words = re.sub(rf"^{_TITLE} ", "", text[start:stop]).split(" ")
-                bare |= {w for w in (" ".join(words), words[-1] if len(words) > 1 else "") if len(w) > 2 and w[0].isupper()}
+                bare |= {w for w in (" ".join(words), words[0], words[-1]) if len(w) > 2 and w[0].isupper()}
         if not bare:
             return found
         more = re.compile(rf"(?<!{_IN})(?:{'|'.join(map(re.escape, sorted(bare, key=lambda w: (-len(w), w))))})(?!{_IN})")
         free, out = 0, []
         for entity in [*found, (None, len(text), len(text), "")]:
-            out += [("name", m.start(), m.end(), self.of("name", m.group())) for m in more.finditer(text, free, entity[1])]
+            out += [("name", m.start(), m.end(), self.of("name", m.group())) for m in more.finditer(text, free, entity[1]) if not _dated(text, m)]
             free = entity[2]
             if entity[0]:
                 out.append(entity)
         return out
 
 
+def _dated(text: str, m: re.Match) -> bool:
+    """A mention that is a month or a day of a date."""
+    if m.group() not in _CALENDAR:
+        return False
+    before = text[max(0, m.start() - 12) : m.start()]
+    ordinal = m.group() in _ORDINAL and re.search(r"\d\. $", before)
+    return bool(_DATE_AFTER.match(text, m.end()) or _DATE_BEFORE.search(before) or ordinal)
+
+
 def _card_inside(text: str, start: int, stop: int) -> tuple[int, int] | None:
     """The first, then longest run of whole digit groups from within a span that is a card's number."""
     for g in _DIGITS.finditer(text, start, stop):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import binomia.llm.jaccard as jaccard_module
 from binomia.llm import decontam, license_scan, media, packing, pii, quality, secret_scan, suffix, warc
+from binomia.llm.common import Scratch
 from binomia.llm.components import components
 from binomia.llm.jaccard import jaccard_components
 
@@ -790,3 +792,38 @@ def test_first_grams_of_sets_that_reach_the_threshold_meet(num):
             fa, fb = (jaccard_module.first_grams(x, counts, num, 100) for x in (a, b))
             common = [(i, j) for i, g in enumerate(fa[0].tolist()) for j, h in enumerate(fb[0].tolist()) if g == h]
             assert any((num + 100) * min(fa[3] - i, fb[3] - j) >= num * (fa[3] + fb[3]) for i, j in common)
+
+
+def test_pii_of_given_names_titles_and_dates():
+    made = pii.Surrogates("k")
+
+    def new(text):
+        found, parts, at = made.find(text), [], 0
+        for _, start, stop, word in found:
+            parts += [text[at:start], word]
+            at = stop
+        return "".join([*parts, text[at:]])
+
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) left\.", new("Mr. John Smith came. John left."))
+    assert m and m[1] == m[3] in pii._MALE and m[1] != "John" and m[2] != "Smith"
+    m = re.fullmatch(r"Mr\. (\w+) met in May 2020, in May, on 3 May and May 4\. (\w+) left\.", new("Mr. May met in May 2020, in May, on 3 May and May 4. May left."))
+    assert m and m[1] == m[2] != "May"
+    for title in ("Dr.", "Prof.", "Sir", "Mx", "M.", "Dr", "Mlle"):
+        m = re.fullmatch(re.escape(title) + r" (\w+) was there; (\w+) spoke", new(f"{title} Okoro was there; Okoro spoke"))
+        assert m and m[1] == m[2] != "Okoro", title
+    assert new("a sir with a dr note, M5 and 5 M. of it") == "a sir with a dr note, M5 and 5 M. of it"
+    words = [f"{a}{b}" for a in ("Ba", "Be", "Hu", "Ot") for b in ("go", "to", "ko", "na")]
+    words = sorted({*words, *pii._LISTED})
+    made_of = {w: pii._word(w, made.key) for w in words}
+    assert len(set(made_of.values())) == len(words) and all(w != n for w, n in made_of.items())
+    assert all((n in pii._LISTED) == (w in pii._LISTED) for w, n in made_of.items())
+
+
+def test_pii_of_very_many_names_in_one_text_is_linear():
+    made, took = pii.Surrogates("k"), []
+    for n in (1000, 4000):
+        text = " ".join(f"Mr. Na{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} said so." for k in range(n))
+        start = time.perf_counter()
+        assert len(made.find(text)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.5
