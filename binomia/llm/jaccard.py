@@ -535,15 +535,14 @@ def jaccard_components(
     slim = slim.join(reps, ["n", "c1", "c2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     slim = stored(slim, "classes")
 
-    # blocks with at least two classes. Copies in different tasks send the same rows, told apart
-    # from other sets by half their fingerprint; keys are summed up and joined back, so that a
-    # frequent one can be split
-    keys, p_keys = tables.put(docs.mapInArrow(_keys(words, num, den), "key long, c1 long"))
-    shared = keys.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).filter("lo <> hi").select("key")
-    met = keys.join(shared, "key", "left_semi").distinct()
+    # blocks with at least two classes: a window, because summing keys up and joining them back
+    # writes them three times. Copies in different tasks send the same rows, told apart from
+    # other sets by half their fingerprint
+    by_key = Window.partitionBy("key")
+    keys = docs.mapInArrow(_keys(words, num, den), "key long, c1 long")
+    met = keys.withColumns({"lo": F.min("c1").over(by_key), "hi": F.max("c1").over(by_key)}).filter("lo <> hi").groupBy("key", "c1").agg(F.count(F.lit(1)).alias("sent"))
     met = met.join(classes.filter("rep is not null").select("c1", "rep", "n"), "c1").select("key", F.col("rep").alias("id"), "n")
     met, p_met = _merged_blocks(met, tables)
-    tables.drop(p_keys)
     nodes = prof.filter("n > 0").join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
     nodes, p_nodes = tables.put(nodes.select(F.col("doc_id").alias("id"), "n", "cv").dropDuplicates(["id"]))
     tables.drop(p_prof, p_classes)
