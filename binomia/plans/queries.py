@@ -708,11 +708,15 @@ def q_delta_index(s, d):
     return ix.select("kind", "key", *own, many.alias("is_ambiguous"), F.when(many, F.array_join("ids", "|")).alias("ambiguous_targets"))
 
 
-def _fed(s: SparkSession, df: DataFrame, name: str, files: int, *order: str) -> DataFrame:
-    """A stream of a table, a file of rows in ``order`` at a time."""
-    feed = staging_path(s, name)
-    rows = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    rows.write.parquet(feed)
+def _fed(s: SparkSession, df: DataFrame, name: str, files: int, order: str) -> DataFrame:
+    """A stream of a table, a file at a time, rows by ``order``: files are written one after the other, for streams read the oldest first."""
+    feed, parts = staging_path(s, name), staging_path(s, f"{name}-parts")
+    rows = df.repartitionByRange(files, order)
+    rows.withColumn("__part", F.spark_partition_id()).write.partitionBy("__part").parquet(parts)
+    for k in range(files):
+        part = s.read.schema(df.schema).parquet(f"{parts}/__part={k}") if f"__part={k}" in Files(s).names(parts) else None
+        if part is not None:
+            part.coalesce(1).write.mode("append").parquet(feed)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(feed)
 
 
