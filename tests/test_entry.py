@@ -30,8 +30,8 @@ COMPARED = [
     "clean_names", "clean_marked", "exact_cascade", "pick_best", "fuzzy_dl", "enrich_species", "trait_median", "trait_vote", "points_in_polygons",
     "kingdom_walk", "near_duplicates", "stream_resolve", "resolve_chain", "inspect_report", "fuzzy_pick", "fuzzy_dedup", "fuzzy_jaro_winkler",
     "fuzzy_dl_prefix", "region_candidates", "range_introduced", "region_search", "register_lookup", "out_of_scope", "life_form", "register_build",
-    "doors", "catalog", "delta_versions", "delta_index", "enrichment_ladder", "inspect_names", "stream_fuzzy_dedup", "stream_match_rates",
-    "stream_window_tally", "spreadsheets", "door_defaults", "long_logged", "trait_provenance", "points_in_files", "region_union", "region_tokens", "range_sets", "range_continents", "extract_genera", "embed_accepted", "trait_min", "trait_max", "trait_units", "add_data", "add_data_grouped", "text_files", "unpivot_long", "match_tally", "region_filter",
+    "doors", "delta_versions", "delta_index", "enrichment_ladder", "inspect_names", "stream_fuzzy_dedup", "stream_match_rates",
+    "stream_window_tally", "trait_provenance", "region_tokens", "trait_min", "trait_max", "trait_units", "add_data", "add_data_grouped", "text_files", "unpivot_long", "match_tally", "region_filter",
 ]
 
 
