@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import zipfile
 
 import pytest
@@ -16,6 +17,7 @@ from binomia.operators.exact import match_exact
 from binomia.operators.fuzzy import letter_pairs
 from binomia.operators.pick import dedup_fuzzy_targets
 from binomia.operators.register import extract_genera
+from binomia.plans import queries
 from binomia.plans.resolve import Backend, Options, resolve
 from binomia.sources import spreadsheet
 from binomia.sources.buckets import save_index
@@ -241,6 +243,32 @@ def test_whole_spreadsheets_written_and_read(spark, tmp_path, monkeypatch):
         spreadsheet.write_sheets(df, f"{tmp_path}/out.xlsx")
 
 
+def test_inspection_sends_no_rows_to_the_driver(spark):
+    """Many alike rows in small files, as a resolution leaves them: neither join may broadcast them."""
+    targets = F.concat_ws("|", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.format_string("t%06d", k)))
+    rows = spark.range(20000).select((F.concat(F.lit("Genus "), F.substring(F.lit("abcdefgh"), (F.col("id") % 4 + 1).cast("int"), 5))).alias("input_name"), F.lit("exact").alias("match_type"), F.lit(True).alias("is_ambiguous"), targets.alias("ambiguous_targets"))
+    res = staged(rows, "alike_rows")
+    out = inspect.inspect(res)
+    joins = re.findall(r"\w+Join\b[^\n]*", out._jdf.queryExecution().executedPlan().toString())
+    assert "__alike" in joins[0] and "Broadcast" not in joins[0]
+    counted = res.groupBy(*res.columns).agg(F.count(F.lit(1)).alias("n"))
+    once = inspect.inspect(counted, weight="n")
+    assert out.count() == 20000 and once.count() == 4
+    assert as_rows(out.distinct()) == as_rows(once)
+
+
+@pytest.mark.parametrize("name", ["inspect_report"])
+def test_inspection_keeps_distinct_names_only(spark, name, monkeypatch):
+    """Nothing of a row's length is stored: the query joins its names back at the end."""
+    stored = []
+    monkeypatch.setattr(queries, "staged", lambda df, label: stored.append(staged(df, label)) or stored[-1])
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    names = queries.names(spark, "/root/testdata/sf0.001")
+    assert 0 < out.count() <= names.count()
+    once = names.select("input_name").distinct().count()
+    assert all("input_name" not in df.columns or df.count() <= once for df in stored)
+
+
 def test_inspection_of_names_counts_repeats(spark):
     ix = key_index(build_backbone(spark.createDataFrame([taxon("a", "Quercus", "robur"), taxon("b", "Quercus", "alba", "a")], CHECKLIST)))
     reg = spark.createDataFrame([("Quercus", "plantae", "land_plant", "tree")], "genus string, kingdom_group string, taxon_group string, life_form string")
