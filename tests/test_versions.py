@@ -257,7 +257,7 @@ def test_inspection_sends_no_rows_to_the_driver(spark):
     assert as_rows(out.distinct()) == as_rows(once)
 
 
-@pytest.mark.parametrize("name", ["inspect_report"])
+@pytest.mark.parametrize("name", ["inspect_report", "inspect_review"])
 def test_inspection_keeps_distinct_names_only(spark, name, monkeypatch):
     """Nothing of a row's length is stored: the query joins its names back at the end."""
     stored = []
