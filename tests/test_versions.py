@@ -198,6 +198,25 @@ def test_rates_are_corrected_by_late_answers(spark, tmp_path):
     assert stateful.rates(spark.read.parquet(f"file://{tmp_path}/rates")).filter("n_corrections > 0").count() > 0
 
 
+def test_names_of_answers_are_looked_up_once_per_batch(spark, tmp_path):
+    asked = spark.createDataFrame([(k, 60 * k) for k in range(120)], "id long, at long").select("id", F.timestamp_seconds("at").alias("ts"))
+    answers = asked.filter("id % 3 <> 0").select("id", (F.col("ts") + F.make_dt_interval(mins=(F.col("id") % 90).cast("int"))).alias("answered_at"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("n"), (F.col("id") % 4).cast("string"))).alias("input_name"))
+    for name, df, order in (("asked", asked, "ts"), ("answers", answers, "answered_at")):
+        df.repartitionByRange(3, order).write.parquet(f"file://{tmp_path}/{name}")
+    one, two = (spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/{n}") for n, x in (("asked", asked), ("answers", answers)))
+    seen = []
+
+    def hits(names):
+        seen.append(sorted(r[0] for r in names.collect()))
+        return names.select("input_name", F.col("input_name").isin("n1", "n2").alias("hit"))
+
+    w = stateful.monitor_rates(stateful.answered_share(one, two, "id", "ts", "answered_at", "1 hour", "1 day"), f"file://{tmp_path}/rates", hits=hits)
+    w.option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    assert sum(map(len, seen)) > 0 and all(names == sorted(set(names)) and set(names) <= {"n0", "n1", "n2", "n3"} for names in seen)
+    got = {r.window_start.hour: (r.n, r.n_matched) for r in stateful.rates(spark.read.parquet(f"file://{tmp_path}/rates")).collect()}
+    assert got == {h: (60, sum(k % 3 != 0 and k % 90 <= 60 and k % 5 > 0 and k % 4 in (1, 2) for k in range(60 * h, 60 * h + 60))) for h in (0, 1)}
+
+
 def sheet(path, sheets, shared=()):
     """A spreadsheet as other programs write it: shared strings, sparse rows and cells."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
