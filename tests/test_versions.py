@@ -13,17 +13,20 @@ from binomia.functions.distance import jw_many
 from binomia.operators import add_data, enrich, inspect, region, traits
 from binomia.operators.backbone import build_backbone, embed_accepted, key_index
 from binomia.operators.delta import apply_delta, diff_versions, patch_index
-from binomia.operators.exact import match_exact
-from binomia.operators.fuzzy import letter_pairs
+from binomia.operators.clean import attach_agg_key, clean_names
+from binomia.operators.exact import lookup_exact, match_exact
+from binomia.operators.fuzzy import letter_pairs, lookup_fuzzy
 from binomia.operators.pick import dedup_fuzzy_targets
 from binomia.operators.register import extract_genera
 from binomia.plans import queries
+from binomia.plans import resolve as resolving
 from binomia.plans.resolve import Backend, Options, resolve
 from binomia.sources import spreadsheet
 from binomia.sources.buckets import save_index
 from binomia.sources.catalog import Catalog, Source, version_key
 from binomia.sources.staging import staged, staging_scope
 from binomia.streaming import stateful
+from binomia.streaming import stream as streaming
 from binomia.streaming.stream import resolve_batch
 
 CHECKLIST = "taxon_id string, canonical_name string, taxon_rank string, taxonomic_status string, accepted_name_usage_id string, family string, genus string, specific_epithet string, authorship string"
@@ -217,6 +220,36 @@ def test_names_of_answers_are_looked_up_once_per_batch(spark, tmp_path):
     assert got == {h: (60, sum(k % 3 != 0 and k % 90 <= 60 and k % 5 > 0 and k % 4 in (1, 2) for k in range(60 * h, 60 * h + 60))) for h in (0, 1)}
 
 
+def test_lists_of_taxa_stay_out_of_matching(spark):
+    """Homonyms make lists of taxa as long as the checklist: plans of lookups never read them, results still list them."""
+    rows = [taxon(f"a{k:02d}", "Quercus", "robur") for k in range(30)] + [taxon("b", "Quercus", "alba")]
+    ix = staged(key_index(build_backbone(spark.createDataFrame(rows, CHECKLIST))), "homonyms")
+    names = spark.createDataFrame([(0, "Quercus robur"), (1, "Quercus robuur"), (2, "Quercus alba"), (3, "Q. robur"), (4, None)], "row_idx long, input_name string")
+    clean = attach_agg_key(clean_names(names))
+    read = lambda df: " ".join(re.findall("ReadSchema: (.*)", df._jdf.queryExecution().executedPlan().toString()))
+    for df in (resolve_batch(names, ix).select("row_idx", "match_type", "taxon_id"), lookup_fuzzy(names.select("row_idx", F.col("input_name").alias("cleaned")), ix).select("cleaned", "taxon_id"), lookup_exact(clean, ix).select("nk", "taxon_id")):
+        assert "tier" in read(df) and "ids" not in read(df)
+    every = "|".join(f"a{k:02d}" for k in range(30))
+    got = {r.row_idx: (r.match_type, r.ambiguous_targets) for r in resolve(names, [Backend("col", ix), Backend("wfo", ix)]).df.collect()}
+    assert got[0] == ("exact", every) and got[1] == ("fuzzy", every) and got[2] == ("exact", None) and got[3][1] == every and got[4] == (None, None)
+    assert {r.nk.split("\u0001")[0]: r.ambiguous_targets for r in match_exact(clean, ix).collect()} == {"Quercus robur": every, "Quercus alba": None}
+
+
+@pytest.mark.parametrize("name", ["stream_chain", "stream_resolve_all"])
+def test_streams_resolve_and_store_distinct_names(spark, name, monkeypatch):
+    """Rows of a batch are joined to the results of its distinct names: cleaning and lists of taxa are not per row."""
+    cleaned = []
+    for module in (resolving, streaming):
+        monkeypatch.setattr(module, "clean_names", lambda df, *a: cleaned.append(df) or clean_names(df, *a))
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert cleaned and all("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in cleaned)
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    if name == "stream_chain":
+        wide = [f for f in out.inputFiles() if "ambiguous_targets" in spark.read.parquet(f).columns]
+        once = queries.names(spark, "/root/testdata/sf0.001").select("input_name").distinct().count()
+        assert 0 < spark.read.parquet(*wide).count() <= once
+
+
 def sheet(path, sheets, shared=()):
     """A spreadsheet as other programs write it: shared strings, sparse rows and cells."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
