@@ -64,6 +64,10 @@ SUB_BLOCK, SUB_GRAMS = 2048, 1 << 20
 SEEN = 200_000
 #: Counters of n-grams by hash, from which the order of n-grams comes (any order is exact).
 COUNTERS = 1 << 20
+#: Counters that one row holds while they are summed up.
+COUNTER_ROW = 1 << 12
+#: An n-gram whose counter is above this, and above so many times the mean counter, isn't looked up in one window.
+HOT, HOT_MEANS = 10_000, 8
 #: Sizes up to this one, and places in such sets, are told apart; above, in steps of a hundredth and a 128th.
 FINE_SIZES = 64
 
@@ -412,15 +416,37 @@ def _counter(grams: np.ndarray) -> np.ndarray:
     return (mix(grams) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many n-grams of the sets (id, grams) fall to each counter."""
-    total = np.zeros(COUNTERS, np.int64)
-    for b in sliced(batches):
-        np.add.at(total, _counter(b.column(1).flatten().to_numpy().view(np.uint64)), 1)
-    at = np.flatnonzero(total)
-    for k in range(0, len(at), 50_000):
-        part = at[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["at", "c"])
+def _gram_counts(k: int):
+    """How many n-grams of the texts (doc_id, text) fall to each counter: rows (part, counts) of :data:`COUNTER_ROW` counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, total = _sets(k), np.zeros(COUNTERS, np.int64)
+        for b in sliced(batches):
+            if b.num_rows:
+                total += np.bincount(_counter(np.concatenate([grams(t) for t in b.column(1).to_pylist()])), minlength=COUNTERS)
+        yield from _counter_rows({p: x for p, x in enumerate(total.reshape(-1, COUNTER_ROW)) if x.any()})
+
+    return run
+
+
+def _counter_rows(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, counts), each with as few bytes a counter as its largest needs."""
+    if parts:
+        data = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in parts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(data, pa.binary())], ["part", "counts"])
+
+
+def _counters_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // COUNTER_ROW}").astype(np.int64)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, counts) added up by part."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            total[p] = total.get(p, 0) + _counters_of(data)
+    yield from _counter_rows(total)
 
 
 def first_grams(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -441,38 +467,50 @@ def first_grams(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> tu
     return grams[some], np.full(len(some), FINE_SIZES + int(math.log(n / FINE_SIZES) * 100)), place * 128 // n, n
 
 
-def _first(held, num: int, den: int):
+def _first(held, hot: int, k: int, num: int, den: int):
+    """The first n-grams of texts (doc_id, text); ``apart`` is 0 for those that few texts hold, and differs by text for the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = held.value
+        grams, counts = _sets(k), held.value
         for b in sliced(batches, 100):
-            found = [first_grams(np.asarray(g.values).view(np.uint64), counts, num, den) for g in b.column(1)]
+            found = [first_grams(grams(t), counts, num, den) for t in b.column(1).to_pylist()]
             many = [len(f[0]) for f in found]
             gram, sizes, places = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(3))
             n = np.repeat([f[3] for f in found], many).astype(np.int64)
             left = n - (np.concatenate([np.arange(m) for m in many]) if many else np.empty(0, np.int64))
             ids = np.repeat(b.column(0).to_numpy(), many)
-            columns = [ids, gram.view(np.int64), sizes.astype(np.int64), places.astype(np.int64), n, left]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "gram", "size", "place", "n", "left"])
+            gram = gram.astype(np.uint64)
+            apart = np.where(counts[_counter(gram)] > hot, ids | 1, 0)
+            columns = [ids, gram.view(np.int64), sizes.astype(np.int64), places.astype(np.int64), n, left, apart]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "gram", "size", "place", "n", "left", "apart"])
 
     return run
 
 
 def _apart(tagged: DataFrame, docs: DataFrame, k: int, num: int, den: int, tables: Scratch) -> tuple[DataFrame, DataFrame, list[str]] | None:
-    """Blocks (key, id, n, root) by first n-grams of the members of blocks with several components, their sets, and tables to drop.
+    """Blocks (key, id, n, root) by first n-grams of the members of blocks with several components, their texts (doc_id, text), and tables to drop.
 
-    ``tagged``: key, id, n, root.
+    ``tagged``: key, id, n, root. What is stored are texts, not sets, which take several times the bytes; most first
+    n-grams are in one set only and go in the window that they are dealt to. Its groups are small, for n-grams with
+    high counters pass it by themselves.
     """
     several = tagged.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     rest, one = tables.put(tagged.join(several, "key", "left_semi").select("id", "root").distinct())
     if rest.isEmpty():
         tables.drop(one)
         return None
-    sets, two = _gram_sets(rest.select("id"), docs, k, tables)
-    counted = sets.mapInArrow(_gram_counts, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()  # at most COUNTERS rows
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[counted.column("at").to_numpy()] = counted.column("c").to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(counts)
-    first, three = tables.put(sets.mapInArrow(_first(held, num, den), "id long, gram long, size long, place long, n long, left long"))
+    ids, two = tables.put(rest.select("id").distinct())  # a table of its own: Spark broadcasts it while its files are short
+    texts, six = tables.put(docs.join(ids, docs.doc_id == ids.id, "left_semi"))
+    counted = texts.mapInArrow(_gram_counts(k), "part long, counts binary").repartition("part").mapInArrow(_summed, "part long, counts binary").toArrow()  # COUNTERS numbers
+    counts = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), np.int64)
+    for part, data in zip(*(c.to_pylist() for c in counted.columns), strict=True):
+        counts[part] = _counters_of(data)
+    held = docs.sparkSession.sparkContext.broadcast(counts.ravel())
+    hot = max(HOT, HOT_MEANS * int(counts.sum()) // COUNTERS)
+    by_gram = Window.partitionBy("gram", "apart")
+    first = texts.mapInArrow(_first(held, hot, k, num, den), "id long, gram long, size long, place long, n long, left long, apart long")
+    first = first.withColumns({"lo": F.min("id").over(by_gram), "hi": F.max("id").over(by_gram)}).filter("apart <> 0 or lo <> hi").drop("apart", "lo", "hi")
+    first, three = tables.put(first)
     steps = ["gram", "size", "place"]
     cells = first.groupBy(*steps).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("left"))
     cells, four = tables.put(cells)
@@ -488,7 +526,7 @@ def _apart(tagged: DataFrame, docs: DataFrame, k: int, num: int, den: int, table
     rows = first.join(met, steps).select("key", "id", "n").distinct()
     blocks, five = _merged_blocks(rows.join(rest, "id"), tables, "root")
     tables.drop(three, four)
-    return blocks.select("key", "id", "n", "root"), sets, [one, *two, five]
+    return blocks.select("key", "id", "n", "root"), texts, [one, two, five, six]
 
 
 def _merged_blocks(met: DataFrame, tables: Scratch, column: str = "id") -> tuple[DataFrame, str]:
@@ -562,13 +600,14 @@ def jaccard_components(
     tagged = met.filter("size > 2").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     apart = _apart(tagged, docs, words, num, den, tables)
     if apart is not None:
-        blocks, sets, p_apart = apart
+        blocks, texts, p_apart = apart
         rest, p_rest = _sub_blocks(blocks, tables)
         near = _meeting(rest.join(nodes.hint("merge"), "id")).mapInArrow(_partnered(num, den), "key long, i long, j long, id long, root long, sub long")
         near, p_near = tables.put(near)
+        sets, p_sets = _gram_sets(near.select("id"), texts, words, tables)
         found, p_found = tables.put(_meeting(near.join(sets.hint("merge"), "id")).mapInArrow(_forest(num, den), "a long, b long"))
         roots = components(roots.select("id", "root").union(found))
-        tables.drop(p_near, p_found, *p_rest, *p_apart)
+        tables.drop(p_near, p_found, *p_sets, *p_rest, *p_apart)
     tables.drop(p_met, p_nodes)
     out = slim.join(roots, slim.rep == roots.id, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"))

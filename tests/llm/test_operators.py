@@ -775,6 +775,41 @@ def test_near_copies_of_a_template_never_meet(spark):
     assert all(r.component_id == r.doc_id for r in got)
 
 
+def test_first_grams_of_one_set_are_not_stored(spark):
+    """Texts in one block that share no n-gram: neither their sets nor their first n-grams reach a table."""
+
+    class Seen(Scratch):
+        def put(self, df):
+            out = super().put(df)
+            tables.append((dict(out[0].dtypes), out[0].count()))
+            return out
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}of{j}" for j in range(60))) for i in range(200)], "doc_id long, text string")
+    tagged, tables = spark.createDataFrame([(1, i, 56, i) for i in range(200)], "key long, id long, n long, root long"), []
+    blocks, texts, _ = jaccard_module._apart(tagged, docs, 5, 80, 100, Seen(spark, "apart"))
+    assert blocks.count() == 0 and texts.count() == 200
+    assert not any(kind.startswith("array") for t, _ in tables for kind in t.values())
+    assert [n for t, n in tables if {"id", "gram"} <= set(t)] == [0]
+
+
+@pytest.mark.parametrize("hot", [-1, 4])
+def test_frequent_first_grams_meet_outside_the_window(spark, hot, monkeypatch):
+    """Links stay the same whatever counts as frequent."""
+    monkeypatch.setattr(jaccard_module, "HOT", hot)
+    monkeypatch.setattr(jaccard_module, "HOT_MEANS", 0)
+    test_jaccard_of_a_large_group_of_borderline_copies(spark, (1, 2, 3, 4), 16, monkeypatch)
+
+
+def test_counters_of_tasks_add_up():
+    rng, rows = np.random.default_rng(8), []
+    for top in (3, 300, 70_000):
+        rows += jaccard_module._counter_rows({p: rng.integers(0, top, jaccard_module.COUNTER_ROW) for p in (0, 5)})
+    (out,) = jaccard_module._summed(iter(rows))
+    for p, data in zip(*(c.to_pylist() for c in out.columns), strict=True):
+        want = sum(jaccard_module._counters_of(d) for b in rows for q, d in zip(*(c.to_pylist() for c in b.columns), strict=True) if q == p)
+        assert (jaccard_module._counters_of(data) == want).all() and want.max() > 60_000
+
+
 @pytest.mark.parametrize("num", [80, 90])
 def test_first_grams_of_sets_that_reach_the_threshold_meet(num):
     rng = np.random.default_rng(num)
